@@ -20,3 +20,264 @@ from .registry import query
 @query("trace_features", "H6 C1 D12 B9 H5", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), body="SELECT * FROM tf"))
 def q_trace_features(spark, sf):
     return feat.trace_features(spans_from_tables(spark, sf))
+
+
+def _spans(spark, sf):
+    return spans_from_tables(spark, sf)
+
+
+def _dedup(spark, sf):
+    return sp.dedup_spans(_spans(spark, sf))
+
+
+# ============================================================================ scans and filters (A1, A3, B*)
+
+
+@query("scan_root_spans", "A1 B1", O.with_spans(body="""
+SELECT trace_id, span_id, service_name, duration, CAST(len(tags) AS BIGINT) AS n_tags
+FROM spans WHERE parent_span_id = 0 AND operation_name = 'park-spot'"""))
+def q_scan_root_spans(spark, sf):
+    return sp.root_spans(_spans(spark, sf)).select(
+        "trace_id", "span_id", "service_name", "duration", F.size("tags").cast("long").alias("n_tags")
+    )
+
+
+@query("count_root_spans", "A3 B4", O.with_spans(body="""
+SELECT count(*) AS n_roots FROM spans WHERE operation_name = 'park-spot'"""))
+def q_count_root_spans(spark, sf):
+    return sp.filter_term(_spans(spark, sf), "operation_name", "park-spot").agg(F.count(F.lit(1)).alias("n_roots"))
+
+
+@query("filter_term", "B1", O.with_spans(body="""
+SELECT trace_id, span_id, duration FROM spans WHERE operation_name = 'Payment-service'"""))
+def q_filter_term(spark, sf):
+    return sp.filter_term(_spans(spark, sf), "operation_name", "Payment-service").select("trace_id", "span_id", "duration")
+
+
+@query("filter_regex", "B2", O.with_spans(body="""
+SELECT span_id, operation_name FROM spans WHERE regexp_full_match(operation_name, '.*service')"""))
+def q_filter_regex(spark, sf):
+    return _spans(spark, sf).filter(sp.is_service_span("suffix")).select("span_id", "operation_name")
+
+
+@query("filter_bool", "B3", O.with_spans(body="""
+SELECT trace_id, span_id, operation_name, duration FROM spans
+WHERE regexp_full_match(operation_name, '.*service') AND duration > 25"""))
+def q_filter_bool(spark, sf):
+    s = _spans(spark, sf)
+    return s.filter(sp.is_service_span("suffix") & (F.col("duration") > 25)).select(
+        "trace_id", "span_id", "operation_name", "duration"
+    )
+
+
+@query("filter_contains", "B5", O.with_spans(body="""
+SELECT operation_name, count(*) AS n FROM spans WHERE contains(operation_name, 'service') GROUP BY operation_name"""))
+def q_filter_contains(spark, sf):
+    return (
+        _spans(spark, sf).filter(sp.is_service_span("contains")).groupBy("operation_name").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query("root_spans", "B6", O.with_spans(body="""
+SELECT trace_id, span_id, duration FROM spans WHERE parent_span_id = 0"""))
+def q_root_spans(spark, sf):
+    return sp.root_spans(_spans(spark, sf), None).select("trace_id", "span_id", "duration")
+
+
+@query("valid_trace", "B7", O.with_spans(body="""
+SELECT count(*) AS n_valid, count(DISTINCT trace_id) AS n_traces FROM spans WHERE trace_id != 0"""))
+def q_valid_trace(spark, sf):
+    return _spans(spark, sf).filter(sp.is_valid_trace()).agg(
+        F.count(F.lit(1)).alias("n_valid"), F.count_distinct("trace_id").alias("n_traces")
+    )
+
+
+@query("filter_exclude_ci", "B8", O.with_spans(body="""
+SELECT trace_id, service_name, count(*) AS n_spans FROM spans
+WHERE lower(service_name) != 'jaeger-query' GROUP BY trace_id, service_name HAVING count(*) > 0"""))
+def q_filter_exclude_ci(spark, sf):
+    # A batch = the spans of one trace sent by one service; keep non-empty batches of other services.
+    s = _spans(spark, sf).filter(sp.not_excluded_service())
+    return s.groupBy("trace_id", "service_name").agg(F.count(F.lit(1)).alias("n_spans")).filter(F.col("n_spans") > 0)
+
+
+@query("tag_lookup", "B9 Q6", O.with_spans(O.REQ_CTE, body="SELECT trace_id, span_id, request FROM req"))
+def q_tag_lookup(spark, sf):
+    return sp.request_tags(sp.root_spans(_spans(spark, sf), None)).select("trace_id", "span_id", "request")
+
+
+@query("filter_present", "B10", O.with_spans(body="""
+SELECT count(*) AS n FROM spans WHERE duration IS NOT NULL AND trace_id IS NOT NULL AND tags IS NOT NULL"""))
+def q_filter_present(spark, sf):
+    s = _spans(spark, sf)
+    return s.filter(F.col("duration").isNotNull() & F.col("trace_id").isNotNull() & F.col("tags").isNotNull()).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("project_drop", "B11", O.with_spans(body="""
+SELECT trace_id, span_id, parent_span_id, operation_name, service_name, duration, arrival_seq FROM spans"""))
+def q_project_drop(spark, sf):
+    return _spans(spark, sf).drop("tags", "process_tags", "start_time")
+
+
+@query("complete_traces", "B15 D3 Q19", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, count(DISTINCT span_id) AS n_spans FROM dd GROUP BY trace_id HAVING count(DISTINCT span_id) >= 8"""))
+def q_complete_traces(spark, sf):
+    return sp.complete_traces(_dedup(spark, sf), 8)
+
+
+@query("schema_conformance", "B16", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, body="""
+SELECT trace_id, span_id, nonconforming FROM conf"""))
+def q_schema_conformance(spark, sf):
+    from ..functions.json import schema_conformance
+
+    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    return r.select("trace_id", "span_id", schema_conformance("request").alias("nonconforming"))
+
+
+# ============================================================================ joins
+
+
+@query("trace_durations", "C1 D12", O.with_spans(O.durs_cte(), body="""
+SELECT r.trace_id, r.duration AS TraceD, d.SpanD1, d.SpanD2, d.SpanD3, d.SpanD4
+FROM spans r LEFT JOIN durs d ON r.trace_id = d.trace_id WHERE r.parent_span_id = 0"""))
+def q_trace_durations(spark, sf):
+    s = _spans(spark, sf)
+    roots = sp.root_spans(s, None).select("trace_id", F.col("duration").alias("TraceD"))
+    return roots.join(sp.trace_durations(s), "trace_id", "left")
+
+
+@query("pivot_durations", "D12 Q1", O.with_spans(O.durs_cte(), body="SELECT * FROM durs"))
+def q_pivot_durations(spark, sf):
+    return sp.trace_durations(_spans(spark, sf))
+
+
+@query("span_edges", "C2", O.with_spans(O.DEDUP_CTE, body="""
+SELECT c.trace_id, c.parent_span_id, c.span_id, p.operation_name AS parent_operation, c.operation_name AS child_operation
+FROM dd c JOIN dd p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id"""))
+def q_span_edges(spark, sf):
+    return sp.span_edges(_dedup(spark, sf))
+
+
+@query("trace_tree", "C3", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, span_id, depth, path FROM (
+  WITH RECURSIVE t(trace_id, span_id, depth, path) AS (
+    SELECT trace_id, span_id, 0, CAST(span_id AS VARCHAR) FROM dd WHERE parent_span_id = 0
+    UNION ALL
+    SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '/' || CAST(c.span_id AS VARCHAR)
+    FROM dd c JOIN t ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id
+  ) SELECT * FROM t)"""))
+def q_trace_tree(spark, sf):
+    t = sp.trace_tree(_dedup(spark, sf))
+    return t.select("trace_id", "span_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@query("keep_anomalous_spans", "C4", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, body="""
+SELECT s.trace_id, s.span_id, s.operation_name FROM spans s
+WHERE s.trace_id IN (SELECT trace_id FROM conf WHERE nonconforming)"""))
+def q_keep_anomalous_spans(spark, sf):
+    from ..functions.json import schema_conformance
+
+    s = _spans(spark, sf)
+    flagged = sp.request_tags(sp.root_spans(s, None)).filter(schema_conformance("request")).select("trace_id")
+    return sp.keep_traces(s, flagged).select("trace_id", "span_id", "operation_name")
+
+
+@query("pending_spans", "C5", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, span_id FROM spans WHERE trace_id NOT IN (
+  SELECT trace_id FROM dd GROUP BY trace_id HAVING count(DISTINCT span_id) >= 8)"""))
+def q_pending_spans(spark, sf):
+    s = _spans(spark, sf)
+    done = sp.complete_traces(sp.dedup_spans(s), 8)
+    return sp.pending_spans(s, done).select("trace_id", "span_id")
+
+
+# ============================================================================ aggregates
+
+
+@query("spans_per_trace", "D1", O.with_spans(body="SELECT trace_id, count(*) AS n_spans FROM spans GROUP BY trace_id"))
+def q_spans_per_trace(spark, sf):
+    return sp.spans_per_trace(_spans(spark, sf))
+
+
+@query("complete_trace_count", "D2", O.with_spans(body="""
+SELECT count(*) FILTER (WHERE n = 8) AS n_complete FROM (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id)"""))
+def q_complete_trace_count(spark, sf):
+    return sp.complete_trace_count(_spans(spark, sf))
+
+
+@query("dedup_last_span", "D3", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, span_id, duration, service_name, arrival_seq FROM dd"""))
+def q_dedup_last_span(spark, sf):
+    return _dedup(spark, sf).select("trace_id", "span_id", "duration", "service_name", "arrival_seq")
+
+
+@query("children_by_parent", "D13", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, parent_span_id, count(*) AS n_children,
+       string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY span_id) AS children
+FROM dd WHERE parent_span_id != 0 GROUP BY trace_id, parent_span_id"""))
+def q_children_by_parent(spark, sf):
+    return sp.children_by_parent(_dedup(spark, sf))
+
+
+# ============================================================================ windows, order, sets (E*, F*, G1)
+
+
+@query("row_index", "E1", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx FROM orders""")
+def q_row_index(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return sp.row_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
+
+
+@query("process_runs", "E2", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, span_id, CAST(sum(chg) OVER (PARTITION BY trace_id ORDER BY span_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS run_id
+FROM (SELECT *, CASE WHEN lag(service_name) OVER w IS NULL
+                      OR lag(service_name) OVER w != service_name OR lag(host) OVER w != host THEN 1 ELSE 0 END AS chg
+      FROM dd WINDOW w AS (PARTITION BY trace_id ORDER BY span_id))"""))
+def q_process_runs(spark, sf):
+    return sp.process_runs(_dedup(spark, sf)).select("trace_id", "span_id", "run_id")
+
+
+@query("flush_groups", "E3", O.with_spans(body="""
+SELECT trace_id, CAST(floor((row_number() OVER (ORDER BY trace_id) - 1) / 5000) AS BIGINT) AS flush_group
+FROM spans WHERE parent_span_id = 0"""))
+def q_flush_groups(spark, sf):
+    roots = sp.root_spans(_spans(spark, sf), None).select("trace_id")
+    return sp.flush_groups(roots, ["trace_id"], 5000)
+
+
+@query("sort_ops", "F1", O.with_spans(body="""
+SELECT trace_id, span_id, operation_name FROM spans
+WHERE regexp_full_match(operation_name, '.*service') ORDER BY operation_name, span_id"""))
+def q_sort_ops(spark, sf):
+    s = _spans(spark, sf).filter(sp.is_service_span())
+    return s.select("trace_id", "span_id", "operation_name").orderBy("operation_name", "span_id")
+
+
+@query("page_50", "F2 Q8", O.with_spans(body="""
+SELECT trace_id, span_id, duration FROM spans WHERE parent_span_id = 0 ORDER BY trace_id LIMIT 50 OFFSET 100"""))
+def q_page_50(spark, sf):
+    roots = sp.root_spans(_spans(spark, sf), None).select("trace_id", "span_id", "duration")
+    return sp.page(roots, ["trace_id"], offset=100, size=50)
+
+
+@query("limit_n", "F3", O.with_spans(body="""
+SELECT trace_id, duration FROM spans WHERE parent_span_id = 0 ORDER BY duration DESC, trace_id LIMIT 2"""))
+def q_limit_n(spark, sf):
+    roots = sp.root_spans(_spans(spark, sf), None)
+    return roots.orderBy(F.col("duration").desc(), "trace_id").limit(2).select("trace_id", "duration")
+
+
+@query("union_all", "G1", O.with_spans(body="""
+SELECT operation_name, count(*) AS n FROM (
+  SELECT operation_name FROM roots UNION ALL SELECT operation_name FROM lines) GROUP BY operation_name"""))
+def q_union_all(spark, sf):
+    from ..sources.tables import root_spans_from_tables, service_spans_from_tables
+
+    u = sp.union_all(
+        root_spans_from_tables(spark, sf).select("operation_name"), service_spans_from_tables(spark, sf).select("operation_name")
+    )
+    return u.groupBy("operation_name").agg(F.count(F.lit(1)).alias("n"))

@@ -130,3 +130,23 @@ tf AS (
 def with_spans(*ctes: str, body: str) -> str:
     parts = [SPANS_CTE] + list(ctes)
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + body
+
+DEDUP_CTE = """
+dd AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY trace_id, span_id
+      ORDER BY arrival_seq DESC, start_time DESC, duration DESC, operation_name DESC,
+               service_name DESC, parent_span_id DESC) AS rn
+    FROM spans) WHERE rn = 1
+)
+"""
+
+CONFORM_CTE = f"""
+conf AS (
+  SELECT trace_id, span_id, request,
+    CASE WHEN {json_ok('request')}
+         THEN len(list_intersect(json_keys(request), ['CreditCard','Position','Address','Money','username','password'])) != 6
+         ELSE true END AS nonconforming
+  FROM req
+)
+"""
