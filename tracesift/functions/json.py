@@ -51,9 +51,9 @@ def json_value_text(col, key: str, case_insensitive: bool = False) -> Column:
     """Text of a top-level value: strings unquoted, numbers/objects as written compactly."""
     if not case_insensitive:
         return F.get_json_object(_c(col), _key_path(key))
-    actual = F.filter(F.json_object_keys(_c(col)), lambda k: F.lower(k) == key.lower())[0]
+    actual = F.get(F.filter(F.json_object_keys(_c(col)), lambda k: F.lower(k) == key.lower()), 0)
     path = F.concat(F.lit("$['"), actual, F.lit("']"))
-    return F.get_json_object(_c(col), path)
+    return F.call_function("get_json_object", _c(col), path)
 
 
 def json_value_length(col, key: str, case_insensitive: bool = False) -> Column:

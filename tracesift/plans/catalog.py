@@ -281,3 +281,275 @@ def q_union_all(spark, sf):
         root_spans_from_tables(spark, sf).select("operation_name"), service_spans_from_tables(spark, sf).select("operation_name")
     )
     return u.groupBy("operation_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ============================================================================ JSON and scalar functions (H*)
+
+
+def _payloads(spark, sf):
+    from ..sources.tables import payloads_from_tables
+
+    return payloads_from_tables(spark, sf)
+
+
+@query("json_length", "H1", f"""
+SELECT event_id, CASE WHEN {O.json_ok('props')} THEN length(json(props)::VARCHAR) END AS JTotalL FROM events""")
+def q_json_length(spark, sf):
+    from ..functions.json import json_length
+
+    return load(spark, sf, "events").select("event_id", json_length("props").alias("JTotalL"))
+
+
+@query("json_key_count", "H2", f"""
+SELECT event_id, CASE WHEN {O.json_ok('props')} THEN CAST(len(json_keys(props)) AS BIGINT) END AS JTotalC FROM events""")
+def q_json_key_count(spark, sf):
+    from ..functions.json import json_key_count
+
+    return load(spark, sf, "events").select("event_id", json_key_count("props").alias("JTotalC"))
+
+
+@query("json_has_key", "H3 Q3", O.with_spans(O.PAY_CTE, body=f"""
+SELECT Id,
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'username') AS BIGINT) END AS usernameE,
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'Username') AS BIGINT) END AS UsernameE,
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'password') AS BIGINT) END AS passwordE
+FROM pay"""))
+def q_json_has_key(spark, sf):
+    from ..functions.json import json_has_key
+
+    return _payloads(spark, sf).select(
+        "Id",
+        json_has_key("request", "username").alias("usernameE"),
+        json_has_key("request", "Username").alias("UsernameE"),
+        json_has_key("request", "password").alias("passwordE"),
+    )
+
+
+@query("json_value_length", "H4", O.with_spans(O.PAY_CTE, body=f"""
+SELECT Id,
+  CASE WHEN {O.json_ok('request')} THEN CASE WHEN list_contains(json_keys(request), 'CreditCard')
+       THEN coalesce(length(json_extract_string(request, '$."CreditCard"')), 4) ELSE 0 END END AS CreditCardL,
+  CASE WHEN {O.json_ok('request')} THEN CASE WHEN list_contains(json_keys(request), 'Money')
+       THEN coalesce(length(json_extract_string(request, '$."Money"')), 4) ELSE 0 END END AS MoneyL,
+  CASE WHEN {O.json_ok('request')} THEN CASE WHEN list_contains(json_keys(request), 'Priority')
+       THEN coalesce(length(json_extract_string(request, '$."Priority"')), 4) ELSE 0 END END AS PriorityL
+FROM pay"""))
+def q_json_value_length(spark, sf):
+    from ..functions.json import json_value_length
+
+    return _payloads(spark, sf).select(
+        "Id",
+        json_value_length("request", "CreditCard").alias("CreditCardL"),
+        json_value_length("request", "Money").alias("MoneyL"),
+        json_value_length("request", "Priority").alias("PriorityL"),
+    )
+
+
+@query("payload_features", "H5", O.with_spans(O.PAY_CTE, body=f"SELECT Id, {O.payload_features_sql('request')} FROM pay"))
+def q_payload_features(spark, sf):
+    return feat.payload_features(_payloads(spark, sf), "request")
+
+
+@query("payload_features_ci", "H5 Q3", O.with_spans(O.PAY_CTE, body=f"SELECT Id, {O.payload_features_ci_sql('request')} FROM pay"))
+def q_payload_features_ci(spark, sf):
+    return feat.payload_features(_payloads(spark, sf), "request", case_insensitive=True)
+
+
+@query("avg_path_norm", "H8", O.with_spans(body="""
+SELECT trace_id, n, round(CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+                               WHEN n = 2 THEN 1.0 ELSE 0.0 END, 6) AS c_n
+FROM (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id)"""))
+def q_avg_path_norm(spark, sf):
+    from ..functions.forest import avg_path_length
+
+    n = sp.spans_per_trace(_spans(spark, sf)).withColumnRenamed("n_spans", "n")
+    return n.select("trace_id", "n", F.round(avg_path_length("n"), 6).alias("c_n"))
+
+
+@query("depth_limit", "H13", O.with_spans(body="""
+SELECT trace_id, least(10, CAST(ceil(log2(greatest(2, n))) AS INTEGER)) AS depth_limit
+FROM (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id)"""))
+def q_depth_limit(spark, sf):
+    from ..functions.forest import depth_limit
+
+    n = sp.spans_per_trace(_spans(spark, sf))
+    return n.select("trace_id", depth_limit("n_spans", 10).alias("depth_limit"))
+
+
+_FLAG_GROUPS_SQL = """
+flag AS (SELECT trace_id, bool_or(nonconforming) AS flagged FROM conf GROUP BY trace_id),
+fg AS (SELECT trace_id, flagged, CAST(floor((row_number() OVER (ORDER BY trace_id) - 1) / 5000) AS BIGINT) AS flush_group FROM flag)
+"""
+
+
+def _flag_groups(spark, sf):
+    from ..functions.json import schema_conformance
+
+    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    flag = r.groupBy("trace_id").agg(F.max(schema_conformance("request")).alias("flagged"))
+    return sp.flush_groups(flag, ["trace_id"], 5000)
+
+
+@query("anomaly_id_list", "A12 E3", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, _FLAG_GROUPS_SQL, body="""
+SELECT flush_group, coalesce(string_agg(CAST(trace_id AS VARCHAR), ',' ORDER BY trace_id) FILTER (WHERE flagged), '') AS ids
+FROM fg GROUP BY flush_group"""))
+def q_anomaly_id_list(spark, sf):
+    from ..operators.evaluate import anomaly_id_list
+
+    return anomaly_id_list(_flag_groups(spark, sf), "trace_id", "flagged", ["flush_group"])
+
+
+@query("parse_id_list", "H14", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, _FLAG_GROUPS_SQL, body="""
+SELECT flush_group, trace_id AS Id FROM fg WHERE flagged"""))
+def q_parse_id_list(spark, sf):
+    from ..functions.text import parse_id_list
+    from ..operators.evaluate import anomaly_id_list
+
+    lists = anomaly_id_list(_flag_groups(spark, sf), "trace_id", "flagged", ["flush_group"])
+    return lists.select("flush_group", F.explode(parse_id_list("ids")).alias("Id"))
+
+
+@query("report_name", "H15 Q27", """
+SELECT event_id, replace('K Means Simple' || '_' || strftime(ts, '%Y%m%d%H%M'), ' ', '_') AS report FROM events""")
+def q_report_name(spark, sf):
+    from ..functions.text import report_name
+
+    return load(spark, sf, "events").select("event_id", report_name("K Means Simple", "ts").alias("report"))
+
+
+@query("rand_digits", "H16", """
+SELECT o_orderkey, 1000000000000000 + (('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), 1, 15))::BIGINT
+       % 9000000000000000) AS card FROM orders""")
+def q_rand_digits(spark, sf):
+    from ..functions.hashing import random_digits
+
+    return load(spark, sf, "orders").select("o_orderkey", random_digits(16, "o_orderkey", 42).alias("card"))
+
+
+@query("rand_token", "H17", """
+SELECT o_orderkey, array_to_string(list_transform(range(16), lambda i:
+  substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',
+         CAST((('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), CAST(2 * i + 1 AS INTEGER), 2))::INTEGER) % 62 + 1 AS INTEGER), 1)), '') AS token
+FROM orders""")
+def q_rand_token(spark, sf):
+    from ..functions.hashing import random_token
+
+    return load(spark, sf, "orders").select("o_orderkey", random_token(16, "o_orderkey", 42).alias("token"))
+
+
+@query("clean_name", "H18", """
+SELECT c_custkey, replace(trim(substr(replace(c_name, ' ', ''), 1, 8)), '‘', '''') AS name FROM customer""")
+def q_clean_name(spark, sf):
+    from ..functions.text import clean_name
+
+    return load(spark, sf, "customer").select("c_custkey", clean_name("c_name").alias("name"))
+
+
+_SCALAR_RE = r'(?:"(?:[^"\\]|\\.)*"|[^,}\s"]+)'
+
+
+@query("json_set_field", "H19", O.with_spans(O.PAY_CTE, body=f"""
+SELECT Id,
+  CASE WHEN list_contains(json_keys(request), 'CreditCard')
+       THEN regexp_replace(request, '("CreditCard"\\s*:\\s*){_SCALAR_RE}',
+                           '\\1"' || json_extract_string(request, '$."CreditCard"') || '"', 'g')
+       ELSE request END AS retyped,
+  regexp_replace(regexp_replace(request, '\\{{\\s*"password"\\s*:\\s*{_SCALAR_RE}\\s*,?', '{{', 'g'),
+                 ',\\s*"password"\\s*:\\s*{_SCALAR_RE}', '', 'g') AS removed,
+  CASE WHEN list_contains(json_keys(request), 'Note') THEN request
+       ELSE regexp_replace(request, '\\}}\\s*$', '') || ',"Note":"x"}}' END AS appended
+FROM pay"""))
+def q_json_set_field(spark, sf):
+    from ..functions.json import json_remove_field, json_set_field, json_string_literal, json_value_text
+
+    p = _payloads(spark, sf)
+    return p.select(
+        "Id",
+        json_set_field("request", "CreditCard", json_string_literal(json_value_text("request", "CreditCard"))).alias("retyped"),
+        json_remove_field("request", "password").alias("removed"),
+        json_set_field("request", "Note", F.lit('"x"')).alias("appended"),
+    )
+
+
+# ============================================================================ sources and sinks
+
+
+@query("scan_glob", "A2", """
+SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS n_rows,
+       (SELECT count(o_orderkey) FROM orders) AS n_orders, (SELECT count(l_orderkey) FROM lineitem) AS n_lines""")
+def q_scan_glob(spark, sf):
+    from ..sources.io import scan_glob
+
+    df = scan_glob(spark, f"{sf.rstrip('/')}/{{orders,lineitem}}.parquet")
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("o_orderkey").alias("n_orders"), F.count("l_orderkey").alias("n_lines")
+    )
+
+
+@query("scan_csv", "A4", """
+SELECT CAST(p_partkey AS INTEGER) AS _c0, p_size AS _c1, p_retailprice AS _c2, p_brand AS _c3 FROM part""")
+def q_scan_csv(spark, sf):
+    from ..sources.io import read_csv, write_csv
+
+    path = write_csv(load(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand"))
+    return read_csv(spark, path)
+
+
+@query("parse_trace_requests", "A6 F3-fixture", O.with_spans(O.REQ_CTE, O.durs_cte(), body="""
+SELECT r.trace_id AS Id, r.duration AS TraceD, d.SpanD1, d.SpanD2, d.SpanD3, d.SpanD4, r.request
+FROM req r LEFT JOIN durs d ON r.trace_id = d.trace_id"""))
+def q_parse_trace_requests(spark, sf):
+    from ..schema import SERVICE_OPERATIONS
+    from ..sources.io import parse_trace_requests
+
+    s = _spans(spark, sf)
+    req = sp.request_tags(sp.root_spans(s, None))
+    durs = sp.trace_durations(s)
+    j = req.join(durs, "trace_id", "left")
+    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    body = F.concat(
+        F.lit('[{"traceID":'), num("trace_id"), F.lit(',"park-spot":'), num("duration"),
+        *[x for i, op in enumerate(SERVICE_OPERATIONS) for x in (F.lit(f',"{op}":'), num(f"SpanD{i + 1}"))],
+        F.lit(',"request":'), F.col("request"), F.lit("}]"),
+    )
+    return parse_trace_requests(j.select(body.alias("body")), "body")
+
+
+@query("write_jsonl", "A9", O.with_spans(O.PAY_CTE, body="SELECT request AS value FROM pay"))
+def q_write_jsonl(spark, sf):
+    from ..sources.io import read_json_lines, write_json_lines
+
+    path = write_json_lines(_payloads(spark, sf), "request")
+    return read_json_lines(spark, path)
+
+
+@query("scan_jsonl", "A8 H5", O.with_spans(O.PAY_CTE, body=f"SELECT {O.payload_features_sql('request')} FROM pay"))
+def q_scan_jsonl(spark, sf):
+    from ..sources.io import read_json_lines, write_json_lines
+
+    path = write_json_lines(_payloads(spark, sf), "request")
+    return feat.payload_features(read_json_lines(spark, path), "value", keep=())
+
+
+@query("write_anomalies", "A11", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, body="""
+SELECT trace_id, span_id, request FROM conf WHERE nonconforming"""))
+def q_write_anomalies(spark, sf):
+    from ..functions.json import schema_conformance
+    from ..sources.io import write_json
+
+    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    path = write_json(r.filter(schema_conformance("request")).select("trace_id", "span_id", "request"))
+    return spark.read.schema("trace_id long, span_id long, request string").json(path)
+
+
+@query("forward_spans", "A13 C4", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, body="""
+SELECT service_name, count(*) AS n_spans FROM spans
+WHERE trace_id IN (SELECT trace_id FROM conf WHERE nonconforming) GROUP BY service_name"""))
+def q_forward_spans(spark, sf):
+    from ..functions.json import schema_conformance
+    from ..sources.io import forward_spans
+
+    s = _spans(spark, sf)
+    flagged = sp.request_tags(sp.root_spans(s, None)).filter(schema_conformance("request")).select("trace_id")
+    path = forward_spans(sp.keep_traces(s, flagged))
+    return spark.read.parquet(path).groupBy("service_name").agg(F.count(F.lit(1)).alias("n_spans"))

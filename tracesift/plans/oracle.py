@@ -150,3 +150,28 @@ conf AS (
   FROM req
 )
 """
+
+PAY_CTE = """
+pay AS (
+  SELECT trace_id AS Id, list_filter(tags, lambda x: x.key = 'request')[1].value AS request
+  FROM roots WHERE len(list_filter(tags, lambda x: x.key = 'request')) > 0
+)
+"""
+
+
+def payload_features_ci_sql(col: str = "request", keys=PAYLOAD_KEYS) -> str:
+    ok = json_ok(col)
+    parts = [
+        f"CASE WHEN {ok} THEN length(json({col})::VARCHAR) END AS JTotalL",
+        f"CASE WHEN {ok} THEN CAST(len(json_keys({col})) AS BIGINT) END AS JTotalC",
+    ]
+    for k in keys:
+        lname = "Position1L" if k == "Position" else f"{k}L"
+        actual = f"list_filter(json_keys({col}), lambda x: lower(x) = lower('{k}'))"
+        has = f"(len({actual}) > 0)"
+        parts.append(f"CASE WHEN {ok} THEN CAST({has} AS BIGINT) END AS {k}E")
+        parts.append(
+            f"CASE WHEN {ok} THEN CASE WHEN {has} THEN coalesce(length(json_extract_string({col}, '$.\"' || {actual}[1] || '\"')), 4) "
+            f"ELSE 0 END END AS {lname}"
+        )
+    return ",\n  ".join(parts)

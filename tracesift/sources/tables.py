@@ -143,5 +143,5 @@ def payloads_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = root_spans_from_tables(spark, sf_dir)
     return roots.select(
         F.col("trace_id").alias("Id"),
-        F.filter("tags", lambda t: t["key"] == REQUEST_TAG)[0]["value"].alias("request"),
+        F.get(F.filter("tags", lambda t: t["key"] == REQUEST_TAG), 0)["value"].alias("request"),
     ).where(F.col("request").isNotNull())
