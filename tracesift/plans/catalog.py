@@ -553,3 +553,133 @@ def q_forward_spans(spark, sf):
     flagged = sp.request_tags(sp.root_spans(s, None)).filter(schema_conformance("request")).select("trace_id")
     path = forward_spans(sp.keep_traces(s, flagged))
     return spark.read.parquet(path).groupBy("service_name").agg(F.count(F.lit(1)).alias("n_spans"))
+
+
+# ============================================================================ clustering detector
+
+
+def _embedding_model(spark, sf, train_only=True):
+    """Detector over embeddings with centroids = rounded per-label means (a fixed, checkable model)."""
+    from ..functions.hashing import hash_unit
+    from ..operators import cluster as cl
+
+    emb = load(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+    cent = cl.label_centroids(emb, "vec", "label", 2)
+    rows = cent.orderBy("cluster").collect()  # one row per label: bounded by the label count, checked below
+    if len(rows) > cl.MAX_CLUSTERS:
+        raise ValueError("too many labels for a centroid table")
+    centroids = [list(r["centroid"]) for r in rows]
+    is_train = hash_unit("vec_id", F.lit("split")) < 0.8
+    model = cl.fit_with_centroids(emb.filter(is_train), "vec", centroids)
+    return emb, model, is_train
+
+
+@query("centroid_distance", "H7 C7", O.with_ctes(O.EMB_CTE, body="""
+SELECT vec_id, label, round(d, 6) AS dist FROM dist JOIN cent USING (cluster, label)"""))
+def q_centroid_distance(spark, sf):
+    from ..operators import cluster as cl
+
+    emb = load(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+    cent = cl.label_centroids(emb, "vec", "label", 2).withColumnRenamed("cluster", "label_c")
+    table = cent.select(F.col("label_c").alias("cluster"), "centroid")
+    out = cl.distance_to_cluster_table(emb, "vec", "label", table)
+    return out.select("vec_id", "label", F.round("dist", 6).alias("dist"))
+
+
+@query("cluster_distances", "D6 H7", O.with_ctes(O.EMB_CTE, body="""
+SELECT vec_id, prediction, round(d, 6) AS dist FROM near"""))
+def q_cluster_distances(spark, sf):
+    from ..operators import cluster as cl
+
+    emb, model, _ = _embedding_model(spark, sf)
+    return cl.assign_nearest(emb, "vec", model.centroids).select("vec_id", "prediction", F.round("dist", 6).alias("dist"))
+
+
+@query("clustering_score", "D4", O.with_ctes(O.EMB_CTE, body="""
+SELECT round(coalesce(sum(m), 0) / (SELECT count(*) FROM cent), 6) AS score
+FROM (SELECT prediction, avg(d) AS m FROM near GROUP BY prediction)"""))
+def q_clustering_score(spark, sf):
+    from ..operators import cluster as cl
+
+    emb, model, _ = _embedding_model(spark, sf)
+    s = cl.clustering_score(cl.assign_nearest(emb, "vec", model.centroids), model.k)
+    return s.select(F.round("score", 6).alias("score"))
+
+
+@query("max_by_centroid", "D5 Q2 Q16", O.with_ctes(O.EMB_CTE, body="SELECT cluster, round(max_dist, 6) AS max_dist FROM mx"))
+def q_max_by_centroid(spark, sf):
+    from ..operators import cluster as cl
+
+    emb, model, is_train = _embedding_model(spark, sf)
+    assigned = cl.assign_nearest(emb.filter(is_train), "vec", model.centroids)
+    return cl.max_by_centroid(assigned, model.k).select("cluster", F.round("max_dist", 6).alias("max_dist"))
+
+
+@query("check_anomaly", "H12 J10", O.with_ctes(O.EMB_CTE, body="SELECT vec_id, prediction, anomaly FROM test"))
+def q_check_anomaly(spark, sf):
+    emb, model, is_train = _embedding_model(spark, sf)
+    return model.transform(emb.filter(~is_train)).select("vec_id", "prediction", "anomaly")
+
+
+@query("kmeans_anomaly_detect", "J10 B13 D14", O.with_ctes(O.EMB_CTE, body="""
+SELECT vec_id, prediction, round(d, 6) AS dist, round(max_dist, 6) AS max_dist FROM test WHERE anomaly = 1"""))
+def q_kmeans_anomaly_detect(spark, sf):
+    emb, model, is_train = _embedding_model(spark, sf)
+    a = model.anomalies(emb.filter(~is_train))
+    return a.select("vec_id", "prediction", F.round("dist", 6).alias("dist"), F.round("max_dist", 6).alias("max_dist"))
+
+
+def _trace_feature_frame(spark, sf):
+    from ..schema import FEATURE_COLUMNS
+
+    tf = feat.trace_features(spans_from_tables(spark, sf))
+    return tf, list(FEATURE_COLUMNS)
+
+
+@query("kmeans_simple", "J5 J1 A10")
+def q_kmeans_simple(spark, sf):
+    from ..operators import cluster as cl
+
+    tf, cols = _trace_feature_frame(spark, sf)
+    model = cl.fit_detector(tf, cols, k=10, algorithm="kmeans", seed=1)
+    return model.transform(tf).select("Id", "prediction", "dist", "anomaly")
+
+
+def _part(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@query("kmeans_onehot", "J6 J2 J3")
+def q_kmeans_onehot(spark, sf):
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="kmeans")
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+
+
+@query("kmeans_onehot_norm", "J7 J4")
+def q_kmeans_onehot_norm(spark, sf):
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="kmeans", scale=True)
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+
+
+@query("bisecting_kmeans", "J8")
+def q_bisecting_kmeans(spark, sf):
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="bisecting", scale=True)
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+
+
+@query("gmm", "J9")
+def q_gmm(spark, sf):
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_type"], k=4, algorithm="gmm", scale=True, sample_fraction=0.1)
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")

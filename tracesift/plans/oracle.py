@@ -175,3 +175,38 @@ def payload_features_ci_sql(col: str = "request", keys=PAYLOAD_KEYS) -> str:
             f"ELSE 0 END END AS {lname}"
         )
     return ",\n  ".join(parts)
+
+# Embeddings with per-label centroids (rounded means) and distances to every centroid.
+EMB_CTE = """
+ev AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cent AS (
+  SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster, label, c FROM (
+    SELECT label, list(round(m, 2) ORDER BY pos) AS c FROM (
+      SELECT label, pos, avg(v) AS m FROM (
+        SELECT label, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS pos FROM ev) GROUP BY label, pos)
+    GROUP BY label)
+),
+dist AS (
+  SELECT ev.vec_id, ev.label, cent.cluster,
+    sqrt(list_sum(list_transform(range(1, len(ev.e) + 1), lambda i: (ev.e[i] - cent.c[i]) * (ev.e[i] - cent.c[i])))) AS d
+  FROM ev, cent
+),
+near AS (SELECT vec_id, arg_min(cluster, d) AS prediction, min(d) AS d FROM dist GROUP BY vec_id),
+split AS (
+  SELECT vec_id, (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|split'), 1, 15))::BIGINT / 1152921504606846976.0) < 0.8 AS is_train
+  FROM embeddings
+),
+mx AS (
+  SELECT c.cluster, coalesce(max(n.d), 0.0) AS max_dist
+  FROM cent c LEFT JOIN (SELECT n.* FROM near n JOIN split s USING (vec_id) WHERE s.is_train) n ON n.prediction = c.cluster
+  GROUP BY c.cluster
+),
+test AS (
+  SELECT n.vec_id, n.prediction, n.d, m.max_dist, CASE WHEN n.d > m.max_dist THEN 1 ELSE 0 END AS anomaly
+  FROM near n JOIN split s USING (vec_id) JOIN mx m ON m.cluster = n.prediction WHERE NOT s.is_train
+)
+"""
+
+
+def with_ctes(*ctes: str, body: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
