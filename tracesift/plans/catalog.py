@@ -683,3 +683,211 @@ def q_gmm(spark, sf):
     p = _part(spark, sf)
     m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_type"], k=4, algorithm="gmm", scale=True, sample_fraction=0.1)
     return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+
+
+# ============================================================================ isolation forest
+
+# A hand-made two-tree forest over lineitem (l_quantity, l_discount, l_tax), psi = 16,
+# so path lengths and scores can be written out as CASE expressions for the oracle.
+FIXED_FOREST = [
+    # tree_id, id, feature_index, feature_value, left_child, right_child, num_instance
+    (0, 0, 0, 25.5, 1, 4, 0), (0, 1, 1, 0.05, 2, 3, 0), (0, 2, -1, -1.0, -1, -1, 3), (0, 3, -1, -1.0, -1, -1, 5),
+    (0, 4, -1, -1.0, -1, -1, 10),
+    (1, 0, 2, 0.04, 1, 2, 0), (1, 1, -1, -1.0, -1, -1, 1), (1, 2, 0, 10.5, 3, 4, 0), (1, 3, -1, -1.0, -1, -1, 2),
+    (1, 4, -1, -1.0, -1, -1, 20),
+]
+FIXED_PSI = 16
+FIXED_THRESHOLD = 0.6
+
+
+def _c_sql(n: int) -> str:
+    if n > 2:
+        return f"(2 * (ln({n} - 1) + 0.5772156649) - 2.0 * ({n} - 1) / {n})"
+    return "1.0" if n == 2 else "0.0"
+
+
+_P0 = (f"CASE WHEN l_quantity < 25.5 THEN CASE WHEN l_discount < 0.05 THEN 2 + {_c_sql(3)} ELSE 2 + {_c_sql(5)} END "
+       f"ELSE 1 + {_c_sql(10)} END")
+_P1 = (f"CASE WHEN l_tax < 0.04 THEN 1 + {_c_sql(1)} ELSE CASE WHEN l_quantity < 10.5 THEN 2 + {_c_sql(2)} "
+       f"ELSE 2 + {_c_sql(20)} END END")
+_SCORE = f"pow(2, -((({_P0}) + ({_P1})) / 2) / {_c_sql(FIXED_PSI)})"
+
+
+def _fixed_model(**params):
+    import pandas as pd
+
+    from ..operators.iforest import IForestModel
+    from ..schema import NODE_SCHEMA
+
+    nodes = pd.DataFrame(FIXED_FOREST, columns=NODE_SCHEMA.names)
+    return IForestModel.from_nodes(nodes, FIXED_PSI, FIXED_THRESHOLD, featuresCol="f", **params)
+
+
+def _lineitem_f(spark, sf):
+    li = load(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_tax").alias("f"))
+
+
+@query("path_length", "H9", f"""
+SELECT l_orderkey, l_linenumber, round({_P0}, 6) AS p0, round({_P1}, 6) AS p1 FROM lineitem""")
+def q_path_length(spark, sf):
+    m = _fixed_model()
+    out = m.path_lengths(_lineitem_f(spark, sf), "pl")
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("pl")[0], 6).alias("p0"), F.round(F.col("pl")[1], 6).alias("p1"))
+
+
+@query("iforest_score", "H10 H8", f"SELECT l_orderkey, l_linenumber, round({_SCORE}, 6) AS score FROM lineitem")
+def q_iforest_score(spark, sf):
+    out = _fixed_model().transform(_lineitem_f(spark, sf))
+    return out.select("l_orderkey", "l_linenumber", F.round("anomalyScore", 6).alias("score"))
+
+
+@query("score_threshold", "H11", f"""
+SELECT l_orderkey, l_linenumber, CAST({_SCORE} > {FIXED_THRESHOLD} AS DOUBLE) AS prediction FROM lineitem""")
+def q_score_threshold(spark, sf):
+    return _fixed_model().transform(_lineitem_f(spark, sf)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("num_anomalies", "D14", f"SELECT count(*) FILTER (WHERE {_SCORE} > {FIXED_THRESHOLD}) AS num_anomalies FROM lineitem")
+def q_num_anomalies(spark, sf):
+    from ..operators.evaluate import num_anomalies
+
+    return num_anomalies(_fixed_model().transform(_lineitem_f(spark, sf)))
+
+
+@query("quantile_threshold", "D7", """
+SELECT quantile_disc(value, 0.65) AS q65, quantile_disc(value, 0.9) AS q90, quantile_disc(value, 0.99) AS q99 FROM events""")
+def q_quantile_threshold(spark, sf):
+    from ..operators.evaluate import exact_quantiles
+
+    q = exact_quantiles(load(spark, sf, "events"), "value", [0.65, 0.9, 0.99])
+    return spark.createDataFrame([tuple(q)], "q65 double, q90 double, q99 double")
+
+
+@query("auc_roc", "D15", """
+SELECT round((tp / p + tn / n) / 2.0, 6) AS auc, p AS positives, n AS negatives FROM (
+  SELECT count(*) FILTER (WHERE d.n_chars > 2000 AND l.toxic > 0) AS tp, count(*) FILTER (WHERE l.toxic > 0) AS p,
+         count(*) FILTER (WHERE NOT d.n_chars > 2000 AND NOT l.toxic > 0) AS tn, count(*) FILTER (WHERE NOT l.toxic > 0) AS n
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""")
+def q_auc_roc(spark, sf):
+    from ..operators.evaluate import auc_binary
+
+    d = load(spark, sf, "documents").select("doc_id", "n_chars").join(load(spark, sf, "labels"), "doc_id")
+    d = d.select((F.col("n_chars") > 2000).cast("int").alias("prediction"), F.col("toxic").alias("label"))
+    return auc_binary(d, "prediction", "label").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+
+
+@query("feature_range", "D11", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), body="SELECT "
+       + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in __import__("tracesift.schema", fromlist=["x"]).FEATURE_COLUMNS)
+       + " FROM tf"))
+def q_feature_range(spark, sf):
+    return feat.feature_range(feat.trace_features(spans_from_tables(spark, sf)))
+
+
+@query("reservoir_sample", "J13", """
+SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|7'), 1, 15))::BIGINT LIMIT 100""")
+def q_reservoir_sample(spark, sf):
+    from ..operators.sampling import reservoir_sample
+
+    return reservoir_sample(load(spark, sf, "orders").select("o_orderkey"), 100, 7, ["o_orderkey"])
+
+
+def _assembled_traces(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..schema import FEATURE_COLUMNS
+
+    tf = feat.trace_features(spans_from_tables(spark, sf))
+    return VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features").transform(tf)
+
+
+@query("iforest_fit", "J11 J12 J14 J15 J18 C6 D8")
+def q_iforest_fit(spark, sf):
+    from ..operators.iforest import IForest
+
+    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42).fit(_assembled_traces(spark, sf))
+    return model.nodes_df(spark)
+
+
+@query("iforest_transform", "J16 H9 H10 H11")
+def q_iforest_transform(spark, sf):
+    from ..operators.iforest import IForest
+
+    data = _assembled_traces(spark, sf)
+    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42).fit(data)
+    return model.transform(data).select("Id", "anomalyScore", "prediction")
+
+
+@query("iforest_summary", "J17 D14")
+def q_iforest_summary(spark, sf):
+    from ..operators.iforest import IForest
+
+    data = _assembled_traces(spark, sf)
+    model = IForest(numTrees=50, maxSamples=128, contamination=0.1, seed=7).fit(data)
+    return model.summary(data)
+
+
+@query("tree_samples", "J12 E1")
+def q_tree_samples(spark, sf):
+    from ..operators.iforest import IForest
+
+    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3).sample(_assembled_traces(spark, sf))
+    return samples
+
+
+@query("sample_copies", "D9 Q14")
+def q_sample_copies(spark, sf):
+    from ..operators.iforest import IForest, sample_copies
+
+    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3, bootstrap=True).sample(
+        _assembled_traces(spark, sf)
+    )
+    return sample_copies(samples)
+
+
+@query("iforest_save_load", "A14 A15 D10 F4")
+def q_iforest_save_load(spark, sf):
+    from ..operators.iforest import IForest, IForestModel
+    from ..session import shared_dir
+
+    model = IForest(numTrees=20, maxSamples=64, seed=5).fit(_assembled_traces(spark, sf))
+    path = shared_dir(spark, "iforest")
+    model.write().overwrite().save(path)
+    return IForestModel.load(path).nodes_df(spark)
+
+
+def _document_features(spark, sf):
+    d = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id")
+    text = F.col("text")
+    return d.select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(text, r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split(text, "\n")).cast("double").alias("n_lines"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[0-9]", ""))).cast("double").alias("n_digits"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).cast("double").alias("n_upper"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[^\\x00-\\x7F]", ""))).cast("double").alias("n_non_ascii"),
+        F.col("toxic").cast("string").alias("label_raw"),
+    )
+
+
+@query("iforest_labelled_run", "J20 J2 J1 D15 A10")
+def q_iforest_labelled_run(spark, sf):
+    """CSV-like labelled table -> index label -> assemble -> forest -> AUC of 0/1 predictions."""
+    import time
+
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    from ..operators.evaluate import auc_binary
+    from ..operators.iforest import IForest
+
+    started = time.time()
+    d = _document_features(spark, sf)
+    d = StringIndexer(inputCol="label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(d).transform(d)
+    cols = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper", "n_non_ascii"]
+    d = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
+    forest = IForest(numTrees=100, maxSamples=256, contamination=0.35, maxDepth=100, seed=123456)
+    pred = forest.fit(d).transform(d)
+    return auc_binary(pred, "prediction", "label").select(
+        "*", F.lit(round(time.time() - started, 3)).alias("fit_seconds")
+    )
