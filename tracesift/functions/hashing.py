@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import TOKEN_ALPHABET
 
 HASH_HEX = 15  # 60 bits: fits a signed bigint
 HASH_SPACE = 16**HASH_HEX
@@ -43,15 +42,12 @@ def random_digits(n: int, *parts) -> Column:
 
 
 def random_token(length: int, *parts) -> Column:
-    """Alphanumeric token of ``length`` (<= 16) characters, two hex digits per character."""
-    h = hash_key(*parts)
-    idx = F.sequence(F.lit(0), F.lit(length - 1))
-    chars = F.transform(
-        idx,
-        lambda i: F.substring(
-            F.lit(TOKEN_ALPHABET),
-            (F.pmod(F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"), F.lit(len(TOKEN_ALPHABET))) + 1),
-            1,
-        ),
-    )
-    return F.array_join(chars, "")
+    """Alphanumeric token of ``length`` (<= 21) characters.
+
+    The base64 text of the 16-byte md5 digest, with '+' and '/' mapped to 'x'
+    and 'y': built-in expressions only, no per-character lambda.
+    """
+    if not 1 <= length <= 21:
+        raise ValueError("token length must be in 1..21")
+    b64 = F.base64(F.unhex(hash_key(*parts)))
+    return F.translate(F.substring(b64, 1, length), "+/", "xy")

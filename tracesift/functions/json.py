@@ -63,16 +63,43 @@ def json_value_length(col, key: str, case_insensitive: bool = False) -> Column:
     return F.when(has == 1, F.coalesce(text_len, F.lit(4))).when(has == 0, F.lit(0)).cast("long")
 
 
-def payload_feature_columns(col, keys: Sequence[str] = PAYLOAD_KEYS, case_insensitive: bool = False) -> list[Column]:
-    """H5: JTotalL, JTotalC, then (E, L) per key, named as in the feature schema."""
-    out = [json_length(col).alias("JTotalL"), json_key_count(col).alias("JTotalC")]
+def payload_feature_columns(col, keys: Sequence[str] = PAYLOAD_KEYS, case_insensitive: bool = False,
+                            keys_col=None, compact_col=None) -> list[Column]:
+    """H5: JTotalL, JTotalC, then (E, L) per key, named as in the feature schema.
+
+    ``keys_col`` / ``compact_col`` may name columns already holding
+    ``json_object_keys(col)`` and ``get_json_object(col, '$')`` (see
+    ``with_json_parts``), so each row parses its text for them once.
+    """
+    j = _c(col)
+    keys_arr = _c(keys_col) if keys_col is not None else F.json_object_keys(j)
+    compact = _c(compact_col) if compact_col is not None else compact_json(j)
+    is_obj = F.coalesce(compact.startswith("{"), F.lit(False))
+    out = [
+        F.when(is_obj, F.length(compact)).cast("long").alias("JTotalL"),
+        F.when(is_obj, F.size(keys_arr)).cast("long").alias("JTotalC"),
+    ]
     for key in keys:
         lname = "Position1L" if key == "Position" else f"{key}L"
-        out.append(json_has_key(col, key, case_insensitive).alias(f"{key}E"))
-        out.append(json_value_length(col, key, case_insensitive).alias(lname))
+        if case_insensitive:
+            matches = F.filter(keys_arr, lambda k: F.lower(k) == key.lower())
+            has = F.size(matches) > 0
+            text = F.call_function("get_json_object", j, F.concat(F.lit("$['"), F.get(matches, 0), F.lit("']")))
+        else:
+            has = F.array_contains(keys_arr, key)
+            text = F.get_json_object(j, _key_path(key))
+        out.append(F.when(is_obj, has.cast("long")).alias(f"{key}E"))
+        out.append(
+            F.when(is_obj, F.when(has, F.coalesce(F.length(text), F.lit(4))).otherwise(F.lit(0))).cast("long").alias(lname)
+        )
     return out
 
 
+def with_json_parts(df, col: str, keys_col: str = "_jk", compact_col: str = "_jc"):
+    """Adds the key list and the compact text of a JSON column (parsed once per row)."""
+    return df.withColumn(keys_col, F.json_object_keys(F.col(col))).withColumn(compact_col, compact_json(col))
+
+
 def schema_conformance(col, expected_keys: Sequence[str] = PAYLOAD_KEYS) -> Column:
     """True when the payload misses one of the expected keys (extra keys are ignored).
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import payload_feature_columns
+from ..functions.json import payload_feature_columns, with_json_parts
 from ..schema import DURATION_FEATURES, FEATURE_COLUMNS, PAYLOAD_KEYS, REQUEST_TAG, SERVICE_OPERATIONS
 from .spans import is_root, request_tags, trace_durations
 
@@ -18,7 +18,8 @@ def payload_features(
 ) -> DataFrame:
     """H5: feature columns of a JSON payload column, next to the ``keep`` columns."""
     keep = [c for c in keep if c in df.columns]
-    return df.select(*keep, *payload_feature_columns(json_col, keys, case_insensitive))
+    parts = with_json_parts(df, json_col)
+    return parts.select(*keep, *payload_feature_columns(json_col, keys, case_insensitive, "_jk", "_jc"))
 
 
 def trace_features(
@@ -50,9 +51,9 @@ def trace_features(
         dcols = [F.col(c).cast("long").alias(c) for c in span_cols]
     else:
         raise ValueError(f"unknown missing mode {missing!r}")
-    out = joined.select(
+    out = with_json_parts(joined, REQUEST_TAG).select(
         F.col("trace_id").alias("Id"),
-        *payload_feature_columns(REQUEST_TAG, keys, case_insensitive),
+        *payload_feature_columns(REQUEST_TAG, keys, case_insensitive, "_jk", "_jc"),
         F.col("duration").cast("long").alias("TraceD"),
         *dcols,
     )

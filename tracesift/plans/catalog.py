@@ -427,9 +427,7 @@ def q_rand_digits(spark, sf):
 
 
 @query("rand_token", "H17", """
-SELECT o_orderkey, array_to_string(list_transform(range(16), lambda i:
-  substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',
-         CAST((('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), CAST(2 * i + 1 AS INTEGER), 2))::INTEGER) % 62 + 1 AS INTEGER), 1)), '') AS token
+SELECT o_orderkey, translate(substr(to_base64(unhex(md5(CAST(o_orderkey AS VARCHAR) || '|42'))), 1, 16), '+/', 'xy') AS token
 FROM orders""")
 def q_rand_token(spark, sf):
     from ..functions.hashing import random_token
@@ -891,3 +889,109 @@ def q_iforest_labelled_run(spark, sf):
     return auc_binary(pred, "prediction", "label").select(
         "*", F.lit(round(time.time() - started, 3)).alias("fit_seconds")
     )
+
+
+# ============================================================================ injection and augmentation
+
+
+def _rule_sql(rule: str, copy_expr: str, rate_bound: int, key: str = "Id", seed: int = 42) -> str:
+    return (f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|' || CAST({copy_expr} AS VARCHAR) || '|{seed}|{rule}'), 1, 15))"
+            f"::BIGINT < {rate_bound})")
+
+
+def _inject_labels_sql(copy_expr: str) -> str:
+    from ..operators.augment import rule_bound
+    from ..schema import INJECTION_RATE
+
+    b = rule_bound(INJECTION_RATE)
+    t = _rule_sql("type", copy_expr, b)
+    m = f"({copy_expr} = 0 AND {_rule_sql('missing', copy_expr, b)})"
+    s = f"({copy_expr} > 0 AND {_rule_sql('sql', copy_expr, b)})"
+    return f"{t} AS type_change, {m} AS missing_field, {s} AS sql_injection, ({t} OR {m} OR {s}) AS injected"
+
+
+@query("inject_anomalies", "J23 H16 H17 H18 H19", O.with_spans(O.PAY_CTE, body=f"""
+SELECT Id, {_inject_labels_sql('0')} FROM pay"""))
+def q_inject_anomalies(spark, sf):
+    from ..operators.augment import inject_anomalies
+
+    out = inject_anomalies(_payloads(spark, sf), "request", "Id", "copy", 42)
+    return out.select("Id", "type_change", "missing_field", "sql_injection", "injected")
+
+
+@query("augment_rows", "J24 J23", O.with_spans(O.PAY_CTE, body=f"""
+SELECT Id, copy, {_inject_labels_sql('copy')} FROM (SELECT Id, unnest(range(0, 5)) AS copy FROM pay)"""))
+def q_augment_rows(spark, sf):
+    from ..operators.augment import augment_rows
+
+    return augment_rows(_payloads(spark, sf), 4, "request", "Id", 42).select(
+        "Id", "copy", "type_change", "missing_field", "sql_injection", "injected"
+    )
+
+
+@query("injection_counts", "D16", O.with_spans(O.PAY_CTE, body=f"""
+SELECT count(*) FILTER (WHERE type_change) AS n_type_change, count(*) FILTER (WHERE missing_field) AS n_missing_field,
+       count(*) FILTER (WHERE sql_injection) AS n_sql_injection, count(*) FILTER (WHERE injected) AS n_injected,
+       count(*) AS n_total
+FROM (SELECT Id, copy, {_inject_labels_sql('copy')} FROM (SELECT Id, unnest(range(0, 5)) AS copy FROM pay))"""))
+def q_injection_counts(spark, sf):
+    from ..operators.augment import augment_rows, injection_counts
+
+    return injection_counts(augment_rows(_payloads(spark, sf), 4, "request", "Id", 42))
+
+
+@query("augmented_features", "J24 H5")
+def q_augmented_features(spark, sf):
+    """Payload features of the augmented, labelled payloads (rows-only: edited JSON text)."""
+    from ..operators.augment import augment_rows
+
+    aug = augment_rows(_payloads(spark, sf), 4, "request", "Id", 42)
+    return feat.payload_features(aug, "request", keep=("Id", "copy", "injected"), case_insensitive=True)
+
+
+# ============================================================================ sampling
+
+
+def _head_bound(rate: float) -> int:
+    from ..functions.hashing import HASH_SPACE
+
+    return int(rate * HASH_SPACE)
+
+
+@query("head_sample", "I9", O.with_spans(body=f"""
+SELECT trace_id, span_id FROM spans
+WHERE ('0x' || substr(md5(CAST(trace_id AS VARCHAR) || '|0'), 1, 15))::BIGINT < {_head_bound(0.1)}"""))
+def q_head_sample(spark, sf):
+    from ..operators.sampling import head_sample
+
+    return head_sample(_spans(spark, sf), 0.1, 0).select("trace_id", "span_id")
+
+
+_TAIL_SQL = O.with_spans(O.REQ_CTE, O.CONFORM_CTE, O.DEDUP_CTE, body="""
+SELECT trace_id, span_id, operation_name, service_name, run_id FROM (
+  SELECT *, CAST(sum(chg) OVER (PARTITION BY trace_id ORDER BY span_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS run_id
+  FROM (SELECT *, CASE WHEN lag(service_name) OVER w IS NULL OR lag(service_name) OVER w != service_name
+                            OR lag(host) OVER w != host THEN 1 ELSE 0 END AS chg
+        FROM dd WHERE trace_id IN (SELECT trace_id FROM conf WHERE nonconforming)
+        WINDOW w AS (PARTITION BY trace_id ORDER BY span_id)))""")
+
+
+@query("tail_sample", "I7 C4 E2 B16 D3", _TAIL_SQL)
+def q_tail_sample(spark, sf):
+    """Flagship: dedup spans, flag traces whose payload breaks the schema, keep their spans in process runs."""
+    from ..functions.json import schema_conformance
+    from ..operators.sampling import tail_sample
+
+    spans = sp.dedup_spans(_spans(spark, sf))
+    flagged = sp.request_tags(sp.root_spans(spans, None)).filter(schema_conformance("request")).select("trace_id")
+    kept = tail_sample(spans, flagged, "anomalous")
+    return sp.process_runs(kept).select("trace_id", "span_id", "operation_name", "service_name", "run_id")
+
+
+@query("tail_sample_passthrough", "I8 Q23", O.with_spans(O.DEDUP_CTE, body="SELECT trace_id, span_id FROM dd"))
+def q_tail_sample_passthrough(spark, sf):
+    from ..operators.sampling import tail_sample
+
+    spans = sp.dedup_spans(_spans(spark, sf))
+    return tail_sample(spans, spans.limit(0), "passthrough").select("trace_id", "span_id")

@@ -31,7 +31,6 @@ SQL_INJECTIONS = (
     " UNION SELECT 1,@@version-- ",
     " UNION SELECT 1,name FROM master..sysdatabases-- ",
 )
-TOKEN_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 # ---------------------------------------------------------------------------
 
 # Canonical feature row: E = key exists (0/1), L = length of the value text.
