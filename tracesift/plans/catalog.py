@@ -995,3 +995,106 @@ def q_tail_sample_passthrough(spark, sf):
 
     spans = sp.dedup_spans(_spans(spark, sf))
     return tail_sample(spans, spans.limit(0), "passthrough").select("trace_id", "span_id")
+
+
+# ============================================================================ streaming agent
+
+STREAM_WATERMARK = "3650 days"  # test timestamps span years; lateness is not what these queries test
+STREAM_TIMEOUT_MS = 24 * 3600 * 1000
+
+
+def _span_source(spark, sf, files: int = 8):
+    """Span files in a folder, as an agent's intake would leave them (derived from the tables)."""
+    from ..session import shared_dir
+
+    path = shared_dir(spark, "span-src")
+    _spans(spark, sf).repartition(files, "trace_id").write.parquet(path)
+    return path
+
+
+def _deduped_stream(spark, sf, files: int = 8, max_files=None, watermark: str = STREAM_WATERMARK):
+    from ..streaming import agent
+
+    src = _span_source(spark, sf, files)
+    s = agent.span_stream(spark, src, max_files_per_trigger=max_files)
+    return agent.dedup_stream(agent.with_event_time(s, watermark))
+
+
+@query("stream_spans", "A7", O.with_spans(body="SELECT operation_name, count(*) AS n FROM spans GROUP BY operation_name"))
+def q_stream_spans(spark, sf):
+    from ..streaming import agent
+
+    src = _span_source(spark, sf)
+    t = agent.run_to_table(agent.span_stream(spark, src), spark, "stream-spans")
+    return t.groupBy("operation_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_dedup", "I5", O.with_spans(body="SELECT DISTINCT trace_id, span_id FROM spans"))
+def q_stream_dedup(spark, sf):
+    from ..streaming import agent
+
+    t = agent.run_to_table(_deduped_stream(spark, sf), spark, "stream-dedup")
+    return t.select("trace_id", "span_id")
+
+
+@query("stream_trace_assembly", "I1 I3 B15", O.with_spans(O.DEDUP_CTE, body="""
+SELECT trace_id, CAST(count(*) AS BIGINT) AS n_spans FROM dd GROUP BY trace_id HAVING count(*) >= 8"""))
+def q_stream_trace_assembly(spark, sf):
+    from ..streaming import agent
+
+    a = agent.assemble_traces(_deduped_stream(spark, sf), 8, timeout_ms=STREAM_TIMEOUT_MS)
+    t = agent.run_to_table(a, spark, "stream-assembly")
+    return t.filter("complete").select("trace_id", "n_spans")
+
+
+@query("stream_incomplete", "I4 Q20")
+def q_stream_incomplete(spark, sf):
+    """Incomplete traces closed by the watermark timeout (emitted with complete = false)."""
+    from ..streaming import agent
+
+    a = agent.assemble_traces(_deduped_stream(spark, sf, files=8, max_files=4, watermark="1 day"), 8, timeout_ms=0)
+    t = agent.run_to_table(a, spark, "stream-incomplete")
+    return t.filter(~F.col("complete")).select("trace_id", "n_spans", "TraceD")
+
+
+@query("stream_session_assembly", "I1")
+def q_stream_session_assembly(spark, sf):
+    from ..streaming import agent
+
+    a = agent.session_assembly(_deduped_stream(spark, sf, watermark="1 day"), gap="200 days")
+    t = agent.run_to_table(a, spark, "stream-session")
+    return t.select("trace_id", "n_spans", "complete", "TraceD")
+
+
+def _conformance_scorer(batch):
+    from ..functions.json import schema_conformance
+
+    return batch.select("trace_id", F.coalesce(schema_conformance("request"), F.lit(True)).alias("anomalous"))
+
+
+@query("stream_score", "I6 I2")
+def q_stream_score(spark, sf):
+    """Micro-batches of assembled traces scored in foreachBatch; decisions written per epoch."""
+    from ..session import shared_dir
+    from ..streaming import agent
+
+    a = agent.assemble_traces(_deduped_stream(spark, sf, files=8, max_files=2), 8, timeout_ms=STREAM_TIMEOUT_MS)
+    decisions = shared_dir(spark, "decisions")
+    q = agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, "score-ck"))
+    q.awaitTermination()
+    return spark.read.parquet(decisions)
+
+
+@query("stream_tail_sample", "I7 I6 A13 C4")
+def q_stream_tail_sample(spark, sf):
+    """Staged spans of traces the streaming scorer flagged (rows-only: depends on trigger timing)."""
+    from ..session import shared_dir
+    from ..streaming import agent
+
+    dedup = _deduped_stream(spark, sf)
+    staged = shared_dir(spark, "staged")
+    agent.stage_spans(dedup, staged, shared_dir(spark, "stage-ck")).awaitTermination()
+    a = agent.assemble_traces(_deduped_stream(spark, sf), 8, timeout_ms=STREAM_TIMEOUT_MS)
+    decisions = shared_dir(spark, "decisions")
+    agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, "tail-ck")).awaitTermination()
+    return agent.forward_flagged_spans(spark, staged, decisions).select("trace_id", "span_id", "operation_name")
