@@ -291,7 +291,7 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
         seed = self.getOrDefault(self.seed)
         max_features = self.getOrDefault(self.maxFeatures)
 
-        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def grow(key, pdf):
             t = int(key[0])
             pdf = pdf.sort_values("row_idx", kind="stable")
             X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["f"].to_numpy()])

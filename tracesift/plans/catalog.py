@@ -884,7 +884,7 @@ def q_iforest_labelled_run(spark, sf):
     d = StringIndexer(inputCol="label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(d).transform(d)
     cols = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper", "n_non_ascii"]
     d = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-    forest = IForest(numTrees=100, maxSamples=256, contamination=0.35, maxDepth=100, seed=123456)
+    forest = IForest(numTrees=100, contamination=0.35, maxDepth=100, seed=123456)  # 256 samples per tree, capped at n
     pred = forest.fit(d).transform(d)
     return auc_binary(pred, "prediction", "label").select(
         "*", F.lit(round(time.time() - started, 3)).alias("fit_seconds")
