@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
@@ -35,10 +38,71 @@ def centroid_literal(centroids: Sequence[Sequence[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centroids])
 
 
+UNROLL_LIMIT = 256  # k * d terms written out as plain arithmetic (larger trees overflow codegen method limits)
+
+
+def _sq_terms(x: Column, c: Sequence[float]) -> Column:
+    terms = [(x[i].cast("double") - F.lit(float(v))) * (x[i].cast("double") - F.lit(float(v))) for i, v in enumerate(c)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def nearest_centroid_values(x, centroids: Sequence[Sequence[float]]) -> Column:
+    """Nearest of k literal centroids: struct<cluster:int, dist:double>, ties to the lower index.
+
+    Up to ``UNROLL_LIMIT`` k*d terms the squared distances are written out as
+    arithmetic on ``x[i]`` (compiled by whole-stage codegen; higher-order array
+    functions would be interpreted row by row). Larger tables use a vectorised
+    numpy ``pandas_udf`` over Arrow batches.
+    """
+    x = _c(x)
+    k, d = len(centroids), len(centroids[0]) if centroids else 0
+    if k * d <= UNROLL_LIMIT:
+        cands = [F.struct(_sq_terms(x, c).alias("d2"), F.lit(j).alias("cluster")) for j, c in enumerate(centroids)]
+        best = cands[0] if k == 1 else F.least(*cands)
+        return F.struct(best["cluster"].cast("int").alias("cluster"), F.sqrt(best["d2"]).alias("dist"))
+    return _nearest_udf(centroids)(x)
+
+
+def _nearest_udf(centroids: Sequence[Sequence[float]]):
+
+    C = np.asarray(centroids, dtype=np.float64)
+    cn = (C * C).sum(axis=1)
+    out_type = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+
+    @F.pandas_udf(out_type)
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        if len(v) == 0:
+            return pd.DataFrame({"cluster": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
+        X = np.stack([np.asarray(a, dtype=np.float64) for a in v.to_numpy()])
+        d2 = (X * X).sum(axis=1)[:, None] - 2.0 * X @ C.T + cn[None, :]
+        j = d2.argmin(axis=1)
+        exact = ((X - C[j]) ** 2).sum(axis=1)
+        return pd.DataFrame({"cluster": j.astype("int32"), "dist": np.sqrt(exact)})
+
+    return nearest
+
+
+def distance_to_values(x, centroids: Sequence[Sequence[float]], cluster) -> Column:
+    """Distance of ``x`` to the literal centroid with index ``cluster`` (0-based), written out per dimension."""
+    x, cl = _c(x), _c(cluster)
+    d = len(centroids[0])
+    terms = []
+    for i in range(d):
+        ci = F.element_at(F.array(*[F.lit(float(c[i])) for c in centroids]), cl + 1)
+        terms.append((x[i].cast("double") - ci) * (x[i].cast("double") - ci))
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return F.sqrt(out)
+
+
 def nearest_centroid(x, centroids: Column) -> Column:
-    """Index (0-based) of the nearest centroid, ties to the lowest index, and its distance.
+    """Nearest centroid for a centroid *column* (array<array<double>>): higher-order functions.
 
-    Returns struct<cluster:int, dist:double>.
+    Prefer ``nearest_centroid_values`` when the centroids are known values.
     """
     dists = F.transform(centroids, lambda c, i: F.struct(squared_distance(x, c).alias("d2"), i.alias("cluster")))
     best = F.array_min(dists)  # struct order: by d2, then by index

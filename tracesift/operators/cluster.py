@@ -22,7 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import centroid_literal, euclidean_distance, flag_beyond, nearest_centroid
+from ..functions.vector import distance_to_values, euclidean_distance, flag_beyond, nearest_centroid_values
 
 MAX_CLUSTERS = 10_000
 MAX_DIMS = 100_000
@@ -41,7 +41,7 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: Sequence[Sequence[flo
                    prediction_col: str = "prediction", dist_col: str = "dist") -> DataFrame:
     """Nearest centroid (ties to the lower index) and the distance to it (H7)."""
     _check_size(len(centroids), len(centroids[0]) if centroids else 0)
-    best = nearest_centroid(F.col(vec_col), centroid_literal(centroids))
+    best = nearest_centroid_values(F.col(vec_col), centroids)
     return df.withColumn("_best", best).withColumn(prediction_col, F.col("_best.cluster")).withColumn(
         dist_col, F.col("_best.dist")
     ).drop("_best")
@@ -51,8 +51,7 @@ def distance_to_cluster(df: DataFrame, vec_col: str, cluster_col: str, centroids
                         dist_col: str = "dist") -> DataFrame:
     """C7 + H7: distance of each row to the centroid of its given cluster (0-based index)."""
     _check_size(len(centroids), len(centroids[0]) if centroids else 0)
-    c = F.element_at(centroid_literal(centroids), F.col(cluster_col) + 1)
-    return df.withColumn(dist_col, euclidean_distance(F.col(vec_col), c))
+    return df.withColumn(dist_col, distance_to_values(F.col(vec_col), centroids, F.col(cluster_col)))
 
 
 def distance_to_cluster_table(df: DataFrame, vec_col: str, cluster_col: str, clusters: DataFrame,

@@ -283,7 +283,18 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
         return indexed, samples, n, psi
 
     def _fit(self, dataset: DataFrame) -> "IForestModel":
+        from pyspark import StorageLevel
+
         indexed, samples, n, psi = self.sample(dataset)
+        # Training is multi-pass (count, sample join, threshold scoring, quantile):
+        # keep the narrow (row_idx, features) rows for the duration of the fit only.
+        indexed = indexed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit_indexed(indexed, samples, n, psi)
+        finally:
+            indexed.unpersist()
+
+    def _fit_indexed(self, indexed: DataFrame, samples: DataFrame, n: int, psi: int) -> "IForestModel":
         num_trees = self.getOrDefault(self.numTrees)
         small = num_trees * psi <= BROADCAST_SAMPLE_ROWS
         joined = indexed.join(F.broadcast(samples) if small else samples, "row_idx")  # C6
@@ -302,8 +313,8 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
         nodes = nodes.sort_values(["tree_id", "id"]).reset_index(drop=True)
         model = IForestModel._create(nodes, psi, None)
         self._copyValues(model)
-        scored = model._score(dataset)
-        thr = quantile(scored, model.getOrDefault(model.scoreCol), 1.0 - self.getOrDefault(self.contamination),
+        scored = indexed.select(_score_udf(nodes, psi)(F.col("f")).alias("s"))
+        thr = quantile(scored, "s", 1.0 - self.getOrDefault(self.contamination),
                        self.getOrDefault(self.approxQuantileRelativeError))
         model.threshold = float(thr) if thr is not None else 1.0
         model.train_rows = n

@@ -150,31 +150,36 @@ def children_by_parent(spans: DataFrame) -> DataFrame:
     )
 
 
-def trace_tree(spans: DataFrame, max_depth: int = 64, checkpoint_every: int = 8) -> DataFrame:
+def trace_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     """Every span reachable from a root, with depth and a pre-order path.
 
-    Level-by-level frontier joins (trace depth is small). ``path`` is the list of
-    span ids from the root; sorting by (trace_id, path) gives depth-first
-    pre-order with children in span-id order. The loop stops at the first empty
-    level or at ``max_depth``; lineage is cut with a reliable checkpoint every
-    ``checkpoint_every`` levels.
+    Level-by-level frontier joins on (trace_id, parent_span_id); trace depth is
+    small. ``path`` is the list of span ids from the root, so sorting by
+    (trace_id, path) gives depth-first pre-order with children in span-id order.
+    The edge table and every level are written once with a reliable
+    ``checkpoint()`` (the cluster's shared checkpoint folder): each level is
+    computed once, the emptiness test reads the written level, lineage stays
+    one join deep, and a lost executor costs a re-read, not a recomputation of
+    earlier levels. The loop stops at the first empty level or ``max_depth``.
     """
     from ..session import ensure_checkpoint_dir
 
-    edges = spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id").distinct()
-    level = spans.filter(is_root()).select(
-        "trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path")
-    ).distinct()
+    ensure_checkpoint_dir(spans.sparkSession)
+    edges = spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id").distinct().checkpoint()
+    level = (
+        spans.filter(is_root())
+        .select("trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path"))
+        .distinct()
+        .checkpoint()
+    )
     levels = [level]
     for d in range(1, max_depth + 1):
         nxt = (
             level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path")
             .join(edges, ["trace_id", "parent_span_id"])
             .select("trace_id", "span_id", F.lit(d).alias("depth"), F.concat("path", F.array("span_id")).alias("path"))
+            .checkpoint()
         )
-        if d % checkpoint_every == 0:
-            ensure_checkpoint_dir(spans.sparkSession)
-            nxt = nxt.checkpoint()
         if nxt.isEmpty():
             break
         levels.append(nxt)

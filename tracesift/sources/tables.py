@@ -32,8 +32,35 @@ LINE_OPERATIONS = (
 ) + CLIENT_OPERATIONS
 
 
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (file sizes for a scan); None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def spread_small(df: DataFrame, limit_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A small file may hold a single row group, which Spark reads in one task, and
+    everything up to the first shuffle then runs on one core. Below
+    ``limit_bytes`` (estimated by the planner, no data read) the scan is
+    round-robin repartitioned to the default parallelism; larger inputs keep
+    their file splits and pay no extra shuffle.
+    """
+    size = estimated_bytes(df)
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if size is not None and size <= limit_bytes and n > 1:
+        return df.repartition(n)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _md5_long(text: F.Column) -> F.Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,7 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
     Expects a deduplicated stream carrying the event-time watermark column.
     """
     nops = len(operations)
+    num_cols = ["root_d"] + [f"d{i + 1}" for i in range(nops)]
     out_schema = assembled_schema(operations)
     state_schema = T.StructType(
         [T.StructField("n", T.LongType()), T.StructField("root_d", T.LongType())]
@@ -102,7 +104,7 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
             n, root_d, *rest = state.get
             ds, request, last_ms = rest[:nops], rest[nops], rest[nops + 1]
             state.remove()
-            yield pd.DataFrame([[trace_id, n, False, root_d, *ds, request, last_ms]], columns=out_schema.names)
+            yield pd.DataFrame.from_records([(trace_id, n, False, root_d, *ds, request, last_ms)], columns=out_schema.names)
             return
         if state.exists:
             n, root_d, *rest = state.get
@@ -110,24 +112,24 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
         else:
             n, root_d, ds, request, last_ms = 0, None, [None] * nops, None, 0
         for pdf in batches:
-            # A few vectorised reductions per group: per-group pandas work is the cost here.
+            # numpy per column: per-group pandas calls are the cost of this operator.
             n += len(pdf)
-            vals = pdf[["root_d"] + [f"d{i + 1}" for i in range(nops)]].max(axis=0, skipna=True).to_numpy()
-            if vals[0] == vals[0]:  # not NaN
-                root_d = _max(root_d, int(vals[0]))
-            for i in range(nops):
-                v = vals[i + 1]
-                if v == v:
-                    ds[i] = _max(ds[i], int(v))
+            for i, c in enumerate(num_cols):
+                v = np.fmax.reduce(pdf[c].to_numpy(dtype=np.float64, na_value=np.nan))
+                if v == v:  # not NaN
+                    if i == 0:
+                        root_d = _max(root_d, int(v))
+                    else:
+                        ds[i - 1] = _max(ds[i - 1], int(v))
             if request is None:
-                rq = pdf["request"].to_numpy()
-                hit = [x for x in rq if isinstance(x, str)]
-                if hit:
-                    request = hit[0]
+                for x in pdf["request"].to_numpy():
+                    if isinstance(x, str):
+                        request = x
+                        break
             last_ms = max(last_ms, int(pdf[EVENT_TS].to_numpy().max().astype("datetime64[ms]").astype("int64")))
         if n >= expected:
             state.remove()
-            yield pd.DataFrame([[trace_id, n, True, root_d, *ds, request, last_ms]], columns=out_schema.names)
+            yield pd.DataFrame.from_records([(trace_id, n, True, root_d, *ds, request, last_ms)], columns=out_schema.names)
         else:
             state.update((n, root_d, *ds, request, last_ms))
             state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + timeout_ms)
