@@ -229,3 +229,67 @@ def fit_detector(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     feats.unpersist()
     model.meta = {"algorithm": algorithm, "k": k, "seed": seed, "scale": scale, "elapsed_sec": time.time() - started}
     return model
+
+
+# ----------------------------------------------------------------------------- persistence, train and score entries
+
+
+def save_detector(model: ClusterDetectorModel, spark, path: str) -> None:
+    """Centroid table (cluster, centroid, max_dist) as parquet, the feature pipeline, and metadata."""
+    import json
+
+    model.cluster_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/clusters")
+    if model.prepare is not None:
+        model.prepare.write().overwrite().save(f"{path}/prepare")
+    meta = {"vec_col": model.vec_col, "score": model.score, "meta": model.meta}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_detector(spark, path: str) -> ClusterDetectorModel:
+    import json
+
+    rows = spark.read.parquet(f"{path}/clusters").orderBy("cluster").collect()  # k rows
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    try:
+        prepare = PipelineModel.load(f"{path}/prepare")
+    except Exception:  # noqa: BLE001 - saved without a feature pipeline
+        prepare = None
+    return ClusterDetectorModel([list(r["centroid"]) for r in rows], [float(r["max_dist"]) for r in rows],
+                                meta["vec_col"], prepare, None, meta.get("score"), meta.get("meta", {}))
+
+
+def train_kmeans(spans: DataFrame, path: str | None = None, k: int = 10, seed: int = 1) -> ClusterDetectorModel:
+    """Spans -> trace features -> K-means detector (k=10, seed 1), saved when ``path`` is given."""
+    from ..schema import FEATURE_COLUMNS
+    from .features import trace_features
+
+    tf = trace_features(spans)
+    model = fit_detector(tf, list(FEATURE_COLUMNS), k=k, algorithm="kmeans", seed=seed)
+    if path:
+        save_detector(model, spans.sparkSession, path)
+    return model
+
+
+def feature_vector(cols) -> "F.Column":
+    return F.array(*[F.coalesce(F.col(c), F.lit(0)).cast("double") for c in cols])
+
+
+def predict_traces(requests: DataFrame, model: ClusterDetectorModel, body_col: str = "body",
+                   flush_size: int = 5000) -> DataFrame:
+    """JSON request arrays -> rows (A6) -> features (H6) -> flags (J10) -> id list per flush group.
+
+    The model's vector must be the 19 trace features in schema order (as built
+    by ``feature_vector``). Flush groups of ``flush_size`` rows in Id order keep
+    every id list bounded.
+    """
+    from ..schema import FEATURE_COLUMNS
+    from ..sources.io import parse_trace_requests
+    from .evaluate import anomaly_id_list
+    from .features import payload_features
+    from .spans import flush_groups
+
+    rows = parse_trace_requests(requests, body_col)
+    pf = payload_features(rows, "request", keep=("Id", "TraceD", "SpanD1", "SpanD2", "SpanD3", "SpanD4")).distinct()
+    vec = pf.select("Id", feature_vector(FEATURE_COLUMNS).alias(model.vec_col))
+    flagged = model.transform(vec).select("Id", (F.col("anomaly") > 0).alias("flagged"))
+    return anomaly_id_list(flush_groups(flagged, ["Id"], flush_size), "Id", "flagged", ["flush_group"])

@@ -1098,3 +1098,71 @@ def q_stream_tail_sample(spark, sf):
     decisions = shared_dir(spark, "decisions")
     agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, "tail-ck")).awaitTermination()
     return agent.forward_flagged_spans(spark, staged, decisions).select("trace_id", "span_id", "operation_name")
+
+
+# ============================================================================ train / score entries (J21, J22), schema application (A5)
+
+_PRED_TAIL = open(__file__.replace("catalog.py", "predict_traces.sql")).read()
+
+
+def _request_bodies(spark, sf):
+    """One JSON request array per root request tag, as the scoring route receives them (A6 input)."""
+    from ..schema import SERVICE_OPERATIONS
+
+    s = _spans(spark, sf)
+    req = sp.request_tags(sp.root_spans(s, None))
+    j = req.join(sp.trace_durations(s), "trace_id", "left")
+    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    body = F.concat(
+        F.lit('[{"traceID":'), num("trace_id"), F.lit(',"park-spot":'), num("duration"),
+        *[x for i, op in enumerate(SERVICE_OPERATIONS) for x in (F.lit(f',"{op}":'), num(f"SpanD{i + 1}"))],
+        F.lit(',"request":'), F.col("request"), F.lit("}]"),
+    )
+    return j.select("trace_id", body.alias("body"))
+
+
+@query("predict_traces", "J22 A6 H6 J10 A12", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), _PRED_TAIL, body="""
+SELECT flush_group, coalesce(string_agg(CAST(Id AS VARCHAR), ',' ORDER BY Id) FILTER (WHERE flagged), '') AS ids
+FROM tst GROUP BY flush_group"""))
+def q_predict_traces(spark, sf):
+    """Score entry with a fixed detector: centroids = rounded means of the training traces grouped by
+    (usernameE, passwordE); maxima from the training split; test traces arrive as JSON request arrays."""
+    from ..functions.hashing import hash_unit
+    from ..operators import cluster as cl
+    from ..schema import FEATURE_COLUMNS
+
+    tf = feat.trace_features(_spans(spark, sf)).distinct()
+    is_train = lambda c: hash_unit(c, F.lit("split")) < 0.8
+    train = tf.filter(is_train("Id")).select(
+        (F.col("usernameE") * 2 + F.col("passwordE")).alias("g"), cl.feature_vector(FEATURE_COLUMNS).alias("vec")
+    )
+    cent = cl.label_centroids(train, "vec", "g", 2).orderBy("cluster").collect()  # <= 4 groups
+    model = cl.fit_with_centroids(train, "vec", [list(r["centroid"]) for r in cent])
+    bodies = _request_bodies(spark, sf).filter(~is_train("trace_id"))
+    return cl.predict_traces(bodies, model)
+
+
+@query("train_kmeans", "J21 J5 A10")
+def q_train_kmeans(spark, sf):
+    """Train entry: spans -> features -> K-means (k=10, seed 1) -> saved detector -> reloaded cluster table."""
+    from ..operators import cluster as cl
+    from ..operators.evaluate import append_run_report
+    from ..session import shared_dir
+
+    import time
+
+    started = time.time()
+    path = shared_dir(spark, "kmeans-model")
+    model = cl.train_kmeans(_spans(spark, sf), path, k=10, seed=1)
+    append_run_report(spark, shared_dir(spark, "runs"), "K Means Simple", model.score or 0.0, started)
+    loaded = cl.load_detector(spark, path)
+    return loaded.cluster_table(spark).select("cluster", F.size("centroid").alias("dims"), "max_dist")
+
+
+@query("rows_to_df", "A5", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), body="SELECT * FROM tf"))
+def q_rows_to_df(spark, sf):
+    """A5 re-aimed: feature rows never pass through the driver; an explicit schema is applied to a DataFrame."""
+    from ..schema import FEATURE_SCHEMA
+    from ..sources.io import apply_schema
+
+    return apply_schema(feat.trace_features(_spans(spark, sf)), FEATURE_SCHEMA)
