@@ -162,23 +162,20 @@ def trace_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     one join deep, and a lost executor costs a re-read, not a recomputation of
     earlier levels. The loop stops at the first empty level or ``max_depth``.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import fresh_checkpoint
 
-    ensure_checkpoint_dir(spans.sparkSession)
-    edges = spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id").distinct().checkpoint()
-    level = (
+    edges = fresh_checkpoint(spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id").distinct())
+    level = fresh_checkpoint(
         spans.filter(is_root())
         .select("trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path"))
         .distinct()
-        .checkpoint()
     )
     levels = [level]
     for d in range(1, max_depth + 1):
-        nxt = (
+        nxt = fresh_checkpoint(
             level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path")
             .join(edges, ["trace_id", "parent_span_id"])
             .select("trace_id", "span_id", F.lit(d).alias("depth"), F.concat("path", F.array("span_id")).alias("path"))
-            .checkpoint()
         )
         if nxt.isEmpty():
             break
@@ -232,8 +229,21 @@ def process_runs(
 ) -> DataFrame:
     """Gaps-and-islands: consecutive spans (by ``order_col``) with an equal process form one run.
 
-    Returns the spans with ``run_id`` (0-based within the partition) and ``run_start``.
+    Returns the spans with ``run_id`` (0-based within the trace). Skew-safe: see
+    ``operators.runs`` (range partitioning splits a hot trace; no per-trace window).
     """
+    from .runs import process_runs as _runs
+
+    return _runs(spans, order_col, partition_col, process_cols)
+
+
+def process_runs_window(
+    spans: DataFrame,
+    order_col: str = "span_id",
+    partition_col: str = "trace_id",
+    process_cols: Sequence[str] = ("service_name", "process_tags"),
+) -> DataFrame:
+    """E2 as a window per trace: the plain formulation (one task sorts a whole trace); kept for tests."""
     w = Window.partitionBy(partition_col).orderBy(order_col)
     proc = F.struct(*[F.col(c) for c in process_cols])
     changed = F.when(F.lag(proc).over(w).isNull() | (F.lag(proc).over(w) != proc), 1).otherwise(0)

@@ -55,3 +55,16 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark)
+
+
+def fresh_checkpoint(df):
+    """Reliable ``checkpoint()`` whose columns get fresh attribute ids.
+
+    A checkpoint reuses the attribute ids of the plan it was taken from; joining
+    or set-combining the result with its own source would put two different
+    relations under the same ids. Re-aliasing every column first avoids that.
+    """
+    from pyspark.sql import functions as F
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).checkpoint()
