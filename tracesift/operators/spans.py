@@ -138,15 +138,30 @@ def span_edges(spans: DataFrame) -> DataFrame:
     return c.join(p, ["trace_id", "parent_span_id"], "inner")
 
 
-def children_by_parent(spans: DataFrame) -> DataFrame:
-    """Sorted child ids per parent span (as comma text to keep results flat)."""
-    return (
-        spans.filter(~is_root())
-        .groupBy("trace_id", "parent_span_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_children"),
-            F.array_join(F.sort_array(F.collect_list("span_id")).cast("array<string>"), ",").alias("children"),
-        )
+CHILD_CHUNK = 10_000
+
+
+def children_by_parent(spans: DataFrame, chunk_size: int = CHILD_CHUNK) -> DataFrame:
+    """Sorted child ids per parent span, as comma text, in bounded chunks.
+
+    A parent with n children is split into ceil(n / chunk_size) chunks by an md5
+    bucket of the child id, so no list holds more than about ``chunk_size`` ids
+    however many children one parent has (one row per chunk; chunk 0 only for
+    ordinary parents). The per-parent count is a partial aggregate; the join back
+    on (trace_id, parent_span_id) is split by AQE when one parent is hot.
+    """
+    from ..functions.hashing import hash_int
+
+    kids = spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id")
+    n = kids.groupBy("trace_id", "parent_span_id").agg(F.count(F.lit(1)).alias("n_children"))
+    chunks = F.ceil(F.col("n_children") / F.lit(chunk_size)).cast("long")
+    keyed = kids.join(n, ["trace_id", "parent_span_id"]).withColumn(
+        "chunk", F.pmod(hash_int("span_id"), chunks)
+    )
+    return keyed.groupBy("trace_id", "parent_span_id", "chunk").agg(
+        F.first("n_children").alias("n_children"),
+        F.count(F.lit(1)).alias("n_in_chunk"),
+        F.array_join(F.sort_array(F.collect_list("span_id")).cast("array<string>"), ",").alias("children"),
     )
 
 

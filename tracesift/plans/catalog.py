@@ -214,9 +214,14 @@ def q_dedup_last_span(spark, sf):
 
 
 @query("children_by_parent", "D13", O.with_spans(O.DEDUP_CTE, body="""
-SELECT trace_id, parent_span_id, count(*) AS n_children,
+SELECT trace_id, parent_span_id, chunk, max(n_children) AS n_children, count(*) AS n_in_chunk,
        string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY span_id) AS children
-FROM dd WHERE parent_span_id != 0 GROUP BY trace_id, parent_span_id"""))
+FROM (
+  SELECT k.*, ('0x' || substr(md5(CAST(k.span_id AS VARCHAR)), 1, 15))::BIGINT
+              % CAST(ceil(k.n_children / 10000.0) AS BIGINT) AS chunk
+  FROM (SELECT trace_id, parent_span_id, span_id, count(*) OVER (PARTITION BY trace_id, parent_span_id) AS n_children
+        FROM dd WHERE parent_span_id != 0) k)
+GROUP BY trace_id, parent_span_id, chunk"""))
 def q_children_by_parent(spark, sf):
     return sp.children_by_parent(_dedup(spark, sf))
 
