@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+STRICT = False
+
+
 def _norm(v):
     if v is None:
         return None
@@ -26,7 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v + 0.0 if STRICT else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6) + 0.0
     if isinstance(v, dt.datetime):
@@ -110,7 +113,11 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
 
 
 def main(argv=None):
+    global STRICT
     argv = list(sys.argv[1:] if argv is None else argv)
+    if "--strict" in argv:
+        STRICT = True
+        argv.remove("--strict")
     sf_dir = argv.pop(0) if argv and argv[0].startswith("/") else "/root/testdata/sf0.01"
     from ..session import get_session
 
