@@ -141,3 +141,18 @@ def test_c_of_n():
 
     assert avg_path_length_value(2) == 1.0 and avg_path_length_value(1) == 0.0
     assert math.isclose(avg_path_length_value(256), 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
+
+
+def test_schema_checks(spark, model, data):
+    """Features must be a vector/array; output columns must not exist yet."""
+    bad = spark.createDataFrame([("x",)], "features string")
+    with pytest.raises(TypeError):
+        IForest(numTrees=2).fit(bad)
+    with pytest.raises(ValueError):
+        model.transform(model.transform(data))  # prediction/score columns already present
+
+
+def test_threshold_survives_copy(model):
+    """Q10: the threshold is set in fit and kept by copy."""
+    assert model.getThreshold() is not None
+    assert model.copy().threshold == model.threshold

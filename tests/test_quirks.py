@@ -100,3 +100,9 @@ def test_head_sample_trace_coherent(spark):
     assert per.filter("count != all").count() == 0  # a trace is kept whole or not at all
     share = kept.select("trace_id").distinct().count() / s.select("trace_id").distinct().count()
     assert 0.2 < share < 0.4
+
+
+def test_q25_no_request_no_features(spark):
+    s = _trace(spark).withColumn("tags", F.when(F.col("parent_span_id") == 0, F.array().cast(SPAN_SCHEMA["tags"].dataType))
+                                 .otherwise(F.col("tags")))
+    assert feat.trace_features(s).count() == 0

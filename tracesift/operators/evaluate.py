@@ -27,23 +27,21 @@ def num_anomalies(df: DataFrame, prediction_col: str = "prediction") -> DataFram
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact discrete quantiles (smallest value whose cumulative share reaches p).
 
-    Distributed selection: count, then a range-partitioned sort with
-    ``zipWithIndex`` and a filter on the wanted ranks; no single task or the
-    driver ever holds the column. Rank for p is ceil(p * n) (1-based), as in
+    Distributed selection: count, then a range-partitioned sort with a dense
+    index and a filter on the wanted ranks; no single task or the driver ever
+    holds the column. Rank for p is ceil(p * n) (1-based), as in
     ``approxQuantile(..., 0.0)``.
     """
     import math
 
+    from .indexing import select_ranks
+
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     n = vals.count()
     if n == 0:
         return [None for _ in probs]
     ranks = {p: min(n, max(1, math.ceil(p * n))) - 1 for p in probs}
-    wanted = set(ranks.values())
-    picked = (
-        vals.orderBy("v").rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda vi: vi[1] in wanted).collect()
-    )
-    by_rank = {i: v for v, i in picked}
+    by_rank = select_ranks(vals, "v", list(ranks.values()))
     return [by_rank[ranks[p]] for p in probs]
 
 

@@ -1,7 +1,7 @@
 """Isolation forest as a Spark ML Estimator / Model.
 
 Training shape ("model-wise" parallelism):
-  1. rows get a 0-based index (``zipWithIndex``; or sorted by ``idCol`` first for
+  1. rows get a 0-based index (partition offsets on checkpointed rows; or sorted by ``idCol`` first for
      a reproducible order);
   2. the per-tree index sets are drawn on executors from ``spark.range(numTrees)``
      with a seed per tree (never from a shared RNG), giving numTrees * psi rows;
@@ -205,12 +205,12 @@ def _path_udf(nodes: pd.DataFrame):
 # ----------------------------------------------------------------------------- estimator
 
 
-def index_rows(df: DataFrame, id_col: str = "") -> DataFrame:
-    """(row_idx, f) with a dense 0-based index; sorted by ``id_col`` when given."""
-    src = df.orderBy(id_col).select("f") if id_col else df.select("f")
-    rdd = src.rdd.zipWithIndex().map(lambda ri: (ri[1], ri[0][0]))
-    schema = T.StructType([T.StructField("row_idx", T.LongType(), False), T.StructField("f", T.ArrayType(T.DoubleType()))])
-    return df.sparkSession.createDataFrame(rdd, schema)
+def index_rows(df: DataFrame, id_col: str = "") -> tuple[DataFrame, int]:
+    """(row_idx, f) with a dense 0-based index, sorted by ``id_col`` when given; and the row count."""
+    from .indexing import dense_index
+
+    idx, n = dense_index(df, [id_col] if id_col else None, "row_idx")
+    return idx.select("row_idx", "f"), n
 
 
 def tree_samples(spark: SparkSession, num_trees: int, n: int, psi: int, seed: int, bootstrap: bool) -> DataFrame:
@@ -272,8 +272,7 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
         id_col = self.getOrDefault(self.idCol)
         cols = [_features_array(dataset, fc).alias("f")] + ([F.col(id_col)] if id_col else [])
         data = dataset.select(*cols)
-        indexed = index_rows(data, id_col)
-        n = indexed.count()
+        indexed, n = index_rows(data, id_col)
         if n == 0:
             raise ValueError("cannot fit on an empty dataset")
         psi = self._num_samples(n)
@@ -286,8 +285,8 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
         from pyspark import StorageLevel
 
         indexed, samples, n, psi = self.sample(dataset)
-        # Training is multi-pass (count, sample join, threshold scoring, quantile):
-        # keep the narrow (row_idx, features) rows for the duration of the fit only.
+        # Training is multi-pass (sample join, threshold scoring, quantile): keep the
+        # narrow (row_idx, features) rows for the duration of the fit only.
         indexed = indexed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._fit_indexed(indexed, samples, n, psi)

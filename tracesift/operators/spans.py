@@ -218,16 +218,13 @@ def keep_traces(spans: DataFrame, flagged: DataFrame) -> DataFrame:
 def row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_idx") -> DataFrame:
     """Dense 0-based index in ``order_cols`` order.
 
-    Distributed: a range-partitioned sort then ``zipWithIndex`` (one extra job
-    to count partitions), never a window over a single partition.
+    A range-partitioned sort, then partition offsets added to
+    ``monotonically_increasing_id`` (``operators.indexing``): no window over a
+    single partition and no Python row path.
     """
-    ordered = df.orderBy(*order_cols)
-    schema = ordered.schema
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    from pyspark.sql import types as T
+    from .indexing import dense_index
 
-    out_schema = T.StructType(schema.fields + [T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(rdd, out_schema)
+    return dense_index(df, order_cols, name)[0]
 
 
 def flush_groups(df: DataFrame, order_cols: Sequence[str], size: int = 5000, name: str = "flush_group") -> DataFrame:
