@@ -63,8 +63,15 @@ def fresh_checkpoint(df):
     A checkpoint reuses the attribute ids of the plan it was taken from; joining
     or set-combining the result with its own source would put two different
     relations under the same ids. Re-aliasing every column first avoids that.
+    The input is cached while it is written: a reliable checkpoint otherwise
+    computes its input twice (once to count, once to write the files).
     """
+    from pyspark import StorageLevel
     from pyspark.sql import functions as F
 
     ensure_checkpoint_dir(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).checkpoint()
+    staged = df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return staged.checkpoint()
+    finally:
+        staged.unpersist()

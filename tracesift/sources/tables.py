@@ -33,6 +33,7 @@ LINE_OPERATIONS = (
 
 
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
+SPREAD_BYTES_PER_PARTITION = 256 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -49,14 +50,16 @@ def spread_small(df: DataFrame, limit_bytes: int = SMALL_INPUT_BYTES) -> DataFra
     A small file may hold a single row group, which Spark reads in one task, and
     everything up to the first shuffle then runs on one core. Below
     ``limit_bytes`` (estimated by the planner, no data read) the scan is
-    round-robin repartitioned to the default parallelism; larger inputs keep
-    their file splits and pay no extra shuffle.
+    round-robin repartitioned into about one partition per 256 KB, at most the
+    default parallelism; larger inputs keep their file splits and pay no extra
+    shuffle.
     """
     size = estimated_bytes(df)
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if size is not None and size <= limit_bytes and n > 1:
-        return df.repartition(n)
-    return df
+    if size is None or size > limit_bytes:
+        return df
+    # about 256 KB of (compressed) input per partition, never more partitions than cores
+    n = min(df.sparkSession.sparkContext.defaultParallelism, max(1, -(-size // SPREAD_BYTES_PER_PARTITION)))
+    return df.repartition(n) if n > 1 else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

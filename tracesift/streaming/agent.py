@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..schema import REQUEST_TAG, SERVICE_OPERATIONS, SPAN_SCHEMA, SPANS_PER_TRACE
+from ..schema import FLUSH_TRACES, REQUEST_TAG, SERVICE_OPERATIONS, SPAN_SCHEMA, SPANS_PER_TRACE
 from ..session import shared_dir
 
 EVENT_TS = "event_ts"
@@ -163,19 +163,27 @@ def stage_spans(stream: DataFrame, path: str, checkpoint: str, trigger: dict | N
 
 
 def start_tail_sampler(assembled: DataFrame, score: Callable[[DataFrame], DataFrame], decisions_path: str,
-                       checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """I6 + I7: score each micro-batch of assembled traces and write the flagged trace ids.
+                       checkpoint: str, trigger: dict | None = None, flush_size: int = FLUSH_TRACES) -> StreamingQuery:
+    """I2 + I6 + I7: score each micro-batch of assembled traces and write the decisions.
 
     ``score`` maps assembled traces to rows with ``trace_id`` and ``anomalous``.
-    A micro-batch writes its own folder (``epoch=<id>``, overwritten on replay),
-    so a replayed batch after a failure does not duplicate decisions (Q22: a
-    scoring error fails the batch and Spark replays it).
+    Within a micro-batch the traces are cut into flush groups of ``flush_size``
+    in trace-id order (E3), so any per-group id list stays bounded; micro-batch
+    size itself is set on the source (``maxFilesPerTrigger``). A micro-batch
+    writes its own folder (``epoch=<id>``, overwritten on replay), so a replayed
+    batch does not duplicate decisions (Q22: a scoring error fails the batch and
+    Spark replays it).
     """
+    from ..operators.spans import flush_groups
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        scored = score(batch)
-        (scored.select("trace_id", F.col("anomalous").cast("boolean").alias("anomalous"))
-         .write.mode("overwrite").parquet(f"{decisions_path.rstrip('/')}/epoch={epoch}"))
+        # flush groups read the scored batch more than once: keep it for this batch only
+        scored = score(batch).select("trace_id", F.col("anomalous").cast("boolean").alias("anomalous")).persist()
+        try:
+            grouped = flush_groups(scored, ["trace_id"], flush_size)
+            grouped.write.mode("overwrite").parquet(f"{decisions_path.rstrip('/')}/epoch={epoch}")
+        finally:
+            scored.unpersist()
 
     w = assembled.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
