@@ -106,3 +106,17 @@ def test_q25_no_request_no_features(spark):
     s = _trace(spark).withColumn("tags", F.when(F.col("parent_span_id") == 0, F.array().cast(SPAN_SCHEMA["tags"].dataType))
                                  .otherwise(F.col("tags")))
     assert feat.trace_features(s).count() == 0
+
+
+def test_span_batches_explode(spark):
+    """A batch {process, spans[]} becomes one canonical span row per span."""
+    from tracesift.sources.io import explode_batches, span_batch_schema
+
+    s = _trace(spark)
+    inner = [f for f in span_batch_schema()["spans"].dataType.elementType.names]
+    batches = s.groupBy("service_name", "process_tags").agg(
+        F.collect_list(F.struct(*[F.col(c) for c in inner])).alias("spans")
+    )
+    out = explode_batches(batches)
+    assert out.columns == SPAN_SCHEMA.names
+    assert out.count() == s.count()
