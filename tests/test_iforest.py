@@ -156,3 +156,22 @@ def test_threshold_survives_copy(model):
     """Q10: the threshold is set in fit and kept by copy."""
     assert model.getThreshold() is not None
     assert model.copy().threshold == model.threshold
+
+
+def test_short_draws_are_redrawn(spark, data):
+    """Trees whose Bernoulli draw came up short are drawn again, so every tree gets exactly psi rows."""
+
+    class Starved(IForest):
+        def _thin(self, data, n, psi, trees, factor):
+            return super()._thin(data, n, psi, trees, factor * 0.05)
+
+    m = Starved(numTrees=12, maxSamples=64, seed=3).fit(data)
+    assert m.num_trees == 12
+    for _, g in m.nodes.groupby("tree_id"):
+        assert g.loc[g["feature_index"] < 0, "num_instance"].sum() == 64
+
+
+def test_bootstrap_fit(spark, data):
+    m = IForest(numTrees=8, maxSamples=64, seed=3, bootstrap=True).fit(data)
+    for _, g in m.nodes.groupby("tree_id"):
+        assert g.loc[g["feature_index"] < 0, "num_instance"].sum() == 64

@@ -36,13 +36,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[flo
 
     from .indexing import select_ranks
 
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    ranks = {p: min(n, max(1, math.ceil(p * n))) - 1 for p in probs}
-    by_rank = select_ranks(vals, "v", list(ranks.values()))
-    return [by_rank[ranks[p]] for p in probs]
+    from pyspark import StorageLevel
+
+    # one narrow column, read by the count and by the sort: computed once
+    vals = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        n = vals.count()
+        if n == 0:
+            return [None for _ in probs]
+        ranks = {p: min(n, max(1, math.ceil(p * n))) - 1 for p in probs}
+        by_rank = select_ranks(vals, "v", list(ranks.values()))
+        return [by_rank[ranks[p]] for p in probs]
+    finally:
+        vals.unpersist()
 
 
 def quantile(df: DataFrame, col: str, p: float, relative_error: float = 0.0) -> float | None:

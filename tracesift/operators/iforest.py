@@ -1,5 +1,14 @@
 """Isolation forest as a Spark ML Estimator / Model.
 
+Default (no bootstrap) sampling: each tree keeps each row with probability
+p ~ (psi + 10 sqrt(psi)) / n (JVM ``rand`` per tree, or an ``xxhash64`` of
+``idCol`` for a partitioning-independent draw), and its group then picks exactly
+psi rows uniformly; a tree that drew fewer than psi rows is redrawn with a larger
+p. The result is a uniform psi-subset per tree without indexing or writing the
+training table. The index-based path below is used for bootstrap (with
+replacement), where thinning would change the distribution.
+
+
 Training shape ("model-wise" parallelism):
   1. rows get a 0-based index (partition offsets on checkpointed rows; or sorted by ``idCol`` first for
      a reproducible order);
@@ -284,35 +293,83 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
     def _fit(self, dataset: DataFrame) -> "IForestModel":
         from pyspark import StorageLevel
 
-        indexed, samples, n, psi = self.sample(dataset)
-        # Training is multi-pass (sample join, threshold scoring, quantile): keep the
-        # narrow (row_idx, features) rows for the duration of the fit only.
-        indexed = indexed.persist(StorageLevel.MEMORY_AND_DISK)
+        self._check_schema(dataset.schema, True)
+        if self.getOrDefault(self.bootstrap):
+            indexed, samples, n, psi = self.sample(dataset)
+            indexed = indexed.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                small = self.getOrDefault(self.numTrees) * psi <= BROADCAST_SAMPLE_ROWS
+                joined = indexed.join(F.broadcast(samples) if small else samples, "row_idx")  # C6
+                return self._grow_and_threshold(joined.select("tree_id", "f", F.col("row_idx").alias("_key")),
+                                                indexed, n, psi, exact_groups=True)
+            finally:
+                indexed.unpersist()
+        fc = self.getOrDefault(self.featuresCol)
+        id_col = self.getOrDefault(self.idCol)
+        cols = [_features_array(dataset, fc).alias("f")] + ([F.col(id_col).alias("_key")] if id_col else [])
+        # Multi-pass fit (count, per-tree draws, threshold scoring): keep the narrow rows for the fit only.
+        data = dataset.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._fit_indexed(indexed, samples, n, psi)
+            n = data.count()
+            if n == 0:
+                raise ValueError("cannot fit on an empty dataset")
+            psi = self._num_samples(n)
+            return self._grow_and_threshold(None, data, n, psi, exact_groups=False)
         finally:
-            indexed.unpersist()
+            data.unpersist()
 
-    def _fit_indexed(self, indexed: DataFrame, samples: DataFrame, n: int, psi: int) -> "IForestModel":
+    def _thin(self, data: DataFrame, n: int, psi: int, trees: list[int], factor: float) -> DataFrame:
+        """Per-tree Bernoulli draws: row r joins tree t when u(r, t) < p, p sized so a tree gets >= psi rows
+        except with negligible probability (10 standard deviations); short trees are redrawn."""
+        seed = self.getOrDefault(self.seed)
+        p = min(1.0, factor * (psi + 10.0 * math.sqrt(psi) + 10.0) / n)
+        if "_key" in data.columns:  # reproducible whatever the partitioning
+            u = lambda t: (F.pmod(F.xxhash64(F.col("_key"), F.lit(int(seed)), F.lit(int(t))), F.lit(1 << 53))
+                           / F.lit(float(1 << 53)))
+        else:
+            u = lambda t: F.rand(int(seed) * 100003 + int(t))
+        picks = F.array_compact(F.array(*[F.when(u(t) < p, F.lit(t)) for t in trees]))  # codegen, no lambda
+        key = [F.col("_key")] if "_key" in data.columns else []
+        return data.select(F.explode(picks).alias("tree_id"), "f", *key)
+
+    def _grow_and_threshold(self, joined, data: DataFrame, n: int, psi: int, exact_groups: bool) -> "IForestModel":
         num_trees = self.getOrDefault(self.numTrees)
-        small = num_trees * psi <= BROADCAST_SAMPLE_ROWS
-        joined = indexed.join(F.broadcast(samples) if small else samples, "row_idx")  # C6
         limit = depth_limit_value(psi, self.getOrDefault(self.maxDepth))
         seed = self.getOrDefault(self.seed)
         max_features = self.getOrDefault(self.maxFeatures)
 
         def grow(key, pdf):
             t = int(key[0])
-            pdf = pdf.sort_values("row_idx", kind="stable")
+            if "_key" in pdf.columns:
+                pdf = pdf.sort_values("_key", kind="stable")
             X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["f"].to_numpy()])
+            if not exact_groups:
+                if len(X) < psi:  # short draw: report it, the driver redraws this tree
+                    return pd.DataFrame([(t, -1, -1, -1.0, -1, -1, len(X))], columns=NODE_SCHEMA.names)
+                rng = np.random.default_rng([int(seed) & 0xFFFFFFFF, t, 2])
+                X = X[np.sort(rng.choice(len(X), psi, replace=False))]
             return pd.DataFrame(grow_tree(X, t, seed, limit, max_features), columns=NODE_SCHEMA.names)
 
-        nodes_df = joined.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
-        nodes = nodes_df.toPandas()  # bounded: numTrees * (2 psi - 1) rows
+        # One task per tree: an explicit repartition by tree_id (AQE would coalesce a
+        # small shuffle into one task and grow the trees one after another).
+        spread = lambda df, k: df.repartition(max(1, k), "tree_id")
+        if exact_groups:
+            nodes = spread(joined, num_trees).groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        else:
+            todo, factor, got = list(range(num_trees)), 1.0, []
+            while todo:
+                thinned = spread(self._thin(data, n, psi, todo, factor), len(todo))
+                part = thinned.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
+                short = set(part.loc[part["id"] < 0, "tree_id"].astype(int))
+                short |= set(todo) - set(part["tree_id"].astype(int))  # a tree that drew no row at all
+                got.append(part[~part["tree_id"].isin(short)])
+                todo, factor = sorted(short), factor * 4.0
+            nodes = pd.concat(got, ignore_index=True)
+        # bounded: numTrees * (2 psi - 1) rows
         nodes = nodes.sort_values(["tree_id", "id"]).reset_index(drop=True)
         model = IForestModel._create(nodes, psi, None)
         self._copyValues(model)
-        scored = indexed.select(_score_udf(nodes, psi)(F.col("f")).alias("s"))
+        scored = data.select(_score_udf(nodes, psi)(F.col("f")).alias("s"))
         thr = quantile(scored, "s", 1.0 - self.getOrDefault(self.contamination),
                        self.getOrDefault(self.approxQuantileRelativeError))
         model.threshold = float(thr) if thr is not None else 1.0
