@@ -46,8 +46,11 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     if not root:
         root = sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tracesift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = tempfile.mkdtemp(prefix="tracesift-ckpt-")  # only when the session names no folder (tests)
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:  # noqa: BLE001 - core settings may be read-only at runtime
+            pass
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name or 'tmp'}-{uuid.uuid4().hex}"
