@@ -31,6 +31,7 @@ def get_session(cpus: int | None = None, app: str = "tracesift", conf: dict | No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -78,3 +79,33 @@ def fresh_checkpoint(df):
         return staged.checkpoint()
     finally:
         staged.unpersist()
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracesift`` importable in executor Python workers (pandas UDFs, applyInPandas, mapInPandas).
+
+    The package is zipped once per process and registered with
+    ``SparkContext.addPyFile``, the same mechanism as ``--py-files``; Spark
+    copies it to every executor. A package already importable on the executors
+    (installed in the image) makes this a no-op in effect.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tracesift-pyfiles-"), "tracesift.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith((".py", ".sql")):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
