@@ -30,6 +30,15 @@ def _dedup(spark, sf):
     return sp.dedup_spans(_spans(spark, sf))
 
 
+def _roots(spark, sf):
+    """Root spans only: in the table role mapping they come from orders alone, so a root-only
+    query does not scan lineitem for a branch that can hold no root."""
+    from ..schema import SPAN_COLUMNS
+    from ..sources.tables import root_spans_from_tables
+
+    return root_spans_from_tables(spark, sf).select(*SPAN_COLUMNS)
+
+
 # ============================================================================ scans and filters (A1, A3, B*)
 
 
@@ -37,7 +46,7 @@ def _dedup(spark, sf):
 SELECT trace_id, span_id, service_name, duration, CAST(len(tags) AS BIGINT) AS n_tags
 FROM spans WHERE parent_span_id = 0 AND operation_name = 'park-spot'"""))
 def q_scan_root_spans(spark, sf):
-    return sp.root_spans(_spans(spark, sf)).select(
+    return sp.root_spans(_roots(spark, sf)).select(
         "trace_id", "span_id", "service_name", "duration", F.size("tags").cast("long").alias("n_tags")
     )
 
@@ -81,7 +90,7 @@ def q_filter_contains(spark, sf):
 @query("root_spans", "B6", O.with_spans(body="""
 SELECT trace_id, span_id, duration FROM spans WHERE parent_span_id = 0"""))
 def q_root_spans(spark, sf):
-    return sp.root_spans(_spans(spark, sf), None).select("trace_id", "span_id", "duration")
+    return sp.root_spans(_roots(spark, sf), None).select("trace_id", "span_id", "duration")
 
 
 @query("valid_trace", "B7", O.with_spans(body="""
@@ -103,7 +112,7 @@ def q_filter_exclude_ci(spark, sf):
 
 @query("tag_lookup", "B9 Q6", O.with_spans(O.REQ_CTE, body="SELECT trace_id, span_id, request FROM req"))
 def q_tag_lookup(spark, sf):
-    return sp.request_tags(sp.root_spans(_spans(spark, sf), None)).select("trace_id", "span_id", "request")
+    return sp.request_tags(sp.root_spans(_roots(spark, sf), None)).select("trace_id", "span_id", "request")
 
 
 @query("filter_present", "B10", O.with_spans(body="""
@@ -132,7 +141,7 @@ SELECT trace_id, span_id, nonconforming FROM conf"""))
 def q_schema_conformance(spark, sf):
     from ..functions.json import schema_conformance
 
-    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    r = sp.request_tags(sp.root_spans(_roots(spark, sf), None))
     return r.select("trace_id", "span_id", schema_conformance("request").alias("nonconforming"))
 
 
@@ -250,7 +259,7 @@ def q_process_runs(spark, sf):
 SELECT trace_id, CAST(floor((row_number() OVER (ORDER BY trace_id) - 1) / 5000) AS BIGINT) AS flush_group
 FROM spans WHERE parent_span_id = 0"""))
 def q_flush_groups(spark, sf):
-    roots = sp.root_spans(_spans(spark, sf), None).select("trace_id")
+    roots = sp.root_spans(_roots(spark, sf), None).select("trace_id")
     return sp.flush_groups(roots, ["trace_id"], 5000)
 
 
@@ -265,14 +274,14 @@ def q_sort_ops(spark, sf):
 @query("page_50", "F2 Q8", O.with_spans(body="""
 SELECT trace_id, span_id, duration FROM spans WHERE parent_span_id = 0 ORDER BY trace_id LIMIT 50 OFFSET 100"""))
 def q_page_50(spark, sf):
-    roots = sp.root_spans(_spans(spark, sf), None).select("trace_id", "span_id", "duration")
+    roots = sp.root_spans(_roots(spark, sf), None).select("trace_id", "span_id", "duration")
     return sp.page(roots, ["trace_id"], offset=100, size=50)
 
 
 @query("limit_n", "F3", O.with_spans(body="""
 SELECT trace_id, duration FROM spans WHERE parent_span_id = 0 ORDER BY duration DESC, trace_id LIMIT 2"""))
 def q_limit_n(spark, sf):
-    roots = sp.root_spans(_spans(spark, sf), None)
+    roots = sp.root_spans(_roots(spark, sf), None)
     return roots.orderBy(F.col("duration").desc(), "trace_id").limit(2).select("trace_id", "duration")
 
 
@@ -390,7 +399,7 @@ fg AS (SELECT trace_id, flagged, CAST(floor((row_number() OVER (ORDER BY trace_i
 def _flag_groups(spark, sf):
     from ..functions.json import schema_conformance
 
-    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    r = sp.request_tags(sp.root_spans(_roots(spark, sf), None))
     flag = r.groupBy("trace_id").agg(F.max(schema_conformance("request")).alias("flagged"))
     return sp.flush_groups(flag, ["trace_id"], 5000)
 
@@ -540,7 +549,7 @@ def q_write_anomalies(spark, sf):
     from ..functions.json import schema_conformance
     from ..sources.io import write_json
 
-    r = sp.request_tags(sp.root_spans(_spans(spark, sf), None))
+    r = sp.request_tags(sp.root_spans(_roots(spark, sf), None))
     path = write_json(r.filter(schema_conformance("request")).select("trace_id", "span_id", "request"))
     return spark.read.schema("trace_id long, span_id long, request string").json(path)
 
