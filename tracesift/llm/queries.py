@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, sentencepiece_codec, simhash, token_output, url_filter
+from . import exact_dedup, language_id, line_dedup, pii, sentencepiece_codec, simhash, token_output, url_filter
 from .support import table
 
+MIN_SITES = 8
+
 
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's vocabulary file."""
@@ -37,6 +39,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_file_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_language_id(docs.filter(~language_id.held_out()))
@@ -56,8 +67,10 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op4_url_filter": op4_url_filter,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_output": op7_token_output,
+    "op8_pii": op8_pii,
     "op10_language_id": op10_language_id,
 }
 
@@ -86,4 +99,18 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM h JOIN g USING (text_sha256)
 """
 
-SQL = {"op4_url_filter": _URL_SQL, "op6_exact_dedup": _EXACT_SQL}
+_LINE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT rid, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
+keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k FROM lines),
+boiler AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= {MIN_SITES}),
+marked AS (SELECT keyed.*, boiler.k IS NOT NULL AS gone FROM keyed LEFT JOIN boiler USING (k)),
+kept AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t
+  FROM marked GROUP BY rid)
+SELECT doc_id, n_lines, n_removed, sha256(t) AS kept_sha256 FROM docs JOIN kept USING (rid)
+"""
+
+SQL = {"op5_line_dedup": _LINE_SQL, "op4_url_filter": _URL_SQL, "op6_exact_dedup": _EXACT_SQL}
