@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, pii, sentencepiece_codec, simhash, suffix_dedup, token_output, url_filter
+from . import decontaminate, exact_dedup, language_id, line_dedup, pii, sentencepiece_codec, simhash, suffix_dedup, token_output, url_filter
 from .support import table
 
 MIN_SITES = 8
@@ -61,6 +61,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_language_id(docs.filter(~language_id.held_out()))
@@ -77,6 +81,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_output": op7_token_output,
     "op8_pii": op8_pii,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
