@@ -74,7 +74,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    Texts of rows that the filter shows to be unique never shuffle.
+    Of rows that repeat an id and its text, any one stays. Texts of rows that the filter shows to be unique never shuffle.
     """
     digest = F.unhex(F.sha2(text_or_empty(docs, text_col), 256))
     narrow = store(docs.select(docs[id_col].alias("doc_id"), digest.alias("digest")), "digests")
@@ -82,5 +82,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     maybe = with_candidate_flag(narrow, "digest", maps, bits).filter("__maybe")
     keepers = maybe.groupBy("digest").agg(F.max("doc_id").alias("__keep_id")).withColumnRenamed("digest", "__digest")
     flagged = with_candidate_flag(docs.withColumn("__digest", digest), "__digest", maps, bits)
-    shared = flagged.filter("__maybe").join(keepers, "__digest").filter(F.col(id_col).eqNullSafe(F.col("__keep_id")))
+    shared = flagged.filter("__maybe").join(keepers, "__digest").filter(F.col(id_col).eqNullSafe(F.col("__keep_id"))).dropDuplicates([id_col, "__digest"])
     return flagged.filter("NOT __maybe").select(docs.columns).unionByName(shared.select(docs.columns))

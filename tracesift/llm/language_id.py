@@ -9,14 +9,13 @@ each once whole and once as a short piece. Prediction reads nothing but the text
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import row_slices, store, text_or_empty, utf8_buffers
@@ -140,35 +139,50 @@ def _vote(members: list[str], margins: dict[tuple[str, str], np.ndarray], n: int
     return best, chance[np.arange(n), best]
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+def _predict(texts: pa.Array, letters: pa.Array, model: dict) -> pa.Array:
     keys = list(model["pairs"])
     weights = np.array([model["pairs"][k][0] for k in keys]).reshape(len(keys), DIM)
     bias = np.array([model["pairs"][k][1] for k in keys])
-    names = [lang for f in model["families"] for lang in model["langs"][f]]
-    for b in batches:
-        n, letters = b.num_rows, b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        margins = _means(*utf8_buffers(b.column(1)), weights) + bias
-        at = {k: margins[:, i] for i, k in enumerate(keys)}
-        pred, score = np.full(n, "und", object), np.zeros(n)
-        if names:
-            fam, p_fam = _vote(model["families"], {k[1:]: v for k, v in at.items() if k[0] == "family"}, n)
-            for i, f in enumerate(model["families"]):
-                lang, p = _vote(model["langs"][f], {k[1:]: v for k, v in at.items() if k[0] == f}, n)
-                mine = (fam == i) & letters
-                pred[mine] = np.array(model["langs"][f], object)[lang[mine]]
-                score[mine] = (p_fam * p)[mine]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+    n, has = len(texts), letters.to_numpy(zero_copy_only=False).astype(bool)
+    margins = _means(*utf8_buffers(texts), weights) + bias
+    at = {k: margins[:, i] for i, k in enumerate(keys)}
+    pred, score = np.full(n, "und", object), np.zeros(n)
+    if model["families"]:
+        fam, p_fam = _vote(model["families"], {k[1:]: v for k, v in at.items() if k[0] == "family"}, n)
+        for i, f in enumerate(model["families"]):
+            lang, p = _vote(model["langs"][f], {k[1:]: v for k, v in at.items() if k[0] == f}, n)
+            mine = (fam == i) & has
+            pred[mine] = np.array(model["langs"][f], object)[lang[mine]]
+            score[mine] = (p_fam * p)[mine]
+    return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+
+def language_of(text: Column, model: dict) -> Column:
+    """(lang_pred, score) of a text column.
+
+    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
+    """
+    filled = F.coalesce(text.cast("string"), F.lit(""))
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        return _predict(texts, letters, model)
+
+    return predict(filled, filled.rlike(r"\p{L}"))
 
 
 def predict_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred (a learned language, or ``und``), score from 0 to 1.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Very
-    long texts are read in pieces; repeated rows stay repeated; other columns are ignored.
+    Very long texts are read in pieces; repeated rows stay repeated; null ids stay null; other columns are
+    ignored; an empty table gives an empty result.
     """
-    text = text_or_empty(docs, text_col)
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    return narrow.mapInArrow(partial(_predict_batches, model=model), "doc_id long, lang_pred string, score double")
+    return docs.select(docs[id_col].alias("doc_id"), language_of(docs[text_col], model).alias("p")).select("doc_id", "p.lang_pred", "p.score")
+
+
+def drop_unidentified(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that have a language: those predicted ``und`` go."""
+    return docs.withColumn("__language", language_of(docs[text_col], model)).filter("__language.lang_pred <> 'und'").drop("__language")
 
 
 def held_out(id_col="doc_id", folds: int = 5):

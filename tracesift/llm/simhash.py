@@ -66,12 +66,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    return narrow.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, with_digest: bool = False) -> DataFrame:
+    text = text_or_empty(docs, text_col)
+    more = [F.unhex(F.sha2(text, 256)).alias("digest")] if with_digest else []
+    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), *more)
+    return narrow.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed), "doc_id long, fp long" + ", digest binary" * with_digest)
 
 
 # ---- shards ---------------------------------------------------------------------------------------
@@ -220,6 +222,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _classes(fps: DataFrame, radius: int, shard_limit: int) -> DataFrame:
+    """(fp, root) for each distinct fingerprint: root is the same for all of a component."""
+    distinct = store(fps.select("fp").distinct(), "classes")
+    roots = components(links(distinct, radius, shard_limit)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -229,16 +238,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component (component_id is null where no id is known). Other columns are ignored.
     """
     fps = store(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, radius, shard_limit)).select(F.col("node").alias("fp"), "root")
-    named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _classes(fps, radius, shard_limit).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     comps = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(comps, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their component: its smallest doc_id."""
-    groups = near_duplicates(docs, **options)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("__gone")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stand for their component: its smallest id.
+
+    A null id is larger than any other; between equal ids the text with the smaller digest stays; rows
+    that repeat an id and its text are one document.
+    """
+    digest = F.unhex(F.sha2(text_or_empty(docs, text_col), 256))
+    fps = store(fingerprints(docs, id_col, text_col, shingle, seed, with_digest=True), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    named = fps.select("fp", "doc_id", "digest", rank.alias("rank")).join(_classes(fps, radius, shard_limit), "fp")
+    first = named.groupBy("root").agg(F.min("rank").alias("first"))
+    gone = named.join(first, "root").filter("rank <> first").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (digest == F.col("__digest")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
