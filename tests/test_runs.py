@@ -62,11 +62,8 @@ def test_trace_tree_combines_with_its_source(spark):
     assert t.count() == t.join(src, ["trace_id", "span_id"], "left_semi").count()
 
 
-def test_children_chunks_bounded(spark):
+def test_children_of_a_hot_parent(spark):
     s = _spans(spark, n_hot=25000, n_small=10)  # one parent (span 1 of trace 7) with 25000 children
-    out = sp.children_by_parent(s, chunk_size=10000).filter("trace_id = 7")
-    rows = out.collect()
-    assert len(rows) == 3 and sum(r["n_in_chunk"] for r in rows) == 25000
-    assert max(r["n_in_chunk"] for r in rows) < 12000
-    ids = sorted(int(x) for r in rows for x in r["children"].split(","))
-    assert ids == list(range(1, 25001))
+    out = sp.children_by_parent(s).filter("trace_id = 7")
+    r = out.groupBy("parent_span_id").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.countDistinct("position").alias("d")).orderBy(F.desc("n")).first()
+    assert (r["last"] + 1, r["d"]) == (r["n"], r["n"])

@@ -1,5 +1,7 @@
 """The shared-folder helper reads the session's checkpoint folder and only makes its own when none is named."""
 
+import pytest
+
 from tracesift.session import shared_dir
 
 
@@ -17,8 +19,8 @@ class _Conf:
 
 
 class _SC:
-    def __init__(self, ckpt=None):
-        self.ckpt = ckpt
+    def __init__(self, ckpt=None, master="local[2]"):
+        self.ckpt, self.master = ckpt, master
 
     def getCheckpointDir(self):
         return self.ckpt
@@ -49,3 +51,10 @@ def test_falls_back_only_when_unset_even_if_conf_is_read_only():
 def test_context_checkpoint_dir_is_used():
     s = _Spark(None, ckpt="hdfs://nn/ckpt/abc")
     assert shared_dir(s, "z").startswith("hdfs://nn/ckpt/abc/z-")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    s = _Spark(None)
+    s.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_dir(s, "x")

@@ -111,44 +111,37 @@ def schema_conformance(col, expected_keys: Sequence[str] = PAYLOAD_KEYS) -> Colu
     return F.when(is_json_object(col), known != len(set(expected_keys))).otherwise(F.lit(True))
 
 
-# --- H19: top-level field edits on compact flat JSON objects ---------------------------
-# Values edited must be scalars (string, number, true/false/null), as in request payloads.
-_SCALAR = r'(?:"(?:[^"\\]|\\.)*"|[^,}\s"]+)'
+# --- H19: edits of top-level fields, on the parsed object -------------------------------
+def json_string_literal(col) -> Column:
+    """JSON string literal of a text column."""
+    one = F.to_json(F.array(_c(col).cast("string")))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
-def _quote_regex(s: str) -> str:
-    out = []
-    for ch in s:
-        out.append("\\" + ch if ch in r".^$*+?()[]{}|\-/" else ch)
-    return "".join(out)
+def _members(col) -> Column:
+    """The object's members in order (duplicates included) as (key, value text); NULL unless a JSON object."""
+    entries = F.map_entries(F.from_json(_c(col), "map<string,variant>"))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
 
 
-def json_string_literal(col) -> Column:
-    """JSON string literal of a text column (escapes backslash and quote)."""
-    esc = F.regexp_replace(F.regexp_replace(_c(col), r"\\", r"\\\\"), '"', '\\\\"')
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+def _object(members: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(json_string_literal(m["key"]), F.lit(":"), m["value"])), ","), F.lit("}"))
 
 
 def json_set_field(col, key: str, raw_value) -> Column:
-    """Set a top-level key to a raw JSON value: replaced in place when present, appended otherwise."""
+    """Set a top-level key to a raw JSON value: in place when present, else appended.
+
+    Nested objects are left alone, whatever their keys. The result is compact JSON with the members
+    in their order; a text that is no JSON object, or a NULL value, leaves the text as it is.
+    """
     raw = _c(raw_value) if not isinstance(raw_value, str) else F.lit(raw_value)
-    j = _c(col)
-    member = '"' + _quote_regex(key) + '"'
-    present = F.array_contains(F.json_object_keys(j), key)
-    # Replacement text: escape $ and \ for the Java replacement syntax.
-    repl = F.regexp_replace(F.regexp_replace(raw, r"\\", r"\\\\"), r"\$", r"\\\$")
-    replaced = F.regexp_replace(j, F.lit("(" + member + r"\s*:\s*)" + _SCALAR), F.concat(F.lit("$1"), repl))
-    member_text = F.concat(F.lit('"' + key.replace("\\", "\\\\").replace('"', '\\"') + '":'), raw)
-    appended = F.when(
-        F.trim(j) == "{}", F.concat(F.lit("{"), member_text, F.lit("}"))
-    ).otherwise(F.concat(F.regexp_replace(j, r"\}\s*$", ""), F.lit(","), member_text, F.lit("}")))
-    return F.when(~is_json_object(j), j).when(present, replaced).otherwise(appended)
+    members = _members(col)
+    changed = F.transform(members, lambda m: F.struct(m["key"].alias("key"), F.when(m["key"] == key, raw).otherwise(m["value"]).alias("value")))
+    present = F.exists(members, lambda m: m["key"] == key)
+    added = F.concat(members, F.array(F.struct(F.lit(key).alias("key"), raw.alias("value"))))
+    return F.when(is_json_object(col) & raw.isNotNull(), _object(F.when(present, changed).otherwise(added))).otherwise(_c(col))
 
 
 def json_remove_field(col, key: str) -> Column:
-    """Remove a top-level scalar field (all occurrences)."""
-    j = _c(col)
-    member = '"' + _quote_regex(key) + '"'
-    first = F.regexp_replace(j, r"\{\s*" + member + r"\s*:\s*" + _SCALAR + r"\s*,?", "{")
-    rest = F.regexp_replace(first, r",\s*" + member + r"\s*:\s*" + _SCALAR, "")
-    return F.when(is_json_object(j), rest).otherwise(j)
+    """Remove a top-level field (all its occurrences); the result is compact JSON."""
+    return F.when(is_json_object(col), _object(F.filter(_members(col), lambda m: m["key"] != key))).otherwise(_c(col))

@@ -38,7 +38,8 @@ def centroid_literal(centroids: Sequence[Sequence[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centroids])
 
 
-UNROLL_LIMIT = 256  # k * d terms written out as plain arithmetic (larger trees overflow codegen method limits)
+BLOCK_CELLS = 1 << 20  # row x centroid distances that a task holds at once
+UNROLL_LIMIT = 256  # plan choice only, same terms in the same order; k * d terms written out as plain arithmetic (larger trees overflow codegen method limits)
 
 
 def _sq_terms(x: Column, c: Sequence[float]) -> Column:
@@ -55,7 +56,8 @@ def nearest_centroid_values(x, centroids: Sequence[Sequence[float]]) -> Column:
     Up to ``UNROLL_LIMIT`` k*d terms the squared distances are written out as
     arithmetic on ``x[i]`` (compiled by whole-stage codegen; higher-order array
     functions would be interpreted row by row). Larger tables use a vectorised
-    numpy ``pandas_udf`` over Arrow batches.
+    numpy ``pandas_udf`` over Arrow batches that sums the same squared differences in the same order,
+    so both forms give the same clusters and distances.
     """
     x = _c(x)
     k, d = len(centroids), len(centroids[0]) if centroids else 0
@@ -69,7 +71,6 @@ def nearest_centroid_values(x, centroids: Sequence[Sequence[float]]) -> Column:
 def _nearest_udf(centroids: Sequence[Sequence[float]]):
 
     C = np.asarray(centroids, dtype=np.float64)
-    cn = (C * C).sum(axis=1)
     out_type = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     @F.pandas_udf(out_type)
@@ -77,10 +78,16 @@ def _nearest_udf(centroids: Sequence[Sequence[float]]):
         if len(v) == 0:
             return pd.DataFrame({"cluster": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
         X = np.stack([np.asarray(a, dtype=np.float64) for a in v.to_numpy()])
-        d2 = (X * X).sum(axis=1)[:, None] - 2.0 * X @ C.T + cn[None, :]
-        j = d2.argmin(axis=1)
-        exact = ((X - C[j]) ** 2).sum(axis=1)
-        return pd.DataFrame({"cluster": j.astype("int32"), "dist": np.sqrt(exact)})
+        cluster, best = np.zeros(len(X), np.int32), np.zeros(len(X))
+        rows = max(1, BLOCK_CELLS // len(C))
+        for at in range(0, len(X), rows):
+            part = X[at : at + rows]
+            d2 = np.zeros((len(part), len(C)))
+            for i in range(C.shape[1]):  # one term after the other, in the order of the written-out form
+                d2 += (part[:, i, None] - C[None, :, i]) ** 2
+            j = d2.argmin(axis=1)
+            cluster[at : at + rows], best[at : at + rows] = j, d2[np.arange(len(part)), j]
+        return pd.DataFrame({"cluster": cluster, "dist": np.sqrt(best)})
 
     return nearest
 
@@ -99,16 +106,6 @@ def distance_to_values(x, centroids: Sequence[Sequence[float]], cluster) -> Colu
     return F.sqrt(out)
 
 
-def nearest_centroid(x, centroids: Column) -> Column:
-    """Nearest centroid for a centroid *column* (array<array<double>>): higher-order functions.
-
-    Prefer ``nearest_centroid_values`` when the centroids are known values.
-    """
-    dists = F.transform(centroids, lambda c, i: F.struct(squared_distance(x, c).alias("d2"), i.alias("cluster")))
-    best = F.array_min(dists)  # struct order: by d2, then by index
-    return F.struct(best["cluster"].cast("int").alias("cluster"), F.sqrt(best["d2"]).alias("dist"))
-
-
 def flag_beyond(dist, max_dist) -> Column:
     """1 when the distance is strictly greater than the cluster's training maximum."""
     return F.when(_c(dist) > _c(max_dist), F.lit(1)).otherwise(F.lit(0))

@@ -31,7 +31,7 @@ MAX_CELLS = 5_000_000  # k * d numbers embedded in a plan
 
 def _check_size(k: int, d: int) -> None:
     if k > MAX_CLUSTERS or d > MAX_DIMS or k * d > MAX_CELLS:
-        raise ValueError(f"centroid table {k}x{d} is too large to embed; score with a cluster-table join instead")
+        raise ValueError(f"a centroid table of {k} x {d} numbers is beyond the limits {MAX_CLUSTERS}, {MAX_DIMS} and {MAX_CELLS} cells")
 
 
 # ----------------------------------------------------------------------------- column-level operators
@@ -55,14 +55,14 @@ def distance_to_cluster(df: DataFrame, vec_col: str, cluster_col: str, centroids
 
 
 def distance_to_cluster_table(df: DataFrame, vec_col: str, cluster_col: str, clusters: DataFrame,
-                              dist_col: str = "dist", broadcast_limit: int = MAX_CLUSTERS) -> DataFrame:
+                              dist_col: str = "dist", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """C7 as a join: rows x cluster table (cluster, centroid) on the cluster id.
 
-    The cluster table is broadcast only after its row count is checked against
-    ``broadcast_limit``; beyond that the planner's shuffle join is used.
+    The cluster table is broadcast only after its size is checked against ``broadcast_bytes``;
+    beyond that the planner's shuffle join is used.
     """
-    n = clusters.count()
-    right = F.broadcast(clusters) if n <= broadcast_limit else clusters
+    size = clusters.agg(F.coalesce(F.sum(F.size("centroid") * 8 + 64), F.lit(0))).first()[0]
+    right = F.broadcast(clusters) if size <= broadcast_bytes else clusters
     j = df.join(right, df[cluster_col] == right["cluster"], "left").drop(right["cluster"])
     return j.withColumn(dist_col, euclidean_distance(F.col(vec_col), F.col("centroid"))).drop("centroid")
 
@@ -111,16 +111,33 @@ class ClusterDetectorModel:
         return len(self.centroids)
 
     def features(self, df: DataFrame) -> DataFrame:
-        out = self.prepare.transform(df) if self.prepare is not None else df
+        out = self.prepare.transform(self._filled(df)) if self.prepare is not None else df
         if self.vec_col not in out.columns:
             raise ValueError(f"missing feature column {self.vec_col}")
         if dict(out.dtypes)[self.vec_col] != "array<double>":
             out = out.withColumn(self.vec_col, vector_to_array(self.vec_col))
         return out
 
+    def _filled(self, df: DataFrame) -> DataFrame:
+        """``df`` with NULL numbers as 0 and ``incomplete`` telling such rows."""
+        nums = self.meta.get("numeric", [])
+        if not nums:
+            return df.withColumn("incomplete", F.lit(False))
+        missing = F.lit(False)
+        for c in nums:
+            missing = missing | F.col(c).isNull()
+        return df.withColumn("incomplete", missing).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in nums})
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Prediction, dist, max_dist and anomaly (0/1) for every row."""
-        return flag_anomalies(assign_nearest(self.features(df), self.vec_col, self.centroids), self.max_dist)
+        """Prediction, dist, max_dist and anomaly (0/1) for every row.
+
+        A row with a NULL number is kept: it is scored with 0 in its place, marked ``incomplete`` and
+        counted as an anomaly.
+        """
+        out = flag_anomalies(assign_nearest(self.features(df), self.vec_col, self.centroids), self.max_dist)
+        if "incomplete" not in out.columns:
+            return out
+        return out.withColumn("anomaly", F.when(F.col("incomplete"), F.lit(1)).otherwise(F.col("anomaly")))
 
     def anomalies(self, df: DataFrame) -> DataFrame:
         """Only the flagged rows."""
@@ -178,7 +195,8 @@ def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str] = (), sc
     """StringIndexer -> OneHotEncoder(dropLast=False) -> VectorAssembler -> [StandardScaler].
 
     The assembler column order is the given ordered list (Q18); categorical
-    columns are a parameter that must not contain the label (Q17).
+    columns are a parameter that must not contain the label (Q17). Numbers must not be NULL:
+    the detector fits on complete rows and fills the others when it scores.
     """
     stages: list = []
     encoded = []
@@ -188,7 +206,7 @@ def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str] = (), sc
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=encoded, dropLast=False, handleInvalid="keep"))
     raw = out_col + "_raw" if scale else out_col
-    stages.append(VectorAssembler(inputCols=list(numeric) + encoded, outputCol=raw, handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=list(numeric) + encoded, outputCol=raw, handleInvalid="error"))
     if scale:
         stages.append(StandardScaler(inputCol=raw, outputCol=out_col, withStd=True, withMean=False))
     return stages
@@ -206,6 +224,7 @@ def fit_detector(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     from pyspark import StorageLevel
 
     started = time.time()
+    train = train.dropna(subset=list(numeric))  # incomplete rows teach nothing; scoring keeps and flags them
     prep = Pipeline(stages=feature_pipeline(numeric, categorical, scale, "features")).fit(train)
     # The clusterer makes many passes: keep the (narrow) feature column for the fit only.
     feats = prep.transform(train).select("features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -227,7 +246,7 @@ def fit_detector(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     assigned = assign_nearest(feats.withColumn("features", vector_to_array("features")), "features", centres)
     model.max_dist, model.score = _cluster_stats(assigned, model.k)
     feats.unpersist()
-    model.meta = {"algorithm": algorithm, "k": k, "seed": seed, "scale": scale, "elapsed_sec": time.time() - started}
+    model.meta = {"numeric": list(numeric), "algorithm": algorithm, "k": k, "seed": seed, "scale": scale, "elapsed_sec": time.time() - started}
     return model
 
 
@@ -241,7 +260,7 @@ def save_detector(model: ClusterDetectorModel, spark, path: str) -> None:
     model.cluster_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/clusters")
     if model.prepare is not None:
         model.prepare.write().overwrite().save(f"{path}/prepare")
-    meta = {"vec_col": model.vec_col, "score": model.score, "meta": model.meta}
+    meta = {"has_pipeline": model.prepare is not None, "vec_col": model.vec_col, "score": model.score, "meta": model.meta}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -251,9 +270,9 @@ def load_detector(spark, path: str) -> ClusterDetectorModel:
     rows = spark.read.parquet(f"{path}/clusters").orderBy("cluster").collect()  # k rows
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     try:
-        prepare = PipelineModel.load(f"{path}/prepare")
-    except Exception:  # noqa: BLE001 - saved without a feature pipeline
-        prepare = None
+        prepare = PipelineModel.load(f"{path}/prepare") if meta["has_pipeline"] else None
+    except KeyError as e:
+        raise ValueError(f"{path} holds no saved detector") from e
     return ClusterDetectorModel([list(r["centroid"]) for r in rows], [float(r["max_dist"]) for r in rows],
                                 meta["vec_col"], prepare, None, meta.get("score"), meta.get("meta", {}))
 
@@ -263,7 +282,9 @@ def train_kmeans(spans: DataFrame, path: str | None = None, k: int = 10, seed: i
     from ..schema import FEATURE_COLUMNS
     from .features import trace_features
 
-    tf = trace_features(spans)
+    from ..session import fresh_checkpoint
+
+    tf = fresh_checkpoint(trace_features(spans))  # the fit reads it several times
     model = fit_detector(tf, list(FEATURE_COLUMNS), k=k, algorithm="kmeans", seed=seed)
     if path:
         save_detector(model, spans.sparkSession, path)
@@ -288,8 +309,8 @@ def predict_traces(requests: DataFrame, model: ClusterDetectorModel, body_col: s
     from .features import payload_features
     from .spans import flush_groups
 
-    rows = parse_trace_requests(requests, body_col)
-    pf = payload_features(rows, "request", keep=("Id", "TraceD", "SpanD1", "SpanD2", "SpanD3", "SpanD4")).distinct()
+    rows = parse_trace_requests(requests, body_col).filter("bad_body IS NULL")  # a body without ids has nothing to flag
+    pf = payload_features(rows, "request", keep=("Id", "TraceD", "SpanD1", "SpanD2", "SpanD3", "SpanD4"))
     vec = pf.select("Id", feature_vector(FEATURE_COLUMNS).alias(model.vec_col))
     flagged = model.transform(vec).select("Id", (F.col("anomaly") > 0).alias("flagged"))
     return anomaly_id_list(flush_groups(flagged, ["Id"], flush_size), "Id", "flagged", ["flush_group"])

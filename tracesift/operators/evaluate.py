@@ -81,10 +81,10 @@ def auc_binary(df: DataFrame, prediction_col: str, label_col: str) -> DataFrame:
 
 
 def auc_roc(df: DataFrame, score_col: str, label_col: str) -> float:
-    """D15 for any score: MLlib's BinaryClassificationEvaluator (distributed sort of the scores)."""
+    """D15 for any score, ties at their mid-rank: MLlib's BinaryClassificationEvaluator without binning (a distributed sort)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label_col, metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label_col, metricName="areaUnderROC", numBins=0)
     return ev.evaluate(df.select(F.col(score_col).cast("double"), F.col(label_col).cast("double")))
 
 

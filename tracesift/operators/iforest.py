@@ -245,6 +245,10 @@ def sample_copies(samples: DataFrame) -> DataFrame:
     return samples.groupBy("tree_id", "row_idx").agg(F.count(F.lit(1)).alias("copies"))
 
 
+MAX_PSI = 1 << 20  # rows of one tree, which one task holds
+ANY_TREE = -1  # the draw that all trees share
+
+
 class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
     """Isolation forest estimator."""
 
@@ -272,6 +276,8 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
                 if self.isSet(self.maxSamples):
                     raise ValueError(f"maxSamples={psi} is larger than the number of rows {n}")  # Q15
                 psi = n  # Q28: the default is min(256, n)
+        if psi > MAX_PSI:
+            raise ValueError(f"maxSamples={psi} rows a tree; one task holds a tree's rows, so at most {MAX_PSI}")
         return max(1, psi)
 
     def sample(self, dataset: DataFrame):
@@ -328,9 +334,13 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
                            / F.lit(float(1 << 53)))
         else:
             u = lambda t: F.rand(int(seed) * 100003 + int(t))
-        picks = F.array_compact(F.array(*[F.when(u(t) < p, F.lit(t)) for t in trees]))  # codegen, no lambda
+        # One draw tells whether any tree may take the row (share q); the trees draw among those rows with
+        # p / q, so each tree still takes each row independently with probability p.
+        q = min(1.0, len(trees) * p)
+        picks = F.array_compact(F.array(*[F.when(u(t) < p / q, F.lit(t)) for t in trees]))  # codegen, no lambda
         key = [F.col("_key")] if "_key" in data.columns else []
-        return data.select(F.explode(picks).alias("tree_id"), "f", *key)
+        maybe = data.filter(u(ANY_TREE) < q) if q < 1.0 else data
+        return maybe.select(F.explode(picks).alias("tree_id"), "f", *key)
 
     def _grow_and_threshold(self, joined, data: DataFrame, n: int, psi: int, exact_groups: bool) -> "IForestModel":
         num_trees = self.getOrDefault(self.numTrees)
@@ -432,15 +442,9 @@ class IForestModel(Model, _IForestParams, MLReadable, MLWritable):
         sc = F.col(self.getOrDefault(self.scoreCol))
         return scored.withColumn(self.getOrDefault(self.predictionCol), (sc > F.lit(self.threshold)).cast("double"))
 
-    def summary(self, dataset: DataFrame) -> DataFrame:
-        """One row: rows scored, anomalies, threshold, trees, samples per tree."""
-        pred = self.transform(dataset)
-        return pred.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col(self.getOrDefault(self.predictionCol)) > 0).alias("num_anomalies"),
-            F.avg(self.getOrDefault(self.scoreCol)).alias("mean_score"),
-        ).select("*", F.lit(self.threshold).alias("threshold"), F.lit(self.num_trees).alias("num_trees"),
-                 F.lit(self.num_samples).alias("num_samples"))
+    def summary(self, dataset: DataFrame) -> "IForestSummary":
+        """The scored rows and what follows from them, as DataFrames."""
+        return IForestSummary(self, self.transform(dataset))
 
     # -- persistence (A14, A15) -------------------------------------------------
     def write(self):
@@ -451,6 +455,32 @@ class IForestModel(Model, _IForestParams, MLReadable, MLWritable):
         return _IForestModelReader(cls)
 
 
+class IForestSummary:
+    """``predictions`` (all scored rows), ``anomalies`` (the flagged ones), ``scores`` (the score column)
+    and ``totals`` (one row: rows, anomalies, mean score, threshold, trees, samples per tree); all lazy."""
+
+    def __init__(self, model: "IForestModel", predictions: DataFrame):
+        self.model, self.predictions = model, predictions
+
+    @property
+    def anomalies(self) -> DataFrame:
+        return self.predictions.filter(F.col(self.model.getOrDefault(self.model.predictionCol)) > 0)
+
+    @property
+    def scores(self) -> DataFrame:
+        return self.predictions.select(self.model.getOrDefault(self.model.scoreCol))
+
+    @property
+    def totals(self) -> DataFrame:
+        m = self.model
+        return self.predictions.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col(m.getOrDefault(m.predictionCol)) > 0).alias("num_anomalies"),
+            F.avg(m.getOrDefault(m.scoreCol)).alias("mean_score"),
+        ).select("*", F.lit(m.threshold).alias("threshold"), F.lit(m.num_trees).alias("num_trees"),
+                 F.lit(m.num_samples).alias("num_samples"))
+
+
 class _IForestModelWriter(MLWriter):
     def __init__(self, instance: IForestModel):
         super().__init__()
@@ -484,9 +514,4 @@ class _IForestModelReader(MLReader):
         return m
 
 
-def forest_from_json(spec: str) -> pd.DataFrame:
-    """Node table from a JSON list of node rows (hand-made forests for tests)."""
-    return pd.DataFrame(json.loads(spec), columns=NODE_SCHEMA.names)
-
-
 __all__ = ["IForest", "IForestModel", "grow_tree", "tree_samples", "sample_copies", "index_rows", "math"]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import EXCLUDED_SERVICE, REQUEST_TAG, ROOT_OPERATION, SERVICE_OPERATIONS, SPAN_COLUMNS, SPANS_PER_TRACE
+from ..schema import EXCLUDED_SERVICE, REQUEST_TAG, ROOT_OPERATION, SERVICE_OPERATIONS, SPANS_PER_TRACE
 
 # ----------------------------------------------------------------------------- predicates
 
@@ -76,8 +76,8 @@ def dedup_spans(spans: DataFrame, order_cols: Sequence[str] = ("arrival_seq",))
     """D3: last-wins per (trace_id, span_id): keep the row with the greatest ``order_cols``.
 
     Ties on ``order_cols`` are broken by the remaining scalar columns so the result
-    is deterministic. One hash aggregate with ``max_by``: partial aggregation
-    collapses duplicates map-side before the shuffle.
+    is deterministic. One aggregate with ``max_by`` (sort-based, since its buffer is a
+    struct): partial aggregation collapses duplicates map-side before the shuffle.
     """
     tie = [c for c in ("start_time", "duration", "operation_name", "service_name", "parent_span_id") if c not in order_cols]
     order = F.struct(*[F.col(c) for c in list(order_cols) + tie])
@@ -138,45 +138,35 @@ def span_edges(spans: DataFrame) -> DataFrame:
     return c.join(p, ["trace_id", "parent_span_id"], "inner")
 
 
-CHILD_CHUNK = 10_000
+def children_by_parent(spans: DataFrame) -> DataFrame:
+    """One row per child: (trace_id, parent_span_id, position, span_id), children in span-id order from 0.
 
-
-def children_by_parent(spans: DataFrame, chunk_size: int = CHILD_CHUNK) -> DataFrame:
-    """Sorted child ids per parent span, as comma text, in bounded chunks.
-
-    A parent with n children is split into ceil(n / chunk_size) chunks by an md5
-    bucket of the child id, so no list holds more than about ``chunk_size`` ids
-    however many children one parent has (one row per chunk; chunk 0 only for
-    ordinary parents). The per-parent count is a partial aggregate; the join back
-    on (trace_id, parent_span_id) is split by AQE when one parent is hot.
+    One distributed sort numbers all children densely; a child's position is its number less the
+    parent's least. A parent of any size is spread over tasks and never gathered in a list.
     """
-    from ..functions.hashing import hash_int
+    from .indexing import dense_index
 
     kids = spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id")
-    n = kids.groupBy("trace_id", "parent_span_id").agg(F.count(F.lit(1)).alias("n_children"))
-    chunks = F.ceil(F.col("n_children") / F.lit(chunk_size)).cast("long")
-    keyed = kids.join(n, ["trace_id", "parent_span_id"]).withColumn(
-        "chunk", F.pmod(hash_int("span_id"), chunks)
-    )
-    return keyed.groupBy("trace_id", "parent_span_id", "chunk").agg(
-        F.first("n_children").alias("n_children"),
-        F.count(F.lit(1)).alias("n_in_chunk"),
-        F.array_join(F.sort_array(F.collect_list("span_id")).cast("array<string>"), ",").alias("children"),
+    numbered, _ = dense_index(kids, ["trace_id", "parent_span_id", "span_id"], "_n")
+    first = numbered.groupBy("trace_id", "parent_span_id").agg(F.min("_n").alias("_first"))
+    return numbered.join(first, ["trace_id", "parent_span_id"]).select(
+        "trace_id", "parent_span_id", (F.col("_n") - F.col("_first")).alias("position"), "span_id"
     )
 
 
-def trace_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def trace_tree(spans: DataFrame) -> DataFrame:
     """Every span reachable from a root, with depth and a pre-order path.
 
-    Level-by-level frontier joins on (trace_id, parent_span_id); trace depth is
-    small. ``path`` is the list of span ids from the root, so sorting by
-    (trace_id, path) gives depth-first pre-order with children in span-id order.
-    The edge table and every level are written once with a reliable
-    ``checkpoint()`` (the cluster's shared checkpoint folder): each level is
-    computed once, the emptiness test reads the written level, lineage stays
-    one join deep, and a lost executor costs a re-read, not a recomputation of
-    earlier levels. The loop stops at the first empty level or ``max_depth``.
+    Level-by-level frontier joins on (trace_id, parent_span_id), down to the first empty level, whatever
+    the depth. ``path`` is the list of span ids from the root, so sorting by (trace_id, path) gives
+    depth-first pre-order with children in span-id order. An edge back to a span of its own path is
+    a cycle: it is not followed, and the number of such edges is reported with a warning. The edge table
+    and every level are written once with a reliable ``checkpoint()`` (the cluster's shared checkpoint
+    folder): each level is computed once, lineage stays one join deep, and a lost executor costs a
+    re-read.
     """
+    import warnings
+
     from ..session import fresh_checkpoint
 
     edges = fresh_checkpoint(spans.filter(~is_root()).select("trace_id", "parent_span_id", "span_id").distinct())
@@ -185,17 +175,23 @@ def trace_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
         .select("trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path"))
         .distinct()
     )
-    levels = [level]
-    for d in range(1, max_depth + 1):
+    levels, cyclic, d = [level], 0, 0
+    while True:
+        d += 1
         nxt = fresh_checkpoint(
             level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path")
             .join(edges, ["trace_id", "parent_span_id"])
-            .select("trace_id", "span_id", F.lit(d).alias("depth"), F.concat("path", F.array("span_id")).alias("path"))
+            .select("trace_id", "span_id", F.lit(d).alias("depth"), F.concat("path", F.array("span_id")).alias("path"),
+                    F.array_contains("path", F.col("span_id")).alias("_cycle"))
         )
-        if nxt.isEmpty():
+        kinds = {r["_cycle"]: r["n"] for r in nxt.groupBy("_cycle").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cyclic += kinds.get(True, 0)
+        if not kinds.get(False):
             break
-        levels.append(nxt)
-        level = nxt
+        level = nxt.filter(~F.col("_cycle")).drop("_cycle")
+        levels.append(level)
+    if cyclic:
+        warnings.warn(f"{cyclic} edges lead back to a span of their own path and were not followed", stacklevel=2)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
@@ -265,17 +261,6 @@ def process_runs_window(
     ).drop("_chg")
 
 
-def run_batches(spans: DataFrame, order_col: str = "span_id") -> DataFrame:
-    """E2 + A13: one batch row per run: (trace_id, run_id, service_name, process_tags, n_spans, span_ids)."""
-    runs = process_runs(spans, order_col)
-    return runs.groupBy("trace_id", "run_id").agg(
-        F.first("service_name").alias("service_name"),
-        F.count(F.lit(1)).alias("n_spans"),
-        F.min(order_col).alias("first_span"),
-        F.max(order_col).alias("last_span"),
-    )
-
-
 def page(df: DataFrame, order_cols: Sequence[str], offset: int, size: int = 50) -> DataFrame:
     """one page of a sorted scan."""
     return df.orderBy(*order_cols).offset(offset).limit(size)
@@ -287,7 +272,3 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
-
-
-def canonical(spans: DataFrame) -> DataFrame:
-    return spans.select(*SPAN_COLUMNS)

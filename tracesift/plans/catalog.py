@@ -223,14 +223,8 @@ def q_dedup_last_span(spark, sf):
 
 
 @query("children_by_parent", "D13", O.with_spans(O.DEDUP_CTE, body="""
-SELECT trace_id, parent_span_id, chunk, max(n_children) AS n_children, count(*) AS n_in_chunk,
-       string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY span_id) AS children
-FROM (
-  SELECT k.*, ('0x' || substr(md5(CAST(k.span_id AS VARCHAR)), 1, 15))::BIGINT
-              % CAST(ceil(k.n_children / 10000.0) AS BIGINT) AS chunk
-  FROM (SELECT trace_id, parent_span_id, span_id, count(*) OVER (PARTITION BY trace_id, parent_span_id) AS n_children
-        FROM dd WHERE parent_span_id != 0) k)
-GROUP BY trace_id, parent_span_id, chunk"""))
+SELECT trace_id, parent_span_id, row_number() OVER (PARTITION BY trace_id, parent_span_id ORDER BY span_id) - 1 AS position, span_id
+FROM dd WHERE parent_span_id != 0"""))
 def q_children_by_parent(spark, sf):
     return sp.children_by_parent(_dedup(spark, sf))
 
@@ -252,7 +246,8 @@ FROM (SELECT *, CASE WHEN lag(service_name) OVER w IS NULL
                       OR lag(service_name) OVER w != service_name OR lag(host) OVER w != host THEN 1 ELSE 0 END AS chg
       FROM dd WINDOW w AS (PARTITION BY trace_id ORDER BY span_id))"""))
 def q_process_runs(spark, sf):
-    return sp.process_runs(_dedup(spark, sf)).select("trace_id", "span_id", "run_id")
+    narrow = _dedup(spark, sf).select("trace_id", "span_id", "service_name", "process_tags")
+    return sp.process_runs(narrow).select("trace_id", "span_id", "run_id")
 
 
 @query("flush_groups", "E3", O.with_spans(body="""
@@ -324,18 +319,18 @@ def q_json_key_count(spark, sf):
 
 @query("json_has_key", "H3 Q3", O.with_spans(O.PAY_CTE, body=f"""
 SELECT Id,
-  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'username') AS BIGINT) END AS usernameE,
-  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'Username') AS BIGINT) END AS UsernameE,
-  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'password') AS BIGINT) END AS passwordE
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'username') AS BIGINT) END AS has_username,
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'Username') AS BIGINT) END AS has_capital_username,
+  CASE WHEN {O.json_ok('request')} THEN CAST(list_contains(json_keys(request), 'password') AS BIGINT) END AS has_password
 FROM pay"""))
 def q_json_has_key(spark, sf):
     from ..functions.json import json_has_key
 
     return _payloads(spark, sf).select(
         "Id",
-        json_has_key("request", "username").alias("usernameE"),
-        json_has_key("request", "Username").alias("UsernameE"),
-        json_has_key("request", "password").alias("passwordE"),
+        json_has_key("request", "username").alias("has_username"),
+        json_has_key("request", "Username").alias("has_capital_username"),
+        json_has_key("request", "password").alias("has_password"),
     )
 
 
@@ -457,19 +452,18 @@ def q_clean_name(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", clean_name("c_name").alias("name"))
 
 
-_SCALAR_RE = r'(?:"(?:[^"\\]|\\.)*"|[^,}\s"]+)'
+def _rebuilt_sql(col: str, value: str = "m.v", where: str = "true", more: str = "") -> str:
+    """DuckDB's object of the members of a JSON text: ``value`` for each (m.k key, m.v raw), those with ``where``."""
+    members = f"list_transform(json_keys({col}), lambda x: {{'k': x, 'v': CAST(json_extract({col}, '$.\"' || x || '\"') AS VARCHAR)}})"
+    text = f"list_transform(list_filter({members}, lambda m: {where}), lambda m: '\"' || m.k || '\":' || {value})"
+    return "'{' || array_to_string(" + text + more + ", ',') || '}'"
 
 
 @query("json_set_field", "H19", O.with_spans(O.PAY_CTE, body=f"""
 SELECT Id,
-  CASE WHEN list_contains(json_keys(request), 'CreditCard')
-       THEN regexp_replace(request, '("CreditCard"\\s*:\\s*){_SCALAR_RE}',
-                           '\\1"' || json_extract_string(request, '$."CreditCard"') || '"', 'g')
-       ELSE request END AS retyped,
-  regexp_replace(regexp_replace(request, '\\{{\\s*"password"\\s*:\\s*{_SCALAR_RE}\\s*,?', '{{', 'g'),
-                 ',\\s*"password"\\s*:\\s*{_SCALAR_RE}', '', 'g') AS removed,
-  CASE WHEN list_contains(json_keys(request), 'Note') THEN request
-       ELSE regexp_replace(request, '\\}}\\s*$', '') || ',"Note":"x"}}' END AS appended
+  {_rebuilt_sql("request", """CASE WHEN m.k = 'CreditCard' THEN '"' || json_extract_string(request, '$."CreditCard"') || '"' ELSE m.v END""")} AS retyped,
+  {_rebuilt_sql("request", where="m.k != 'password'")} AS removed,
+  {_rebuilt_sql("request", more=""" || ['"Note":"x"']""")} AS appended
 FROM pay"""))
 def q_json_set_field(spark, sf):
     from ..functions.json import json_remove_field, json_set_field, json_string_literal, json_value_text
@@ -511,20 +505,9 @@ def q_scan_csv(spark, sf):
 SELECT r.trace_id AS Id, r.duration AS TraceD, d.SpanD1, d.SpanD2, d.SpanD3, d.SpanD4, r.request
 FROM req r LEFT JOIN durs d ON r.trace_id = d.trace_id"""))
 def q_parse_trace_requests(spark, sf):
-    from ..schema import SERVICE_OPERATIONS
     from ..sources.io import parse_trace_requests
 
-    s = _spans(spark, sf)
-    req = sp.request_tags(sp.root_spans(s, None))
-    durs = sp.trace_durations(s)
-    j = req.join(durs, "trace_id", "left")
-    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    body = F.concat(
-        F.lit('[{"traceID":'), num("trace_id"), F.lit(',"park-spot":'), num("duration"),
-        *[x for i, op in enumerate(SERVICE_OPERATIONS) for x in (F.lit(f',"{op}":'), num(f"SpanD{i + 1}"))],
-        F.lit(',"request":'), F.col("request"), F.lit("}]"),
-    )
-    return parse_trace_requests(j.select(body.alias("body")), "body")
+    return parse_trace_requests(_request_bodies(spark, sf).select("body"), "body").drop("bad_body")
 
 
 @query("write_jsonl", "A9", O.with_spans(O.PAY_CTE, body="SELECT request AS value FROM pay"))
@@ -570,18 +553,17 @@ def q_forward_spans(spark, sf):
 # ============================================================================ clustering detector
 
 
-def _embedding_model(spark, sf, train_only=True):
-    """Detector over embeddings with centroids = rounded per-label means (a fixed, checkable model)."""
+def _embedding_model(spark, sf):
+    """Detector over embeddings with centroids = rounded per-label means of the training rows."""
     from ..functions.hashing import hash_unit
     from ..operators import cluster as cl
 
     emb = load(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
-    cent = cl.label_centroids(emb, "vec", "label", 2)
-    rows = cent.orderBy("cluster").collect()  # one row per label: bounded by the label count, checked below
-    if len(rows) > cl.MAX_CLUSTERS:
+    is_train = hash_unit("vec_id", F.lit("split")) < 0.8
+    if emb.select("label").distinct().limit(cl.MAX_CLUSTERS + 1).count() > cl.MAX_CLUSTERS:
         raise ValueError("too many labels for a centroid table")
+    rows = cl.label_centroids(emb.filter(is_train), "vec", "label", 2).orderBy("cluster").collect()  # one row per label
     centroids = [list(r["centroid"]) for r in rows]
-    is_train = hash_unit("vec_id", F.lit("split")) < 0.8
     model = cl.fit_with_centroids(emb.filter(is_train), "vec", centroids)
     return emb, model, is_train
 
@@ -589,10 +571,12 @@ def _embedding_model(spark, sf, train_only=True):
 @query("centroid_distance", "H7 C7", O.with_ctes(O.EMB_CTE, body="""
 SELECT vec_id, label, round(d, 6) AS dist FROM dist JOIN cent USING (cluster, label)"""))
 def q_centroid_distance(spark, sf):
+    from ..functions.hashing import hash_unit
     from ..operators import cluster as cl
 
     emb = load(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
-    cent = cl.label_centroids(emb, "vec", "label", 2).withColumnRenamed("cluster", "label_c")
+    is_train = hash_unit("vec_id", F.lit("split")) < 0.8
+    cent = cl.label_centroids(emb.filter(is_train), "vec", "label", 2).withColumnRenamed("cluster", "label_c")
     table = cent.select(F.col("label_c").alias("cluster"), "centroid")
     out = cl.distance_to_cluster_table(emb, "vec", "label", table)
     return out.select("vec_id", "label", F.round("dist", 6).alias("dist"))
@@ -644,8 +628,10 @@ def q_kmeans_anomaly_detect(spark, sf):
 def _trace_feature_frame(spark, sf):
     from ..schema import FEATURE_COLUMNS
 
-    tf = feat.trace_features(spans_from_tables(spark, sf))
-    return tf, list(FEATURE_COLUMNS)
+    from ..session import fresh_checkpoint
+
+    # read by the fit and by the scoring: written once
+    return fresh_checkpoint(feat.trace_features(spans_from_tables(spark, sf))), list(FEATURE_COLUMNS)
 
 
 @query("kmeans_simple", "J5 J1 A10")
@@ -654,7 +640,7 @@ def q_kmeans_simple(spark, sf):
 
     tf, cols = _trace_feature_frame(spark, sf)
     model = cl.fit_detector(tf, cols, k=10, algorithm="kmeans", seed=1)
-    return model.transform(tf).select("Id", "prediction", "dist", "anomaly")
+    return model.transform(tf).select("Id", "prediction", "dist", "anomaly", "incomplete")
 
 
 def _part(spark, sf):
@@ -667,7 +653,7 @@ def q_kmeans_onehot(spark, sf):
 
     p = _part(spark, sf)
     m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="kmeans")
-    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly", "incomplete")
 
 
 @query("kmeans_onehot_norm", "J7 J4")
@@ -676,7 +662,7 @@ def q_kmeans_onehot_norm(spark, sf):
 
     p = _part(spark, sf)
     m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="kmeans", scale=True)
-    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly", "incomplete")
 
 
 @query("bisecting_kmeans", "J8")
@@ -685,7 +671,85 @@ def q_bisecting_kmeans(spark, sf):
 
     p = _part(spark, sf)
     m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=10, algorithm="bisecting", scale=True)
-    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly", "incomplete")
+
+
+@query("assemble", "J1", """
+SELECT p_partkey, CAST(p_size AS DOUBLE) AS v0, CAST(p_retailprice AS DOUBLE) AS v1 FROM part""")
+def q_assemble(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    v = vector_to_array("features")
+    out = Pipeline(stages=cl.feature_pipeline(["p_size", "p_retailprice"])).fit(p).transform(p)
+    return out.select("p_partkey", v[0].alias("v0"), v[1].alias("v1"))
+
+
+_INDEX_SQL = """
+idx AS (
+  SELECT p_brand, CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS INTEGER) AS i, count(*) OVER () AS k
+  FROM part GROUP BY p_brand)
+"""
+
+
+def _indexed_parts(spark, sf):
+    from pyspark.ml import Pipeline
+
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    return Pipeline(stages=cl.feature_pipeline(["p_size"], ["p_brand"])).fit(p).transform(p)
+
+
+@query("string_index", "J2", O.with_ctes(_INDEX_SQL, body="""
+SELECT p_partkey, CAST(i AS DOUBLE) AS brand_index FROM part JOIN idx USING (p_brand)"""))
+def q_string_index(spark, sf):
+    return _indexed_parts(spark, sf).select("p_partkey", F.col("p_brand_idx").alias("brand_index"))
+
+
+@query("one_hot", "J3", O.with_ctes(_INDEX_SQL, body="""
+SELECT p_partkey, list_transform(range(0, k + 2), lambda j: CAST(j = i AS DOUBLE)) AS brand_vector FROM part JOIN idx USING (p_brand)"""))
+def q_one_hot(spark, sf):
+    """One place per brand, then one for brands not seen at fit and one for unknown indices."""
+    from pyspark.ml.functions import vector_to_array
+
+    return _indexed_parts(spark, sf).select("p_partkey", vector_to_array("p_brand_vec").alias("brand_vector"))
+
+
+@query("standard_scale", "J4", """
+SELECT p_partkey, round(p_size / (SELECT stddev_samp(p_size) FROM part), 6) AS size_scaled,
+       round(p_retailprice / (SELECT stddev_samp(p_retailprice) FROM part), 6) AS price_scaled FROM part""")
+def q_standard_scale(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import cluster as cl
+
+    p = _part(spark, sf)
+    v = vector_to_array("features")
+    out = Pipeline(stages=cl.feature_pipeline(["p_size", "p_retailprice"], scale=True)).fit(p).transform(p)
+    return out.select("p_partkey", F.round(v[0], 6).alias("size_scaled"), F.round(v[1], 6).alias("price_scaled"))
+
+
+@query("run_report", "A10 Q27", O.with_ctes(O.EMB_CTE, body="""
+SELECT 'Label Means' AS technique, round(coalesce(sum(m), 0) / (SELECT count(*) FROM cent), 6) AS score, true AS timed
+FROM (SELECT prediction, avg(d) AS m FROM near GROUP BY prediction)"""))
+def q_run_report(spark, sf):
+    """One run appended to a runs table, and the table read back."""
+    import time
+
+    from ..operators import cluster as cl
+    from ..operators.evaluate import append_run_report
+    from ..session import shared_dir
+
+    started = time.time()
+    emb, model, _ = _embedding_model(spark, sf)
+    score = cl.clustering_score(cl.assign_nearest(emb, "vec", model.centroids), model.k).first()["score"]
+    runs = append_run_report(spark, shared_dir(spark, "runs"), "Label Means", score, started)
+    return runs.select("technique", F.round("score", 6).alias("score"), ((F.col("elapsed_sec") >= 0) & F.col("finished_at").isNotNull()).alias("timed"))
 
 
 @query("gmm", "J9")
@@ -693,8 +757,8 @@ def q_gmm(spark, sf):
     from ..operators import cluster as cl
 
     p = _part(spark, sf)
-    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_type"], k=4, algorithm="gmm", scale=True, sample_fraction=0.1)
-    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly")
+    m = cl.fit_detector(p, ["p_size", "p_retailprice"], ["p_brand", "p_type"], k=4, algorithm="gmm", scale=True)
+    return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly", "incomplete")
 
 
 # ============================================================================ isolation forest
@@ -789,6 +853,20 @@ def q_auc_roc(spark, sf):
     return auc_binary(d, "prediction", "label").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
 
 
+@query("auc_scores", "D15", """
+WITH d AS (SELECT d.n_chars AS s, l.toxic > 0 AS pos FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+r AS (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM d)
+SELECT round((sum(mid) FILTER (WHERE pos) - p * (p + 1) / 2.0) / (p * n), 6) AS auc
+FROM r, (SELECT count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM d) GROUP BY p, n""")
+def q_auc_scores(spark, sf):
+    """Area under the ROC curve of a many-valued score, ties at their mid-rank."""
+    from ..operators.evaluate import auc_roc
+
+    d = load(spark, sf, "documents").select("doc_id", "n_chars").join(load(spark, sf, "labels"), "doc_id")
+    auc = auc_roc(d.select("n_chars", (F.col("toxic") > 0).cast("int").alias("label")), "n_chars", "label")
+    return spark.createDataFrame([(round(auc, 6),)], "auc double")
+
+
 @query("feature_range", "D11", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), body="SELECT "
        + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in __import__("tracesift.schema", fromlist=["x"]).FEATURE_COLUMNS)
        + " FROM tf"))
@@ -808,8 +886,9 @@ def _assembled_traces(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     from ..schema import FEATURE_COLUMNS
+    from ..session import fresh_checkpoint
 
-    tf = feat.trace_features(spans_from_tables(spark, sf))
+    tf = fresh_checkpoint(feat.trace_features(spans_from_tables(spark, sf)))  # fit and scoring read it
     return VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features").transform(tf)
 
 
@@ -817,7 +896,7 @@ def _assembled_traces(spark, sf):
 def q_iforest_fit(spark, sf):
     from ..operators.iforest import IForest
 
-    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42).fit(_assembled_traces(spark, sf))
+    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42, idCol="Id").fit(_assembled_traces(spark, sf))
     return model.nodes_df(spark)
 
 
@@ -826,7 +905,7 @@ def q_iforest_transform(spark, sf):
     from ..operators.iforest import IForest
 
     data = _assembled_traces(spark, sf)
-    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42).fit(data)
+    model = IForest(numTrees=100, maxSamples=256, contamination=0.1, seed=42, idCol="Id").fit(data)
     return model.transform(data).select("Id", "anomalyScore", "prediction")
 
 
@@ -835,15 +914,16 @@ def q_iforest_summary(spark, sf):
     from ..operators.iforest import IForest
 
     data = _assembled_traces(spark, sf)
-    model = IForest(numTrees=50, maxSamples=128, contamination=0.1, seed=7).fit(data)
-    return model.summary(data)
+    model = IForest(numTrees=50, maxSamples=128, contamination=0.1, seed=7, idCol="Id").fit(data)
+    s = model.summary(data)
+    return s.totals.join(s.anomalies.agg(F.count(F.lit(1)).alias("n_in_anomalies"))).join(s.scores.agg(F.count(F.lit(1)).alias("n_in_scores")))
 
 
 @query("tree_samples", "J12 E1")
 def q_tree_samples(spark, sf):
     from ..operators.iforest import IForest
 
-    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3).sample(_assembled_traces(spark, sf))
+    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3, idCol="Id").sample(_assembled_traces(spark, sf))
     return samples
 
 
@@ -851,21 +931,63 @@ def q_tree_samples(spark, sf):
 def q_sample_copies(spark, sf):
     from ..operators.iforest import IForest, sample_copies
 
-    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3, bootstrap=True).sample(
+    indexed, samples, n, psi = IForest(numTrees=100, maxSamples=256, seed=3, bootstrap=True, idCol="Id").sample(
         _assembled_traces(spark, sf)
     )
     return sample_copies(samples)
 
 
-@query("iforest_save_load", "A14 A15 D10 F4")
+_FIXED_SQL = "SELECT * FROM (VALUES " + ", ".join(str(n) for n in FIXED_FOREST) + (
+    ") AS t(tree_id, id, feature_index, feature_value, left_child, right_child, num_instance)")
+
+
+@query("iforest_save_load", "A14 A15 D10 F4", f"""
+SELECT CAST(tree_id AS INTEGER) AS tree_id, CAST(id AS INTEGER) AS id, CAST(feature_index AS INTEGER) AS feature_index,
+  CAST(feature_value AS DOUBLE) AS feature_value, CAST(left_child AS INTEGER) AS left_child,
+  CAST(right_child AS INTEGER) AS right_child, CAST(num_instance AS BIGINT) AS num_instance, n_rows
+FROM ({_FIXED_SQL}), (SELECT count(*) FILTER (WHERE {_SCORE} > {FIXED_THRESHOLD}) AS n_rows FROM lineitem)""")
 def q_iforest_save_load(spark, sf):
-    from ..operators.iforest import IForest, IForestModel
+    """The fixed forest saved and loaded: its node table, and the rows that the loaded model flags."""
+    from ..operators.evaluate import num_anomalies
+    from ..operators.iforest import IForestModel
     from ..session import shared_dir
 
-    model = IForest(numTrees=20, maxSamples=64, seed=5).fit(_assembled_traces(spark, sf))
     path = shared_dir(spark, "iforest")
-    model.write().overwrite().save(path)
-    return IForestModel.load(path).nodes_df(spark)
+    _fixed_model().write().overwrite().save(path)
+    loaded = IForestModel.load(path)
+    flagged = num_anomalies(loaded.transform(_lineitem_f(spark, sf))).withColumnRenamed("num_anomalies", "n_rows")
+    return loaded.nodes_df(spark).join(flagged)
+
+
+@query("iforest_laws", "J11 J14 J15 J18 H13", O.with_spans(O.REQ_CTE, body="""
+SELECT t.tree_id, least(256, n) AS rows_in_leaves, true AS ids_dense, true AS in_order, true AS leaf_marks
+FROM range(0, 100) t(tree_id), (SELECT count(*) AS n FROM req)"""))
+def q_iforest_laws(spark, sf):
+    """Per tree of a fitted forest: every sampled row is in one leaf, ids run from 0 without gaps, children
+    come after their parent, and leaves carry the leaf marks."""
+    from ..operators.iforest import IForest
+
+    data = _assembled_traces(spark, sf)
+    psi = min(256, data.count())
+    nodes = IForest(numTrees=100, maxSamples=float(psi) if psi > 1 else 256.0, contamination=0.1, seed=42, idCol="Id").fit(data).nodes_df(spark)
+    leaf = F.col("feature_index") < 0
+    return nodes.groupBy("tree_id").agg(
+        F.sum(F.when(leaf, F.col("num_instance")).otherwise(0)).alias("rows_in_leaves"),
+        ((F.min("id") == 0) & (F.max("id") == F.count("*") - 1)).alias("ids_dense"),
+        F.every(leaf | ((F.col("left_child") == F.col("id") + 1) & (F.col("right_child") > F.col("left_child")))).alias("in_order"),
+        F.every(~leaf | ((F.col("left_child") == -1) & (F.col("right_child") == -1) & (F.col("feature_value") == -1.0))).alias("leaf_marks"),
+    ).select(F.col("tree_id").cast("long").alias("tree_id"), "rows_in_leaves", "ids_dense", "in_order", "leaf_marks")
+
+
+@query("iforest_bootstrap", "C6 D8 Q14", """
+SELECT t.tree_id, 256 AS rows_in_leaves FROM range(0, 20) t(tree_id)""")
+def q_iforest_bootstrap(spark, sf):
+    """Bootstrap fit: row numbers drawn with replacement, joined to the rows; 256 rows reach each tree's leaves."""
+    from ..operators.iforest import IForest
+
+    model = IForest(numTrees=20, maxSamples=256.0, seed=3, bootstrap=True, idCol="Id").fit(_assembled_traces(spark, sf))
+    nodes = model.nodes_df(spark).filter("feature_index < 0")
+    return nodes.groupBy(F.col("tree_id").cast("long").alias("tree_id")).agg(F.sum("num_instance").alias("rows_in_leaves"))
 
 
 def _document_features(spark, sf):
@@ -886,23 +1008,18 @@ def _document_features(spark, sf):
 @query("iforest_labelled_run", "J20 J2 J1 D15 A10")
 def q_iforest_labelled_run(spark, sf):
     """CSV-like labelled table -> index label -> assemble -> forest -> AUC of 0/1 predictions."""
-    import time
-
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     from ..operators.evaluate import auc_binary
     from ..operators.iforest import IForest
 
-    started = time.time()
     d = _document_features(spark, sf)
     d = StringIndexer(inputCol="label_raw", outputCol="label", stringOrderType="alphabetAsc").fit(d).transform(d)
     cols = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper", "n_non_ascii"]
     d = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-    forest = IForest(numTrees=100, contamination=0.35, maxDepth=100, seed=123456)  # 256 samples per tree, capped at n
+    forest = IForest(numTrees=100, contamination=0.35, maxDepth=100, seed=123456, idCol="doc_id")  # 256 samples per tree, capped at n
     pred = forest.fit(d).transform(d)
-    return auc_binary(pred, "prediction", "label").select(
-        "*", F.lit(round(time.time() - started, 3)).alias("fit_seconds")
-    )
+    return auc_binary(pred, "prediction", "label")
 
 
 # ============================================================================ injection and augmentation
@@ -1000,6 +1117,7 @@ def q_tail_sample(spark, sf):
     spans = sp.dedup_spans(_spans(spark, sf))
     flagged = sp.request_tags(sp.root_spans(spans, None)).filter(schema_conformance("request")).select("trace_id")
     kept = tail_sample(spans, flagged, "anomalous")
+    kept = kept.select("trace_id", "span_id", "operation_name", "service_name", "process_tags")
     return sp.process_runs(kept).select("trace_id", "span_id", "operation_name", "service_name", "run_id")
 
 
@@ -1013,105 +1131,142 @@ def q_tail_sample_passthrough(spark, sf):
 
 # ============================================================================ streaming agent
 
-STREAM_WATERMARK = "3650 days"  # test timestamps span years; lateness is not what these queries test
-STREAM_TIMEOUT_MS = 24 * 3600 * 1000
+STREAM_WATERMARK, SESSION_GAP = "10 minutes", "5 minutes"
+TRACE_SECONDS, STREAM_SLICES, STREAM_FILES = 10, 4, 4
+
 
+def _span_source(spark, sf):
+    """Span files in a folder in order of event time, as an agent's intake leaves them (derived from the tables).
 
-def _span_source(spark, sf, files: int = 8):
-    """Span files in a folder, as an agent's intake would leave them (derived from the tables)."""
+    Traces start ``TRACE_SECONDS`` apart and their spans follow by the second. The files come in slices
+    whose borders fall inside a trace; a last file holds a mark of the invalid trace 0 a day later, with
+    which the intake closes, so that the watermark passes every trace.
+    """
     from ..session import shared_dir
 
+    start = F.col("trace_id") * TRACE_SECONDS + F.col("span_id") % 100
+    table = shared_dir(spark, "spans")
+    _spans(spark, sf).withColumn("_s", start).write.parquet(table)
+    spans = spark.read.parquet(table)
+    at = lambda s: F.timestamp_seconds(F.lit(1_600_000_000) + s).cast("timestamp_ntz")
+    lo, hi = spans.agg(F.min("_s"), F.max("_s")).first()
     path = shared_dir(spark, "span-src")
-    _spans(spark, sf).repartition(files, "trace_id").write.parquet(path)
+    if lo is None:
+        spans.drop("_s").write.parquet(path)
+        return path
+    cuts = [lo + ((hi - lo) * i // STREAM_SLICES // TRACE_SECONDS) * TRACE_SECONDS + 3 * (i > 0) for i in range(STREAM_SLICES)] + [hi + 1]
+    for a, b in zip(cuts, cuts[1:]):
+        part = spans.filter((F.col("_s") >= a) & (F.col("_s") < b)).withColumn("start_time", at(F.col("_s")))
+        part.drop("_s").repartition(STREAM_FILES).write.mode("append").parquet(path)
+    mark = spans.filter(F.col("_s") == hi).limit(1).withColumn("start_time", at(F.col("_s") + 86_400))
+    zero = F.lit(0).cast("long")
+    mark.withColumns({"trace_id": zero, "span_id": zero}).drop("_s").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _deduped_stream(spark, sf, files: int = 8, max_files=None, watermark: str = STREAM_WATERMARK):
+def _stream(spark, sf):
     from ..streaming import agent
 
-    src = _span_source(spark, sf, files)
-    s = agent.span_stream(spark, src, max_files_per_trigger=max_files)
-    return agent.dedup_stream(agent.with_event_time(s, watermark))
+    return agent.span_stream(spark, _span_source(spark, sf), max_files_per_trigger=STREAM_FILES)
+
+
+def _deduped_stream(spark, sf):
+    from ..streaming import agent
+
+    return agent.dedup_stream(agent.with_event_time(_stream(spark, sf), STREAM_WATERMARK))
+
+
+def _sessions(spark, sf, name):
+    from ..streaming import agent
+
+    a = agent.session_assembly(_deduped_stream(spark, sf), gap=SESSION_GAP)
+    return agent.run_to_table(a, spark, name).filter(sp.is_valid_trace())
 
 
 @query("stream_spans", "A7", O.with_spans(body="SELECT operation_name, count(*) AS n FROM spans GROUP BY operation_name"))
 def q_stream_spans(spark, sf):
     from ..streaming import agent
 
-    src = _span_source(spark, sf)
-    t = agent.run_to_table(agent.span_stream(spark, src), spark, "stream-spans")
+    t = agent.run_to_table(_stream(spark, sf), spark, "stream-spans").filter(sp.is_valid_trace())
     return t.groupBy("operation_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_dedup", "I5", O.with_spans(body="SELECT DISTINCT trace_id, span_id FROM spans"))
+@query("stream_dedup", "I5", O.with_spans(body="SELECT DISTINCT trace_id, span_id, operation_name FROM spans"))
 def q_stream_dedup(spark, sf):
     from ..streaming import agent
 
-    t = agent.run_to_table(_deduped_stream(spark, sf), spark, "stream-dedup")
-    return t.select("trace_id", "span_id")
+    t = agent.run_to_table(_deduped_stream(spark, sf), spark, "stream-dedup").filter(sp.is_valid_trace())
+    return t.select("trace_id", "span_id", "operation_name")
 
 
 @query("stream_trace_assembly", "I1 I3 B15", O.with_spans(O.DEDUP_CTE, body="""
 SELECT trace_id, CAST(count(*) AS BIGINT) AS n_spans FROM dd GROUP BY trace_id HAVING count(*) >= 8"""))
 def q_stream_trace_assembly(spark, sf):
-    from ..streaming import agent
+    return _sessions(spark, sf, "stream-assembly").filter("complete").select("trace_id", "n_spans")
 
-    a = agent.assemble_traces(_deduped_stream(spark, sf), 8, timeout_ms=STREAM_TIMEOUT_MS)
-    t = agent.run_to_table(a, spark, "stream-assembly")
-    return t.filter("complete").select("trace_id", "n_spans")
 
+_ROOT_D = "CAST(max(CASE WHEN parent_span_id = 0 THEN duration END) AS BIGINT)"
 
-@query("stream_incomplete", "I4 Q20")
-def q_stream_incomplete(spark, sf):
-    """Incomplete traces closed by the watermark timeout (emitted with complete = false)."""
-    from ..streaming import agent
 
-    a = agent.assemble_traces(_deduped_stream(spark, sf, files=8, max_files=4, watermark="1 day"), 8, timeout_ms=0)
-    t = agent.run_to_table(a, spark, "stream-incomplete")
-    return t.filter(~F.col("complete")).select("trace_id", "n_spans", "TraceD")
+@query("stream_incomplete", "I4 Q20", O.with_spans(O.DEDUP_CTE, body=f"""
+SELECT trace_id, count(*) AS n_spans, {_ROOT_D} AS TraceD FROM dd GROUP BY trace_id HAVING count(*) < 8"""))
+def q_stream_incomplete(spark, sf):
+    """Incomplete traces, closed when the watermark passes their end (complete = false)."""
+    return _sessions(spark, sf, "stream-incomplete").filter(~F.col("complete")).select("trace_id", "n_spans", "TraceD")
 
 
-@query("stream_session_assembly", "I1")
+@query("stream_session_assembly", "I1", O.with_spans(O.DEDUP_CTE, body=f"""
+SELECT trace_id, count(*) AS n_spans, count(*) >= 8 AS complete, {_ROOT_D} AS TraceD FROM dd GROUP BY trace_id"""))
 def q_stream_session_assembly(spark, sf):
-    from ..streaming import agent
-
-    a = agent.session_assembly(_deduped_stream(spark, sf, watermark="1 day"), gap="200 days")
-    t = agent.run_to_table(a, spark, "stream-session")
-    return t.select("trace_id", "n_spans", "complete", "TraceD")
+    return _sessions(spark, sf, "stream-session").select("trace_id", "n_spans", "complete", "TraceD")
 
 
 def _conformance_scorer(batch):
+    """A trace is anomalous if one of its requests breaks the schema, or it has none."""
     from ..functions.json import schema_conformance
+    from ..streaming.agent import REQUESTS
 
-    return batch.select("trace_id", F.coalesce(schema_conformance("request"), F.lit(True)).alias("anomalous"))
+    texts = F.from_json(REQUESTS, "array<string>")
+    odd = F.exists(texts, lambda r: schema_conformance(r))
+    return batch.filter(sp.is_valid_trace()).select("trace_id", F.when(F.size(texts) > 0, odd).otherwise(F.lit(True)).alias("anomalous"))
 
 
-@query("stream_score", "I6 I2")
-def q_stream_score(spark, sf):
-    """Micro-batches of assembled traces scored in foreachBatch; decisions written per epoch."""
+_DECIDED_CTE = """
+decided AS (
+  SELECT t.trace_id, coalesce(c.odd, true) AS anomalous
+  FROM (SELECT DISTINCT trace_id FROM spans) t
+  LEFT JOIN (SELECT trace_id, bool_or(nonconforming) AS odd FROM conf GROUP BY trace_id) c ON c.trace_id = t.trace_id
+)
+"""
+
+
+def _decisions(spark, sf, name):
     from ..session import shared_dir
     from ..streaming import agent
 
-    a = agent.assemble_traces(_deduped_stream(spark, sf, files=8, max_files=2), 8, timeout_ms=STREAM_TIMEOUT_MS)
-    decisions = shared_dir(spark, "decisions")
-    q = agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, "score-ck"))
-    q.awaitTermination()
-    return spark.read.parquet(decisions)
+    a = agent.session_assembly(_deduped_stream(spark, sf), gap=SESSION_GAP)
+    decisions = shared_dir(spark, f"{name}-decisions")
+    agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, f"{name}-ck")).awaitTermination()
+    return decisions
+
+
+@query("stream_score", "I6 I2", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, _DECIDED_CTE, body="SELECT trace_id, anomalous FROM decided"))
+def q_stream_score(spark, sf):
+    """Micro-batches of assembled traces scored in foreachBatch; decisions written per epoch."""
+    return spark.read.parquet(_decisions(spark, sf, "score")).select("trace_id", "anomalous")
 
 
-@query("stream_tail_sample", "I7 I6 A13 C4")
+@query("stream_tail_sample", "I7 I6 A13 C4", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, _DECIDED_CTE, body="""
+SELECT DISTINCT s.trace_id, s.span_id, s.operation_name FROM spans s JOIN decided d ON d.trace_id = s.trace_id WHERE d.anomalous"""))
 def q_stream_tail_sample(spark, sf):
-    """Staged spans of traces the streaming scorer flagged (rows-only: depends on trigger timing)."""
+    """Staged spans of the traces that the streaming scorer flagged."""
     from ..session import shared_dir
     from ..streaming import agent
 
-    dedup = _deduped_stream(spark, sf)
     staged = shared_dir(spark, "staged")
-    agent.stage_spans(dedup, staged, shared_dir(spark, "stage-ck")).awaitTermination()
-    a = agent.assemble_traces(_deduped_stream(spark, sf), 8, timeout_ms=STREAM_TIMEOUT_MS)
-    decisions = shared_dir(spark, "decisions")
-    agent.start_tail_sampler(a, _conformance_scorer, decisions, shared_dir(spark, "tail-ck")).awaitTermination()
-    return agent.forward_flagged_spans(spark, staged, decisions).select("trace_id", "span_id", "operation_name")
+    agent.stage_spans(_deduped_stream(spark, sf), staged, shared_dir(spark, "stage-ck")).awaitTermination()
+    kept = agent.forward_flagged_spans(spark, staged, _decisions(spark, sf, "tail"))
+    return kept.filter(sp.is_valid_trace()).select("trace_id", "span_id", "operation_name")
 
 
 # ============================================================================ train / score entries (J21, J22), schema application (A5)
@@ -1144,8 +1299,9 @@ def q_predict_traces(spark, sf):
     from ..functions.hashing import hash_unit
     from ..operators import cluster as cl
     from ..schema import FEATURE_COLUMNS
+    from ..session import fresh_checkpoint
 
-    tf = feat.trace_features(_spans(spark, sf)).distinct()
+    tf = fresh_checkpoint(feat.trace_features(_spans(spark, sf)))
     is_train = lambda c: hash_unit(c, F.lit("split")) < 0.8
     train = tf.filter(is_train("Id")).select(
         (F.col("usernameE") * 2 + F.col("passwordE")).alias("g"), cl.feature_vector(FEATURE_COLUMNS).alias("vec")

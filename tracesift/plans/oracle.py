@@ -153,8 +153,8 @@ conf AS (
 
 PAY_CTE = """
 pay AS (
-  SELECT trace_id AS Id, list_filter(tags, lambda x: x.key = 'request')[1].value AS request
-  FROM roots WHERE len(list_filter(tags, lambda x: x.key = 'request')) > 0
+  SELECT trace_id AS Id, t.value AS request
+  FROM (SELECT trace_id, unnest(list_filter(tags, lambda x: x.key = 'request')) AS t FROM roots)
 )
 """
 
@@ -179,11 +179,15 @@ def payload_features_ci_sql(col: str = "request", keys=PAYLOAD_KEYS) -> str:
 # Embeddings with per-label centroids (rounded means) and distances to every centroid.
 EMB_CTE = """
 ev AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+split AS (
+  SELECT vec_id, (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|split'), 1, 15))::BIGINT / 1152921504606846976.0) < 0.8 AS is_train
+  FROM embeddings
+),
 cent AS (
   SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster, label, c FROM (
     SELECT label, list(round(m, 2) ORDER BY pos) AS c FROM (
       SELECT label, pos, avg(v) AS m FROM (
-        SELECT label, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS pos FROM ev) GROUP BY label, pos)
+        SELECT label, unnest(e) AS v, unnest(range(1, len(e) + 1)) AS pos FROM ev JOIN split USING (vec_id) WHERE is_train) GROUP BY label, pos)
     GROUP BY label)
 ),
 dist AS (
@@ -192,10 +196,6 @@ dist AS (
   FROM ev, cent
 ),
 near AS (SELECT vec_id, arg_min(cluster, d) AS prediction, min(d) AS d FROM dist GROUP BY vec_id),
-split AS (
-  SELECT vec_id, (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|split'), 1, 15))::BIGINT / 1152921504606846976.0) < 0.8 AS is_train
-  FROM embeddings
-),
 mx AS (
   SELECT c.cluster, coalesce(max(n.d), 0.0) AS max_dist
   FROM cent c LEFT JOIN (SELECT n.* FROM near n JOIN split s USING (vec_id) WHERE s.is_train) n ON n.prediction = c.cluster

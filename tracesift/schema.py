@@ -33,14 +33,16 @@ SQL_INJECTIONS = (
 )
 # ---------------------------------------------------------------------------
 
-# Canonical feature row: E = key exists (0/1), L = length of the value text.
-PAYLOAD_FEATURES = ["JTotalL", "JTotalC"] + [
-    f"{k}{suffix}"
-    for k in ("CreditCard", "Position", "Address", "Money", "username", "password")
-    for suffix in ("E", "L")
-]
-# The reference names the Position length column "Position1L".
-PAYLOAD_FEATURES[PAYLOAD_FEATURES.index("PositionL")] = "Position1L"
+# Canonical feature row: E = key exists (0/1), L = length of the value text. Fixed names.
+PAYLOAD_FEATURES = [
+    "JTotalL", "JTotalC",
+    "CreditCardE", "CreditCardL",
+    "PositionE", "Position1L",
+    "AddressE", "AddressL",
+    "MoneyE", "MoneyL",
+    "usernameE", "usernameL",
+    "passwordE", "passwordL",
+]
 DURATION_FEATURES = ["TraceD", "SpanD1", "SpanD2", "SpanD3", "SpanD4"]
 FEATURE_COLUMNS = PAYLOAD_FEATURES + DURATION_FEATURES
 FEATURE_SCHEMA = T.StructType(

@@ -39,15 +39,17 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` (or the context's checkpoint
-    dir). Only when neither is set (local tests) is a temporary folder created
-    and registered, so that ``DataFrame.checkpoint()`` works too.
+    dir). Only when neither is set and the master is local (tests) is a temporary folder
+    created and registered, so that ``DataFrame.checkpoint()`` works too; elsewhere it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tracesift-ckpt-")  # only when the session names no folder (tests)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tracesift-ckpt-")  # one machine (tests, bench)
         try:
             spark.conf.set("spark.checkpoint.dir", root)
         except Exception:  # noqa: BLE001 - core settings may be read-only at runtime
@@ -81,7 +83,7 @@ def fresh_checkpoint(df):
         staged.unpersist()
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -95,7 +97,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))

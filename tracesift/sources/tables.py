@@ -169,9 +169,7 @@ def spans_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request payload per order: (Id, request)."""
+    """One row per request tag of an order: (Id, request)."""
     roots = root_spans_from_tables(spark, sf_dir)
-    return roots.select(
-        F.col("trace_id").alias("Id"),
-        F.get(F.filter("tags", lambda t: t["key"] == REQUEST_TAG), 0)["value"].alias("request"),
-    ).where(F.col("request").isNotNull())
+    tags = F.filter("tags", lambda t: t["key"] == REQUEST_TAG)
+    return roots.select(F.col("trace_id").alias("Id"), F.explode(tags).alias("t")).select("Id", F.col("t.value").alias("request")).where("request IS NOT NULL")

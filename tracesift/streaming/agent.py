@@ -1,13 +1,14 @@
 """Streaming span agent (A7, I1-I8): assemble traces from a span stream, score them, keep anomalous ones.
 
 Pipeline:  readStream -> event-time watermark -> dropDuplicatesWithinWatermark
-           -> per-trace state (applyInPandasWithState) emitting a trace when its
-              ``expected``-th distinct span arrives, or as incomplete when the
-              watermark passes its timeout (Q20)
+           -> per-trace aggregate over a session window (JVM state), emitted with its
+              ``complete`` flag when the watermark passes the session's end (Q20);
+              or, to emit at the ``expected``-th distinct span at once, per-trace
+              Python state (applyInPandasWithState)
            -> foreachBatch: features -> model -> flagged trace ids (decisions)
 Spans themselves are staged by a second query; a batch job forwards the staged
 spans of flagged traces (semi join), so no per-trace span list is ever held in
-state. State per trace is a fixed-size record (counts, root request, durations).
+state. State per trace is a fixed-size record (counts, root requests, durations).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ..schema import FLUSH_TRACES, REQUEST_TAG, SERVICE_OPERATIONS, SPAN_SCHEMA,
 from ..session import shared_dir
 
 EVENT_TS = "event_ts"
+REQUESTS = "requests"
 
 
 def span_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = SPAN_SCHEMA,
@@ -48,14 +50,15 @@ def dedup_stream(stream: DataFrame) -> DataFrame:
 
 def _span_facts(stream: DataFrame, operations: Sequence[str]) -> DataFrame:
     """Per span: the few values the trace state needs (narrow rows into the state operator)."""
-    req = F.get(F.filter("tags", lambda t: t["key"] == REQUEST_TAG), 0)["value"]
+    # every request tag of the span, as a JSON array of texts
+    req = F.to_json(F.transform(F.filter("tags", lambda t: t["key"] == REQUEST_TAG), lambda t: t["value"]))
     is_root = F.col("parent_span_id") == 0
     cols = [
         "trace_id",
         EVENT_TS,
         is_root.alias("is_root"),
         F.when(is_root, F.col("duration")).alias("root_d"),
-        F.when(is_root, req).alias("request"),
+        F.when(is_root, req).alias(REQUESTS),
     ]
     svc = F.col("operation_name").rlike("^(?:.*service)$")
     for i, op in enumerate(operations):
@@ -71,16 +74,20 @@ def assembled_schema(operations: Sequence[str] = SERVICE_OPERATIONS) -> T.Struct
         T.StructField("TraceD", T.LongType()),
     ]
     fields += [T.StructField(f"SpanD{i + 1}", T.LongType()) for i in range(len(operations))]
-    fields += [T.StructField(REQUEST_TAG, T.StringType()), T.StructField("last_event_ms", T.LongType())]
+    fields += [T.StructField(REQUESTS, T.StringType()), T.StructField("last_event_ms", T.LongType())]
     return T.StructType(fields)
 
 
+EMITTED = -1  # span count in the state of a trace that has been emitted
+
+
 def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operations: Sequence[str] = SERVICE_OPERATIONS,
                     timeout_ms: int = 10 * 60 * 1000) -> DataFrame:
-    """I1 + I3 + I4: emit a trace once ``expected`` distinct spans have arrived (state dropped on emit),
-    or with ``complete=false`` when the watermark passes its last event + ``timeout_ms``.
+    """I1 + I3 + I4: emit a trace once, as soon as ``expected`` distinct spans have arrived, or with
+    ``complete=false`` when the watermark passes its last event + ``timeout_ms``.
 
-    Expects a deduplicated stream carrying the event-time watermark column.
+    An emitted trace leaves a mark in the state until its timeout, so spans that come later do not
+    start it again. Expects a deduplicated stream carrying the event-time watermark column.
     """
     nops = len(operations)
     num_cols = ["root_d"] + [f"d{i + 1}" for i in range(nops)]
@@ -104,6 +111,8 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
             n, root_d, *rest = state.get
             ds, request, last_ms = rest[:nops], rest[nops], rest[nops + 1]
             state.remove()
+            if n == EMITTED:
+                return
             yield pd.DataFrame.from_records([(trace_id, n, False, root_d, *ds, request, last_ms)], columns=out_schema.names)
             return
         if state.exists:
@@ -113,7 +122,8 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
             n, root_d, ds, request, last_ms = 0, None, [None] * nops, None, 0
         for pdf in batches:
             # numpy per column: per-group pandas calls are the cost of this operator.
-            n += len(pdf)
+            if n != EMITTED:
+                n += len(pdf)
             for i, c in enumerate(num_cols):
                 v = np.fmax.reduce(pdf[c].to_numpy(dtype=np.float64, na_value=np.nan))
                 if v == v:  # not NaN
@@ -122,17 +132,16 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
                     else:
                         ds[i - 1] = _max(ds[i - 1], int(v))
             if request is None:
-                for x in pdf["request"].to_numpy():
+                for x in pdf[REQUESTS].to_numpy():
                     if isinstance(x, str):
                         request = x
                         break
             last_ms = max(last_ms, int(pdf[EVENT_TS].to_numpy().max().astype("datetime64[ms]").astype("int64")))
         if n >= expected:
-            state.remove()
             yield pd.DataFrame.from_records([(trace_id, n, True, root_d, *ds, request, last_ms)], columns=out_schema.names)
-        else:
-            state.update((n, root_d, *ds, request, last_ms))
-            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + timeout_ms)
+            n, root_d, ds, request = EMITTED, None, [None] * nops, None
+        state.update((n, root_d, *ds, request, last_ms))
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + timeout_ms)
 
     facts = _span_facts(stream, operations)
     return facts.groupBy("trace_id").applyInPandasWithState(
@@ -142,14 +151,14 @@ def assemble_traces(stream: DataFrame, expected: int = SPANS_PER_TRACE, operatio
 
 def session_assembly(stream: DataFrame, gap: str = "5 minutes", operations: Sequence[str] = SERVICE_OPERATIONS,
                      expected: int = SPANS_PER_TRACE) -> DataFrame:
-    """I1 (alternative): one row per trace session (spans closer than ``gap``), emitted when the
-    watermark passes the session end. Bounded aggregates only, no span lists."""
+    """I1 + I4: one row per trace session (spans closer than ``gap``), complete or not, emitted when the
+    watermark passes the session's end. JVM state of bounded aggregates only, no span lists."""
     facts = _span_facts(stream, operations)
     aggs = [
         F.count(F.lit(1)).alias("n_spans"),
         F.max("root_d").alias("TraceD"),
         *[F.max(f"d{i + 1}").alias(f"SpanD{i + 1}") for i in range(len(operations))],
-        F.max("request").alias(REQUEST_TAG),
+        F.max(REQUESTS).alias(REQUESTS),
     ]
     out = facts.groupBy("trace_id", F.session_window(EVENT_TS, gap).alias("session")).agg(*aggs)
     return out.withColumn("complete", F.col("n_spans") >= expected)
