@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .support import row_slices, store, text_or_empty, utf8_buffers
 
 LENGTH, GRAM = 200, 64
-SHARD_BYTES, MAX_GROUP = 1 << 21, 16_384
+SHARD_BYTES, MAX_GROUP = 1 << 18, 16_384  # small shards stay in a core's cache
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28  # of the broadcast filter: 32 MB at most
 SEED = 8  # bytes that the first sort compares
 _BLOCK = 1 << 15  # with the window's length below 2**16
