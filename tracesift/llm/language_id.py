@@ -23,7 +23,7 @@ from .support import row_slices, store, text_or_empty, utf8_buffers
 PER_LANG = 800
 DIM = 2048
 SHORT = 60  # bytes of the short training piece
-_LIMIT = 1 << 22
+_LIMIT = 1 << 20
 
 #: Closely related languages; a code that is not here is a family of its own.
 FAMILIES = {

@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from .support import row_slices, text_or_empty
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS, CACHED_LEN = 250_000, 400_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHED_LEN = 200_000, 300_000, 48
 _LIMIT = 1 << 22
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -52,7 +53,8 @@ class Vocabulary:
             self.raw[i] = bytes([k])
         if unk < len(self.raw):
             self.raw[unk] = " ⁇ ".encode()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the two pieces' numbers: whether the second may follow the first
+        self.count = len(pieces)
 
     def unknown(self, char: str) -> list[int]:
         return [self.unk] if self.bytes_at is None else [self.bytes_at + b for b in char.encode()]
@@ -71,14 +73,15 @@ class Vocabulary:
             syms[at : at + 2] = [syms[at] + syms[at + 1]]
         return syms
 
-    def may_follow(self, left: str, right: str) -> bool:
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = ok
+    def number(self, piece: str) -> int:
+        """Of a piece its id, of an uncovered character a number above all ids."""
+        return self.ids[piece] if piece in self.ids else self.count + ord(piece)
+
+    def may_follow(self, left: str, right: str, key: int) -> bool:
+        ok = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = ok
         return ok
 
 
@@ -96,12 +99,13 @@ def encode_sorted(words: list[str], vocab: Vocabulary) -> Iterator[list[int]]:
     """The ids of each of the sorted words, depth first over their trie."""
     tails, ids, scores, bpe = vocab.tails, vocab.ids, vocab.score, vocab.kind == "bpe"
     pairs, may_follow = vocab.pairs, vocab.may_follow
-    last, total, before = [""], [0.0], ""  # by position: last piece of the path, its score; the word before
+    # by position: last piece of the path, its number, its score; and the word before
+    last, number, total, before = [""], [vocab.count + 0x110000], [0.0], ""
     for word in words:
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
-        del last[shared + 1 :], total[shared + 1 :]
+        del last[shared + 1 :], number[shared + 1 :], total[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             start, found = end - 1, []
             while start >= 0 and (piece := word[start:end]) in tails:
@@ -111,19 +115,21 @@ def encode_sorted(words: list[str], vocab: Vocabulary) -> Iterator[list[int]]:
             if bpe:
                 chosen = ""
                 for piece in reversed(found):
-                    left = last[end - len(piece)]
-                    ok = pairs.get((left, piece))
-                    if may_follow(left, piece) if ok is None else ok:
+                    at = end - len(piece)
+                    key = number[at] << 24 | ids[piece]
+                    ok = pairs.get(key)
+                    if may_follow(last[at], piece, key) if ok is None else ok:
                         chosen = piece
                         break
                 last.append(chosen or word[end - 1])
+                number.append(vocab.number(last[end]))
+                total.append(0.0)
             else:
                 options = [(total[end - len(p)] + scores[p], p) for p in found] or [(total[end - 1] + vocab.low, word[end - 1])]
                 best, chosen = max(options, key=lambda x: (x[0], len(x[1])))
                 last.append(chosen)
+                number.append(0)
                 total.append(best)
-                continue
-            total.append(0.0)
         out, end = [], len(word)
         while end:
             piece = last[end]
@@ -151,18 +157,20 @@ class Encoder:
         return text.split(MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.keys(t) for t in texts]
-        kept, here = self.kept, {}
-        new = sorted({w for ws in split for w in ws if w not in kept})
-        for w, ids in zip(new, encode_sorted([MARK + w for w in new], self.vocab)):
-            code = np.array(ids, "<i4").tobytes()
-            if len(kept) < self.cache_words and len(w) <= CACHED_LEN:
-                kept[w] = code
-            else:
-                here[w] = code
-
-        get = {**kept, **here}.__getitem__ if here else kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
+        split, kept = [self.keys(t) for t in texts], self.kept
+        words = list(chain.from_iterable(split))
+        codes = list(map(kept.get, words))  # most words need this one look-up
+        missing = [k for k, c in enumerate(codes) if c is None]
+        if missing:
+            new = sorted({words[k] for k in missing})
+            ids = encode_sorted([MARK + w for w in new], self.vocab)
+            here = {w: np.array(x, "<i4").tobytes() for w, x in zip(new, ids)}
+            for k in missing:
+                codes[k] = here[words[k]]
+            if room := self.cache_words - len(kept):
+                kept.update([(w, here[w]) for w in dict.fromkeys(words[k] for k in missing) if len(w) <= CACHED_LEN][:room])
+        ends = list(accumulate(map(len, split)))
+        return [np.frombuffer(b"".join(codes[e - len(ws) : e]), "<i4") for e, ws in zip(ends, split)]
 
 
 def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:

@@ -38,7 +38,7 @@ def _word_lists(raw: bytes) -> Iterator[list[bytes]]:
     """The words of a text in pieces of about a megabyte, cut at white space."""
     at = 0
     while len(raw) - at > _SLICE:
-        cut = max(raw.rfind(s, at, at + _SLICE) for s in _SPACES)
+        cut = max(raw.rfind(s, at + 1, at + _SLICE) for s in _SPACES)
         if cut < 0:  # one word longer than a piece
             cut = min((k for k in (raw.find(s, at + _SLICE) for s in _SPACES) if k >= 0), default=len(raw))
         yield raw[at:cut].split()
