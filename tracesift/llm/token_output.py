@@ -4,8 +4,8 @@
    batch once. The ids are stored, so the tokenizer reads each text a single time.
 2. Global counts of ids (at most one row per vocabulary entry) give the code lengths by
    package-merge; lengths alone, with the canonical order, are the header of the file.
-3. Documents are coded where they lie (each starts on a byte, and the bit offset of every
-   ``CHECK``-th id is kept), range-partitioned by id and put together in blocks.
+3. The stored ids are range-partitioned by document id and coded in blocks of whole documents; each
+   document starts on a byte, and the bit offset of every ``CHECK``-th id is kept.
 4. Blocks decode alone: all stretches between checkpoints advance together, one table look-up an id.
 
 A file is a folder with two Parquet tables: ``header`` (id, bits) and ``blocks`` (in ascending order of
@@ -31,9 +31,10 @@ from pyspark.sql.window import Window
 from ..session import shared_dir
 from .support import row_slices, text_or_empty
 
-CHECK = 512
-BLOCK_IDS = 1 << 16
-CACHE_WORDS, CACHED_LEN = 300_000, 48
+CHECK = 128
+BLOCK_IDS = 1 << 19
+COUNTS = -1
+CACHE_WORDS, FIRST_WORDS, CACHED_LEN = 600_000, 50_000, 48
 _LIMIT = 1 << 22
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
@@ -54,7 +55,9 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(file)
         self.tok.encode_special_tokens = True
         self.cache_words = cache_words
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # of words after a space
+        self.firsts: dict[str, bytes] = {}  # of words at the start of a text
+        self.marks = {m: self._ids(m).astype("<u4").tobytes() for m in ".,"}
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.tok.get_vocab_size())])
 
     def _ids(self, text: str) -> np.ndarray:
@@ -70,20 +73,46 @@ class ChunkTokenizer:
                 return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return [self._ids(" " + w).astype("<u4").tobytes() for w in words]
 
+    def _codes(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word; a word and the full stop or comma after it are pieces of their own."""
+        kept, out, alone, cut = self.kept, {}, [], {}
+        for w in words:
+            core = w[:-1]
+            if w[-1:] in self.marks and core.isalpha():
+                cut[w] = core
+            else:
+                alone.append(w)
+        wanted = {c for c in cut.values() if c not in kept and c not in words}
+        alone += wanted
+        for at in range(0, len(alone), 256):
+            part = alone[at : at + 256]
+            out.update(zip(part, self._chunks(part)))
+        for w, core in cut.items():
+            out[w] = (kept.get(core) or out[core]) + self.marks[w[-1]]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        kept, here = self.kept, {}
-        new = list({w for ws in split for w in ws[1:] if w not in kept})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, code in zip(part, self._chunks(part)):
-                if len(kept) < self.cache_words and len(w) <= CACHED_LEN:
-                    kept[w] = code
-                else:
-                    here[w] = code
-
-        get = {**kept, **here}.__getitem__ if here else kept.__getitem__
-        return [np.frombuffer(self._ids(ws[0]).astype("<u4").tobytes() + b"".join(map(get, ws[1:])), "<u4") for ws in split]
+        kept = self.kept
+        codes = list(map(kept.get, (w for ws in split for w in ws[1:])))  # most words need this one look-up
+        missing = [k for k, c in enumerate(codes) if c is None]
+        if missing:
+            words = [w for ws in split for w in ws[1:]]
+            here = self._codes({words[k] for k in missing})
+            for k in missing:
+                codes[k] = here[words[k]]
+            if room := self.cache_words - len(kept):
+                kept.update([(w, c) for w, c in here.items() if len(w) <= CACHED_LEN][:room])
+        out, at = [], 0
+        for ws in split:
+            first = self.firsts.get(ws[0])
+            if first is None:
+                first = self._ids(ws[0]).astype("<u4").tobytes()
+                if len(self.firsts) < FIRST_WORDS and len(ws[0]) <= CACHED_LEN:
+                    self.firsts[ws[0]] = first
+            out.append(np.frombuffer(first + b"".join(codes[at : at + len(ws) - 1]), "<u4"))
+            at += len(ws) - 1
+        return out
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -93,19 +122,26 @@ def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id:
     if tokenizer_file not in _TOKENIZERS:
         _TOKENIZERS[tokenizer_file] = ChunkTokenizer(tokenizer_file)
     tok = _TOKENIZERS[tokenizer_file]
-    end = np.array([end_id], "<u4")
+    end, counts = np.array([end_id], "<u4"), np.zeros(max(len(tok.opens), end_id + 1), np.int64)
     kind = "<u2" if len(tok.opens) <= 65_536 else "<u4"
     for b in batches:
         sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
         for lo, hi in row_slices(sizes, _LIMIT):
             part = b.slice(lo, hi - lo)
             rows = [np.r_[x, end] for x in tok.encode(part.column(1).to_pylist())]
+            counts += np.bincount(np.concatenate(rows), minlength=len(counts)) if rows else 0
             packed = pa.array([x.astype(kind).tobytes() for x in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int64()), packed], names=["doc_id", "n_tokens", "ids"])
+    seen = np.flatnonzero(counts)
+    total = np.stack([seen, counts[seen]], axis=1).astype("<i8").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([COUNTS], pa.int64()), pa.array([total], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
 
 def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids with the end id, little-endian, 2 bytes each (4 for vocabularies over 65,536)."""
+    """(doc_id, n_tokens, ids): the ids with the end id, little-endian, 2 bytes each (4 for vocabularies over 65,536).
+
+    Each task adds a row with ``n_tokens`` = ``COUNTS``: its (id, count) pairs, 8 bytes each number.
+    """
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     return narrow.mapInArrow(partial(_id_batches, tokenizer_file=tokenizer_file, end_id=end_id), "doc_id long, n_tokens long, ids binary")
 
@@ -207,53 +243,42 @@ class Code:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
     for b in batches:
-        got = np.bincount(_unpack(b.column(1), b.column(0).to_numpy(zero_copy_only=False)))
-        if len(got) > len(counts):
-            got, counts = counts, got.astype(np.int64)
-        counts[: len(got)] += got
-    ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+        for x in b.column(0):
+            pairs = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "n"])
 
 
-def _coded_batches(batches: Iterator[pa.RecordBatch], header: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    code = Code(header)
-    for b in batches:
-        sizes = b.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in row_slices(sizes, _LIMIT // 4):
-            part, n = b.slice(lo, hi - lo), sizes[lo:hi]
-            raw, first, at = code.encode(_unpack(part.column(2), n), n)
-            starts = np.cumsum(n) - n
-            codes = [raw[first[i] : first[i + 1]].tobytes() for i in range(len(n))]
-            checks = [(at[starts[i] : starts[i] + n[i] : CHECK] - 8 * first[i]).astype("<i8").tobytes() for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(checks, pa.binary())], names=["doc_id", "n_tokens", "code", "checks"])
+_BLOCK = "part int, block long, ids_before long, n_ids long, doc_ids array<long>, doc_tokens array<long>, checks binary, code binary"
 
 
-_BLOCK = "part int, block long, ids_before long, n_ids long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, checks binary, code binary"
-
-
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, block, before = TaskContext.get().partitionId(), 0, 0
-    docs: list[tuple] = []
+def _block_batches(batches: Iterator[pa.RecordBatch], header: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Sorted documents (doc_id, n_tokens, ids) to coded blocks of whole documents."""
+    code, part, block, before = Code(header), TaskContext.get().partitionId(), 0, 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
     def made() -> pa.RecordBatch:
-        first = np.cumsum([0, *(len(d[2]) for d in docs)])
-        checks = b"".join((np.frombuffer(d[3], "<i8") + 8 * f).astype("<i8").tobytes() for d, f in zip(docs, first))
+        ids, n = np.concatenate([h[2] for h in held]), np.concatenate([h[1] for h in held])
+        raw, first, at = code.encode(ids, n)
+        starts = np.cumsum(n) - n
+        checks = np.concatenate([at[s : s + k : CHECK] for s, k in zip(starts.tolist(), n.tolist())])
         one = lambda x, t: pa.array([x], t)
-        longs = pa.list_(pa.int64())
-        cols = [one(part, pa.int32()), one(block, pa.int64()), one(before, pa.int64()), one(n, pa.int64()), one([d[0] for d in docs], longs), one([d[1] for d in docs], longs), one([len(d[2]) for d in docs], longs), one(checks, pa.binary()), one(b"".join(d[2] for d in docs), pa.binary())]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        doc_ids = pa.concat_arrays([h[0] for h in held])
+        cols = [one(part, pa.int32()), one(block, pa.int64()), one(before, pa.int64()), one(len(ids), pa.int64()), lists(doc_ids), lists(pa.array(n)), one(checks.astype("<i8").tobytes(), pa.binary()), one(raw.tobytes(), pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _BLOCK.split(", ")])
 
-    n = 0
+    total = 0
     for b in batches:
-        for d in zip(*(c.to_pylist() for c in b.columns)):
-            docs.append(d)
-            n += d[1]
-            if n >= BLOCK_IDS:
+        sizes = b.column(1).to_numpy(zero_copy_only=False)
+        for lo, hi in row_slices(sizes, BLOCK_IDS):
+            rows = b.slice(lo, hi - lo)
+            held.append((rows.column(0), sizes[lo:hi], _unpack(rows.column(2), sizes[lo:hi])))
+            total += int(sizes[lo:hi].sum())
+            if total >= BLOCK_IDS // 2:
                 yield made()
-                block, before, n, docs = block + 1, before + n, 0, []
-    if docs:
+                block, before, total, held = block + 1, before + total, 0, []
+    if held:
         yield made()
 
 
@@ -262,15 +287,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_file: str, end_id: in
     spark = docs.sparkSession
     stored = shared_dir(spark, "token-ids")
     token_ids(docs, tokenizer_file, end_id, id_col, text_col).write.option("compression", "zstd").parquet(stored)
-    ids = spark.read.parquet(stored)
-    counts = ids.select("n_tokens", "ids").mapInArrow(_count_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = spark.read.parquet(stored)
+    ids, task_counts = rows.filter(F.col("n_tokens") > 0), rows.filter(F.col("n_tokens") == COUNTS)
+    counts = task_counts.select("ids").mapInArrow(_count_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     seen = sorted((r["id"], r["n"]) for r in counts.collect())  # at most the vocabulary
     bits = code_lengths(np.array([n for _, n in seen], np.int64), max(max_bits, len(seen).bit_length()))
     header = [(i, int(b)) for (i, _), b in zip(seen, bits)]
     spark.createDataFrame(header, "id long, bits long").coalesce(1).write.parquet(f"{path}/header")
-    coded = ids.mapInArrow(partial(_coded_batches, header=header), "doc_id long, n_tokens long, code binary, checks binary")
-    dealt = coded.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "code")
-    dealt.mapInArrow(_block_batches, _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    dealt = ids.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    dealt.mapInArrow(partial(_block_batches, header=header), _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], header: list[tuple[int, int]]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
