@@ -24,13 +24,16 @@ def num_anomalies(df: DataFrame, prediction_col: str = "prediction") -> DataFram
     return df.agg(F.count_if(F.col(prediction_col) > 0).alias("num_anomalies"))
 
 
+BRACKET = 0.001  # relative rank error of the sketch
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Exact discrete quantiles (smallest value whose cumulative share reaches p).
 
-    Distributed selection: count, then a range-partitioned sort with a dense
-    index and a filter on the wanted ranks; no single task or the driver ever
-    holds the column. Rank for p is ceil(p * n) (1-based), as in
-    ``approxQuantile(..., 0.0)``.
+    A GK sketch brackets each wanted rank, one pass counts the values below and inside the brackets,
+    and only the values inside are sorted and indexed (a distributed selection; no single task or the
+    driver ever holds the column). A rank outside its bracket is selected from the whole column.
+    Rank for p is ceil(p * n) (1-based), as in ``approxQuantile(..., 0.0)``.
     """
     import math
 
@@ -46,8 +49,22 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[flo
         if n == 0:
             return [None for _ in probs]
         ranks = {p: min(n, max(1, math.ceil(p * n))) - 1 for p in probs}
-        by_rank = select_ranks(vals, "v", list(ranks.values()))
-        return [by_rank[ranks[p]] for p in probs]
+        ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-2 * BRACKET, 2 * BRACKET)]
+        found = vals.stat.approxQuantile("v", ends, BRACKET)
+        pairs = {p: (found[2 * i], found[2 * i + 1]) for i, p in enumerate(probs)}
+        v = F.col("v")
+        counts = vals.agg(*[c for i, p in enumerate(probs) for c in (
+            F.count_if(v < pairs[p][0]).alias(f"below{i}"), F.count_if(v.between(*pairs[p])).alias(f"inside{i}"))]).first()
+        out = {}
+        for i, p in enumerate(probs):
+            rank = ranks[p] - counts[f"below{i}"]
+            if pairs[p][0] == pairs[p][1] and 0 <= rank < counts[f"inside{i}"]:
+                out[p] = pairs[p][0]
+            elif 0 <= rank < counts[f"inside{i}"]:
+                out[p] = select_ranks(vals.filter(v.between(*pairs[p])), "v", [rank])[rank]
+            else:
+                out[p] = select_ranks(vals, "v", [ranks[p]])[ranks[p]]
+        return [out[p] for p in probs]
     finally:
         vals.unpersist()
 
