@@ -22,7 +22,6 @@ def test_matches_duckdb(spark, name):
 EXPECTED_ROWS = {
     "kmeans_simple": 1443, "kmeans_onehot": 200, "kmeans_onehot_norm": 200, "bisecting_kmeans": 200, "gmm": 200,
     "iforest_transform": 1443, "iforest_summary": 1, "tree_samples": 100 * 256, "train_kmeans": 10, "iforest_labelled_run": 1,
-    "augmented_features": 5 * 1443,
 }
 
 

@@ -1,9 +1,10 @@
 """Dense 0-based row indices without leaving the JVM (E1, used by E3, D7 and the forest).
 
-``monotonically_increasing_id`` is unique but not dense: (partition << 33) +
-position. Taking it together with ``spark_partition_id`` on checkpointed rows,
-counting rows per partition (one row per partition reaches the driver) and
-adding each partition's offset gives a dense index. The checkpoint makes both
+``monotonically_increasing_id`` is unique but not dense: it counts within a
+partition from a start of the partition's own. Taking it together with
+``spark_partition_id`` on checkpointed rows, counting rows per partition (one
+row per partition reaches the driver) and moving each partition's start to its
+offset gives a dense index. The checkpoint makes both
 passes see the same rows in the same order, also after an executor is lost.
 The offset table has one row per partition, a bound known before it is
 broadcast.
@@ -30,16 +31,15 @@ def dense_index(df: DataFrame, order_cols: Sequence[str] | None = None, name: st
     """
     base = df.orderBy(*order_cols) if order_cols else df
     marked = fresh_checkpoint(base.withColumn(_PID, F.spark_partition_id()).withColumn(_MONO, F.monotonically_increasing_id()))
-    counts = sorted((r[_PID], r["n"]) for r in marked.groupBy(_PID).agg(F.count(F.lit(1)).alias("n")).collect())
+    parts = marked.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"), F.min(_MONO).alias("start")).collect()
     offsets, total = [], 0
-    for pid, n in counts:
-        offsets.append((pid, total))
+    for pid, n, start in sorted(tuple(r) for r in parts):
+        offsets.append((pid, total - start))
         total += n
     spark = df.sparkSession
     offs = spark.createDataFrame(offsets or [(0, 0)], f"{_PID} int, _ix_off long")
     offs = F.broadcast(offs) if len(offsets) <= MAX_OFFSET_ROWS else offs
-    local = F.col(_MONO) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    out = marked.join(offs, _PID).withColumn(name, F.col("_ix_off") + local).drop(_PID, _MONO, "_ix_off")
+    out = marked.join(offs, _PID).withColumn(name, F.col("_ix_off") + F.col(_MONO)).drop(_PID, _MONO, "_ix_off")
     return out, total
 
 

@@ -937,6 +937,29 @@ def q_sample_copies(spark, sf):
     return sample_copies(samples)
 
 
+@query("tree_sample_laws", "J12 E1 Q13", """
+SELECT t.tree_id, 256 AS n, 256 AS n_distinct, true AS in_range FROM range(0, 100) t(tree_id)""")
+def q_tree_sample_laws(spark, sf):
+    """Samples without replacement: 256 different rows for each tree, all of them rows of the table."""
+    from ..operators.iforest import IForest
+
+    _, samples, n, _ = IForest(numTrees=100, maxSamples=256, seed=3, idCol="Id").sample(_assembled_traces(spark, sf))
+    return samples.groupBy(F.col("tree_id").cast("long").alias("tree_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_idx").alias("n_distinct"), F.every(F.col("row_idx").between(0, n - 1)).alias("in_range")
+    )
+
+
+@query("sample_copy_laws", "D9 Q14", """
+SELECT t.tree_id, 256 AS n, true AS positive FROM range(0, 100) t(tree_id)""")
+def q_sample_copy_laws(spark, sf):
+    """Samples with replacement: the copies of a tree's rows add up to 256."""
+    from ..operators.iforest import IForest, sample_copies
+
+    _, samples, _, _ = IForest(numTrees=100, maxSamples=256, seed=3, bootstrap=True, idCol="Id").sample(_assembled_traces(spark, sf))
+    copies = sample_copies(samples).groupBy(F.col("tree_id").cast("long").alias("tree_id"))
+    return copies.agg(F.sum("copies").alias("n"), F.every(F.col("copies") > 0).alias("positive"))
+
+
 _FIXED_SQL = "SELECT * FROM (VALUES " + ", ".join(str(n) for n in FIXED_FOREST) + (
     ") AS t(tree_id, id, feature_index, feature_value, left_child, right_child, num_instance)")
 
@@ -1071,9 +1094,61 @@ def q_injection_counts(spark, sf):
     return injection_counts(augment_rows(_payloads(spark, sf), 4, "request", "Id", 42))
 
 
-@query("augmented_features", "J24 H5")
+def _set_sql(col: str, key: str, raw: str) -> str:
+    """DuckDB's object text of ``col`` with ``key`` set to the raw value: in place, or at the end."""
+    more = f""" || CASE WHEN list_contains(json_keys({col}), '{key}') THEN [] ELSE ['"{key}":' || {raw}] END"""
+    return _rebuilt_sql(col, value=f"CASE WHEN m.k = '{key}' THEN {raw} ELSE m.v END", more=more)
+
+
+def _quoted_sql(text: str) -> str:
+    return f"""'"' || {text} || '"'"""
+
+
+def _edited_ctes(name: str, source: str) -> list[str]:
+    """The edits of J23 in DuckDB over ``source`` (Id, copy, request): ``name`` (Id, copy, request, injected)."""
+    from ..functions.hashing import HASH_SPACE
+    from ..schema import SQL_INJECTIONS
+
+    md5 = lambda rule: f"md5(CAST(Id AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|42|{rule}')"
+    number = lambda rule: f"('0x' || substr({md5(rule)}, 1, 15))::BIGINT"
+    token = lambda n, rule: f"translate(substr(to_base64(unhex({md5(rule)})), 1, {n}), '+/', 'xy')"
+    suffixes = ", ".join("'" + x.replace("'", "''") + "'" for x in SQL_INJECTIONS)
+    plain = f"CASE WHEN copy = 0 THEN {token(10, 'name')} ELSE substr({token(10, 'name')}, 1, 8) END"
+    card = f"CAST(1000000000000000 + {number('card')} % 9000000000000000 AS VARCHAR)"
+    user = "(CASE WHEN sql_injection THEN replace(plain || suffix, '‘', chr(39)) ELSE plain END)"
+    return [
+        f"""{name}_draws AS (
+  SELECT Id, copy, request, {_inject_labels_sql('copy')}, copy = 0 OR {number('renew')} < {HASH_SPACE // 2} AS renew,
+    {plain} AS plain, [{suffixes}][1 + {number('sqlpick')} % {len(SQL_INJECTIONS)}] AS suffix, {card} AS card, {token(16, 'pw')} AS pw
+  FROM {source})""",
+        f"{name}_user AS (SELECT *, {_set_sql('request', 'Username', _quoted_sql(user))} AS j1 FROM {name}_draws)",
+        f"{name}_card AS (SELECT *, {_set_sql('j1', 'CreditCard', '(CASE WHEN type_change THEN ' + _quoted_sql('card') + ' ELSE card END)')} AS j2 FROM {name}_user)",
+        f"""{name} AS (
+  SELECT Id, copy, CASE WHEN missing_field THEN {_rebuilt_sql("j2", where="m.k NOT IN ('Password', 'password')")}
+    WHEN renew THEN {_set_sql("j2", "Password", _quoted_sql("pw"))} ELSE j2 END AS request, injected
+  FROM {name}_card)""",
+    ]
+
+
+_AUGMENTED = [
+    O.PAY_CTE, "pay0 AS (SELECT Id, 0 AS copy, request FROM pay)", *_edited_ctes("base", "pay0"),
+    "more AS (SELECT Id, unnest(range(1, 5)) AS copy, request FROM base)", *_edited_ctes("variants", "more"),
+    "aug AS (SELECT * FROM base UNION ALL SELECT * FROM variants)",
+]
+
+
+@query("augmented_text", "J24 J23 H19", O.with_spans(*_AUGMENTED, body="SELECT Id, CAST(copy AS INTEGER) AS copy, request, injected FROM aug"))
+def q_augmented_text(spark, sf):
+    """The edited payloads themselves."""
+    from ..operators.augment import augment_rows
+
+    return augment_rows(_payloads(spark, sf), 4, "request", "Id", 42).select("Id", "copy", "request", "injected")
+
+
+@query("augmented_features", "J24 H5", O.with_spans(*_AUGMENTED, body=f"""
+SELECT Id, CAST(copy AS INTEGER) AS copy, injected, {O.payload_features_ci_sql('request')} FROM aug"""))
 def q_augmented_features(spark, sf):
-    """Payload features of the augmented, labelled payloads (rows-only: edited JSON text)."""
+    """Payload features of the augmented, labelled payloads."""
     from ..operators.augment import augment_rows
 
     aug = augment_rows(_payloads(spark, sf), 4, "request", "Id", 42)
