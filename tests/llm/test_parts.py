@@ -5,6 +5,8 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -34,7 +36,10 @@ def encoder():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aehinorst  ▁\n\t<s>é門😀0.1,"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
 def test_bpe_ids_are_the_librarys(library, encoder, texts):
-    assert [x.tolist() for x in encoder.encode(texts)] == library.encode(texts)
+    want = library.encode(texts)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    plain = [(t, w) for t, w, ok in zip(texts, want, sp.is_plain(pa.array(texts, pa.string())).to_pylist()) if ok]
+    assert [x.tolist() for x in encoder.encode_plain(pa.array([t for t, _ in plain], pa.string()))] == [w for _, w in plain]
 
 
 def test_long_runs_and_words(library, encoder):
@@ -230,8 +235,14 @@ def test_chunk_ids_are_the_librarys():
     texts += ["a <|endoftext|> b", " x", "x ", "  ", "", "don't  \n stop, now. Now, stop.", "a, b. é, 9, x_,"]
     own = token_output.ChunkTokenizer(tokenizer_file("byte_bpe_50k.json"), cache_words=100)
     want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in own.encode(texts)] == want
-    assert [x.tolist() for x in own.encode(texts)] == want  # with what was kept
+    rows = lambda found: [x.tolist() for x in np.split(found[0], np.cumsum(found[1])[:-1])]
+    assert rows(own.encode_odd(texts)) == want
+    odd = pc.match_substring_regex(pa.array(texts), token_output._ODD_ARROW).to_pylist()
+    assert odd == [bool(token_output._ODD.search(t)) for t in texts] and 100 < sum(odd) < len(texts) - 100
+    plain = [(t, w) for t, w, o in zip(texts, want, odd) if not o]
+    for _ in range(2):  # the second time with what was kept
+        assert rows(own.encode(pa.array([t for t, _ in plain]))) == [w for _, w in plain]
+    assert rows(own.encode(pa.array([t for t, _ in plain]), 7)) == [[*w, 7] for _, w in plain]
 
 
 # ---- retrieval, languages -------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,27 @@ def row_slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         total += s
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def word_numbers(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words between single spaces, the number of each word in order, and the words of each text."""
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+
+
+def spelled(codes: list[bytes], which: np.ndarray, kind: str = "<i4") -> tuple[np.ndarray, np.ndarray]:
+    """The codes that ``which`` numbers, one after the other, and the length of each."""
+    size = np.fromiter(map(len, codes), np.int64, len(codes)) // np.dtype(kind).itemsize
+    sizes = size[which]
+    ends = np.cumsum(sizes)
+    at = np.repeat((np.cumsum(size) - size)[which] - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(codes), kind)[at], sizes
+
+
+def text_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over consecutive stretches of ``counts``."""
+    total = np.r_[0, np.cumsum(values)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]

@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
-from .support import row_slices, text_or_empty
+from .support import row_slices, spelled, text_or_empty, text_sums, word_numbers
 
 CHECK = 128
 BLOCK_IDS = 1 << 19
 COUNTS = -1
 CACHE_WORDS, FIRST_WORDS, CACHED_LEN = 600_000, 50_000, 48
 _LIMIT = 1 << 22
+#: A space before white space or the end. The same set, as Arrow's regular expressions know ASCII white space only.
 _ODD = re.compile(r" (?:\s|$)")
+_ODD_ARROW = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -91,28 +93,51 @@ class ChunkTokenizer:
             out[w] = (kept.get(core) or out[core]) + self.marks[w[-1]]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the different words, from the store or the tokenizer."""
         kept = self.kept
-        codes = list(map(kept.get, (w for ws in split for w in ws[1:])))  # most words need this one look-up
+        codes = list(map(kept.get, words))
         missing = [k for k, c in enumerate(codes) if c is None]
         if missing:
-            words = [w for ws in split for w in ws[1:]]
             here = self._codes({words[k] for k in missing})
             for k in missing:
                 codes[k] = here[words[k]]
             if room := self.cache_words - len(kept):
                 kept.update([(w, c) for w, c in here.items() if len(w) <= CACHED_LEN][:room])
-        out, at = [], 0
-        for ws in split:
-            first = self.firsts.get(ws[0])
-            if first is None:
-                first = self._ids(ws[0]).astype("<u4").tobytes()
-                if len(self.firsts) < FIRST_WORDS and len(ws[0]) <= CACHED_LEN:
-                    self.firsts[ws[0]] = first
-            out.append(np.frombuffer(first + b"".join(codes[at : at + len(ws) - 1]), "<u4"))
-            at += len(ws) - 1
-        return out
+        return codes
+
+    def _first(self, word: str) -> bytes:
+        code = self.firsts.get(word)
+        if code is None:
+            code = self._ids(word).astype("<u4").tobytes()
+            if len(self.firsts) < FIRST_WORDS and len(word) <= CACHED_LEN:
+                self.firsts[word] = code
+        return code
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and the number of each text's; ``end_id`` closes each text.
+
+        No text has a space before white space or its end (see :meth:`encode_odd`), so its chunks are its words.
+        """
+        words, numbers, counts = word_numbers(texts)
+        codes = self._looked_up(words)
+        firsts = np.cumsum(counts) - counts
+        codes += [self._first(words[k]) for k in numbers[firsts].tolist()]
+        numbers[firsts] = np.arange(len(words), len(codes))
+        if end_id is not None:
+            codes.append(np.array([end_id], "<u4").tobytes())
+            numbers, counts = np.insert(numbers, np.cumsum(counts), len(codes) - 1), counts + 1
+        ids, sizes = spelled(codes, numbers, "<u4")
+        return ids, text_sums(sizes, counts)
+
+    def encode_odd(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any texts, cut at the spaces that a non-space follows."""
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        rows = []
+        for t in texts:
+            ws = _CUT.split(t) if _ODD.search(t) else t.split(" ")
+            rows.append(self._first(ws[0]) + b"".join(self._looked_up(ws[1:])) + end)
+        return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -122,16 +147,19 @@ def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id:
     if tokenizer_file not in _TOKENIZERS:
         _TOKENIZERS[tokenizer_file] = ChunkTokenizer(tokenizer_file)
     tok = _TOKENIZERS[tokenizer_file]
-    end, counts = np.array([end_id], "<u4"), np.zeros(max(len(tok.opens), end_id + 1), np.int64)
-    kind = "<u2" if len(tok.opens) <= 65_536 else "<u4"
+    counts = np.zeros(max(len(tok.opens), end_id + 1), np.int64)
+    kind = np.dtype("<u2" if len(counts) <= 65_536 else "<u4")
     for b in batches:
         sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
         for lo, hi in row_slices(sizes, _LIMIT):
             part = b.slice(lo, hi - lo)
-            rows = [np.r_[x, end] for x in tok.encode(part.column(1).to_pylist())]
-            counts += np.bincount(np.concatenate(rows), minlength=len(counts)) if rows else 0
-            packed = pa.array([x.astype(kind).tobytes() for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int64()), packed], names=["doc_id", "n_tokens", "ids"])
+            odd = pc.match_substring_regex(part.column(1), _ODD_ARROW)
+            plain, other = part.filter(pc.invert(odd)), part.filter(odd)
+            for rows, (ids, n) in ((plain, tok.encode(plain.column(1), end_id)), (other, tok.encode_odd(other.column(1).to_pylist(), end_id))):
+                counts += np.bincount(ids, minlength=len(counts))
+                offsets = np.r_[0, np.cumsum(n) * kind.itemsize].astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), packed], names=["doc_id", "n_tokens", "ids"])
     seen = np.flatnonzero(counts)
     total = np.stack([seen, counts[seen]], axis=1).astype("<i8").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([COUNTS], pa.int64()), pa.array([total], pa.binary())], names=["doc_id", "n_tokens", "ids"])
