@@ -27,7 +27,6 @@ batch using flat node arrays shipped with the function; the threshold is the
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
