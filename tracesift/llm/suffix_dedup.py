@@ -295,9 +295,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     cut = texts.select(_digest(F.col("text")).alias("text_key"), "text").mapInArrow(partial(_run_batches, length=length, gram=gram, filter_bits=sent), "text_key binary, start long, h long, run binary")
     runs = store(cut, "runs", compression="zstd")
 
-    busy = repeated.filter(F.col("n") > max_group).select("h")
-    large = store(runs.join(busy, "h", "left_semi").select("h", "run").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("h"), "large-groups")
-    split = not large.isEmpty()
+    # only minimizers with many runs can have many different ones; few have, so Spark can send the stored list to the runs
+    busy, split = store(repeated.filter(F.col("n") > max_group).select("h"), "busy"), False
+    if not busy.isEmpty():
+        sizes = runs.join(busy, "h", "left_semi").groupBy("h", "run").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n"))
+        large = store(sizes.filter(F.col("n") > max_group).select("h"), "large-groups")
+        split = not large.isEmpty()
     normal = runs.join(large, "h", "left_anti") if split else runs
 
     different = normal.groupBy("h", "run").agg(F.count("*").alias("n")).select("h", "n", _digest(F.col("run")).alias("run_key"), "run")
