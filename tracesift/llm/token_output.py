@@ -32,9 +32,9 @@ from ..session import shared_dir
 from .support import row_slices, spelled, text_or_empty, text_sums, word_numbers
 
 CHECK = 128
-BLOCK_IDS = 1 << 19
+BLOCK_IDS, SLICE_IDS = 1 << 18, 1 << 15  # of a block at least; coded at a time, in a core's cache
 COUNTS = -1
-CACHE_WORDS, FIRST_WORDS, CACHED_LEN = 600_000, 50_000, 48
+CACHE_WORDS, FIRST_WORDS, CACHED_LEN = 800_000, 50_000, 48
 _LIMIT = 1 << 22
 #: A space before white space or the end. The same set, as Arrow's regular expressions know ASCII white space only.
 _ODD = re.compile(r" (?:\s|$)")
@@ -52,23 +52,28 @@ class ChunkTokenizer:
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(file)
         self.tok.encode_special_tokens = True
+        # the same vocabulary for texts that are cut already: a NUL stands before each piece
+        self.cut = Tokenizer.from_file(file)
+        self.cut.encode_special_tokens = True
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\0"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache_words = cache_words
         self.kept: dict[str, bytes] = {}  # of words after a space
         self.firsts: dict[str, bytes] = {}  # of words at the start of a text
         self.marks = {m: self._ids(m).astype("<u4").tobytes() for m in ".,"}
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.tok.get_vocab_size())])
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+    def _ids(self, text: str, cut: bool = False) -> np.ndarray:
+        return np.array((self.cut if cut else self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def _chunks(self, words: list[str]) -> list[bytes]:
         """The ids of `` word`` for each word, many in one call: ids that open with a space tell them apart."""
         if len(words) > 1:
-            ids = self._ids("".join(" " + w for w in words))
+            letters = all(map(str.isalpha, words))  # each is one piece with the space before it
+            ids = self._ids("".join(("\0 " if letters else " ") + w for w in words), letters)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(words) and not any(" " in w for w in words):
                 raw, cuts = ids.astype("<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
@@ -86,9 +91,12 @@ class ChunkTokenizer:
                 alone.append(w)
         wanted = {c for c in cut.values() if c not in kept and c not in words}
         alone += wanted
-        for at in range(0, len(alone), 256):
-            part = alone[at : at + 256]
-            out.update(zip(part, self._chunks(part)))
+        alone.sort(key=str.isalpha)
+        border = sum(not w.isalpha() for w in alone)
+        for group in (alone[:border], alone[border:]):
+            for at in range(0, len(group), 128):
+                part = group[at : at + 128]
+                out.update(zip(part, self._chunks(part)))
         for w, core in cut.items():
             out[w] = (kept.get(core) or out[core]) + self.marks[w[-1]]
         return out
@@ -286,24 +294,27 @@ def _block_batches(batches: Iterator[pa.RecordBatch], header: list[tuple[int, in
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
     def made() -> pa.RecordBatch:
-        ids, n = np.concatenate([h[2] for h in held]), np.concatenate([h[1] for h in held])
-        raw, first, at = code.encode(ids, n)
-        starts = np.cumsum(n) - n
-        checks = np.concatenate([at[s : s + k : CHECK] for s, k in zip(starts.tolist(), n.tolist())])
+        n, parts, checks, size, total = np.concatenate([h[1] for h in held]), [], [], 0, 0
+        for _, counts, ids in held:
+            raw, _, at = code.encode(ids, counts)
+            starts = np.cumsum(counts) - counts
+            checks += [at[s : s + k : CHECK] + 8 * size for s, k in zip(starts.tolist(), counts.tolist())]
+            parts.append(raw.tobytes())
+            size, total = size + len(raw), total + len(ids)
         one = lambda x, t: pa.array([x], t)
         lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         doc_ids = pa.concat_arrays([h[0] for h in held])
-        cols = [one(part, pa.int32()), one(block, pa.int64()), one(before, pa.int64()), one(len(ids), pa.int64()), lists(doc_ids), lists(pa.array(n)), one(checks.astype("<i8").tobytes(), pa.binary()), one(raw.tobytes(), pa.binary())]
+        cols = [one(part, pa.int32()), one(block, pa.int64()), one(before, pa.int64()), one(total, pa.int64()), lists(doc_ids), lists(pa.array(n)), one(np.concatenate(checks).astype("<i8").tobytes(), pa.binary()), one(b"".join(parts), pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     total = 0
     for b in batches:
         sizes = b.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in row_slices(sizes, BLOCK_IDS):
+        for lo, hi in row_slices(sizes, SLICE_IDS):
             rows = b.slice(lo, hi - lo)
             held.append((rows.column(0), sizes[lo:hi], _unpack(rows.column(2), sizes[lo:hi])))
             total += int(sizes[lo:hi].sum())
-            if total >= BLOCK_IDS // 2:
+            if total >= BLOCK_IDS:
                 yield made()
                 block, before, total, held = block + 1, before + total, 0, []
     if held:
