@@ -286,3 +286,26 @@ def test_margins_of_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(language_id, "_LIMIT", 64)
     assert np.allclose(language_id._means(offs, raw, w), whole)
     assert (whole[:3] == 0).all()
+
+
+@pytest.mark.parametrize("n_docs, copies, every", [(60, 30, 30), (6, 1, 3)])
+def test_items_of_frequent_words_are_found(spark, n_docs, copies, every):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 8)))
+    items = [[word() for _ in range(30)] for _ in range(4)]
+    docs = [[rnd.choice(rnd.choice(items[1:])) if k % every == 0 else word() for k in range(150)] for _ in range(n_docs)]
+    docs[0][40:70] = docs[1][90:120] = items[0]
+    docs += [docs[0]] * copies  # the item's words are in far more than COMMON of the passages
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (list(r["item_ids"]), r["lcs"]) for r in decontaminate.find_contamination(d, b).collect() if r["contaminated"]}
+    assert got == {i: ([0], 1.0) for i in (0, 1, *range(n_docs, n_docs + copies))}
+
+
+def test_words_needed_bound_every_match():
+    rnd = random.Random(10)
+    q = decontaminate.Queries([(i, " ".join(rnd.choice("abcdefghijkl") for _ in range(n))) for i, n in enumerate((1, 3, 7, 8, 9, 10, 25, 64, 70))])
+    for _ in range(300):
+        words = [rnd.randrange(-1, len(q.terms)) for _ in range(rnd.choice([4, 20, 128]))]
+        for p, ids in enumerate(q.parts):
+            assert not decontaminate.matches(q, p, words) or sum(t in words for t in ids) >= q.needed[p]
