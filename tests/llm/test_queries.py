@@ -90,6 +90,16 @@ def test_contexts_find_new_identifiers(spark):
     assert got[101]["n_added"] == 0 and got[3]["n_email"] == 1
 
 
+def test_slots_are_counted_in_all_documents(spark):
+    from tracesift.llm import pii
+
+    rows = [(i, f"please Ask for {chr(97 + i)}x{i}@mail.example.com today") for i in range(8)] + [(50, "you may ask for b52, then")]
+    rows += [(100 + i, "they ask for help and leave") for i in range(20)]  # no digit, no @
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["pattern"]: r["slots"] for r in pii.slots(docs, spark.createDataFrame([("ask for",)], "pattern string")).collect()} == {"ask for": 29}
+    assert not any(r["n_added"] for r in pii.personal_data_report(docs).collect())
+
+
 def test_contamination(spark, documents):
     got = _rows(spark, "op9_decontaminate")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]

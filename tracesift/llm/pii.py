@@ -6,8 +6,7 @@ very long run needs no deep recursion and each run is scanned once.
 
 The bootstrapping: identifier-like tokens (with a digit or ``@``) are the instances, the two words before
 them the patterns. Seeds are the tokens where a base span begins. Round by round, a pattern's confidence
-is the weight of the instances in its slots over *all* slots of those two words in documents that hold
-an identifier-like token; an instance's weight is 1 for a seed, else the confidence of its best
+is the weight of the instances in its slots over *all* slots of those two words in all documents; an instance's weight is 1 for a seed, else the confidence of its best
 accepted pattern. Patterns with ``MIN_SEEDS`` distinct seeds and ``MIN_CONFIDENCE`` are accepted; tokens
 in their slots that no base span touches become spans of the pattern's prevailing kind.
 """
@@ -109,10 +108,10 @@ def _contexts(base: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def slots(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, slots): how often its two words occur with a word after them, in documents with an identifier-like token."""
+    """(pattern, slots): how often its two words occur with a word after them, in all documents."""
     words = F.split(F.lower(text_or_empty(docs, text_col)), r"\s+")
     pairs = F.expr("transform(sequence(0, size(w) - 3), i -> concat(w[i], ' ', w[i + 1]))")
-    held = docs.filter(text_or_empty(docs, text_col).rlike("[0-9@]")).select(words.alias("w")).filter("size(w) > 2")
+    held = docs.select(words.alias("w")).filter("size(w) > 2")
     return held.select(F.explode(pairs).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("slots"))
 
 
