@@ -242,6 +242,21 @@ def test_chunk_ids_are_the_librarys():
     assert rows(own.encode(pa.array([t for t, _ in plain]), 7)) == [[*w, 7] for _, w in plain]
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    file = tokenizer_file("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(file)  # with its defaults
+    texts = ["old <|endoftext|> new", "<|endoftext|>", "", "no such token", "two  spaces <|endoftext|><|endoftext|>  here ", "<|endof text|>", "x<|endoftext|>y"]
+    for some in (texts, texts[1:2], texts[2:4]):
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(some)], names=["doc_id", "text"])
+        got = {}
+        for b in token_output._id_batches(iter([rows]), file, 2):
+            got |= {r["doc_id"]: (r["n_tokens"], np.frombuffer(r["ids"], "<u2").tolist()) for r in b.to_pylist() if r["n_tokens"] != token_output.COUNTS}
+        want = [[*x.ids, 2] for x in tok.encode_batch(some, add_special_tokens=False)]
+        assert got == {i: (len(w), w) for i, w in enumerate(want)}
+
+
 # ---- retrieval, languages -------------------------------------------------------------------------
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=20), st.lists(st.integers(-1, 5), max_size=30))
 def test_common_length(a, b):

@@ -47,13 +47,17 @@ class ChunkTokenizer:
     """Byte-level BPE ids of whole texts, chunk by chunk.
 
     The tokenizer's own splitting always starts a new piece at a space that a non-space follows, so
-    chunks cut there have the same ids alone as in the text.
+    chunks cut there have the same ids alone as in the text. A text with the literal of an added token
+    is no such text: :meth:`encode_whole` gives it to the library uncut.
     """
 
     def __init__(self, file: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.library = Tokenizer.from_file(file)
+        literals = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.literal = "|".join(map(re.escape, literals))  # what a text with an added token holds, or empty
         self.tok = Tokenizer.from_file(file)
         self.tok.encode_special_tokens = True
         # the same vocabulary for texts that are cut already: a NUL stands before each piece
@@ -147,6 +151,12 @@ class ChunkTokenizer:
             rows.append(self._first(ws[0]) + b"".join(self._looked_up(ws[1:])) + end)
         return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
 
+    def encode_whole(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library's default, each text in one piece."""
+        end = [] if end_id is None else [end_id]
+        rows = [x.ids + end for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in rows for i in x), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows))
+
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
@@ -161,9 +171,16 @@ def _id_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id:
         sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
         for lo, hi in row_slices(sizes, _LIMIT):
             part = b.slice(lo, hi - lo)
+            coded = []
+            if tok.literal:
+                marked = pc.match_substring_regex(part.column(1), tok.literal)
+                if pc.any(marked).as_py():
+                    whole, part = part.filter(marked), part.filter(pc.invert(marked))
+                    coded.append((whole, tok.encode_whole(whole.column(1).to_pylist(), end_id)))
             odd = pc.match_substring_regex(part.column(1), _ODD_ARROW)
             plain, other = part.filter(pc.invert(odd)), part.filter(odd)
-            for rows, (ids, n) in ((plain, tok.encode(plain.column(1), end_id)), (other, tok.encode_odd(other.column(1).to_pylist(), end_id))):
+            coded += [(plain, tok.encode(plain.column(1), end_id)), (other, tok.encode_odd(other.column(1).to_pylist(), end_id))]
+            for rows, (ids, n) in coded:
                 counts += np.bincount(ids, minlength=len(counts))
                 offsets = np.r_[0, np.cumsum(n) * kind.itemsize].astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())])
