@@ -100,6 +100,23 @@ def test_slots_are_counted_in_all_documents(spark):
     assert not any(r["n_added"] for r in pii.personal_data_report(docs).collect())
 
 
+def test_words_before_an_identifier_may_be_identifiers(spark):
+    from tracesift.llm import pii
+
+    rows = [(i, f"{'x' * (i * 60)} Desk 7: {chr(97 + i)}x{i}@mail.example.com and on") for i in range(12)]
+    rows += [(100, "our Desk 7: jo99-at-mail, please"), (101, "7: b52 x1"), (102, f"Long {'y' * 300} z26"), (103, "  a1\tb2\n c3 "), (104, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {}
+    for r in pii.find_pieces(docs).filter(f"kind = {pii.TOKEN}").orderBy("rid", "start").collect():
+        before.setdefault(r["doc_id"], []).append((r["start"], r["match"], r["before"]))
+    assert before[100] == [(9, "7:", "our desk"), (12, "jo99-at-mail,", "desk 7:")]
+    assert before[101] == [(0, "7:", None), (3, "b52", None), (7, "x1", "7: b52")]
+    assert before[102] == [(306, "z26", f"long {'y' * 300}")]
+    assert before[103] == [(2, "a1", None), (5, "b2", None), (9, "c3", "a1 b2")]
+    got = {r["doc_id"]: r for r in pii.personal_data_report(docs).collect()}
+    assert got[100]["spans"] == "email:12:24" and got[100]["n_added"] == 1 and got[101]["n_added"] == 0
+
+
 def test_contamination(spark, documents):
     got = _rows(spark, "op9_decontaminate")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]

@@ -5,7 +5,7 @@ separators inside a number and single dots inside a domain are marked first), so
 very long run needs no deep recursion and each run is scanned once.
 
 The bootstrapping: identifier-like tokens (with a digit or ``@``) are the instances, the two words before
-them the patterns. Seeds are the tokens where a base span begins. Round by round, a pattern's confidence
+them in the text, identifier-like or not, the patterns. Seeds are the tokens where a base span begins. Round by round, a pattern's confidence
 is the weight of the instances in its slots over *all* slots of those two words in all documents; an instance's weight is 1 for a seed, else the confidence of its best
 accepted pattern. Patterns with ``MIN_SEEDS`` distinct seeds and ``MIN_CONFIDENCE`` are accepted; tokens
 in their slots that no base span touches become spans of the pattern's prevailing kind.
@@ -22,7 +22,6 @@ from .support import store, text_or_empty
 KINDS = ["email", "ip", "card", "phone"]  # order among spans that start together
 TOKEN = 4  # the kind number of identifier-like tokens
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 3
-CONTEXT = 200  # characters before a token in which its two words must lie
 
 _MARK, _OTHER = "\x01", "\x02"
 _LOCAL, _DOMAIN = rf"[A-Za-z0-9._%+{_MARK}-]", "[A-Za-z0-9-]"
@@ -39,12 +38,26 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(free, pattern, _MARK)
 
 
-def _pieces(kind: int, text: Column, pattern: str, when: Column) -> Column:
-    """The matches of a pattern in order: (kind, i, characters before it since the last match, match, context)."""
+def _words(text: Column) -> Column:
+    """Lower-cased words; white space at an end of the text makes an empty one there."""
+    return F.split(F.lower(text), r"\s+")
+
+
+def _befores(words: Column) -> Column:
+    """The two words before each word with a digit or ``@`` (each identifier is such a word), null where there are fewer."""
+    n = F.size(words)
+    led = F.concat(F.array(F.lit(""), F.lit("")), words)
+    threes = F.arrays_zip(F.slice(led, F.lit(1), n).alias("a"), F.slice(led, F.lit(2), n).alias("b"), words.alias("c"))
+    return F.transform(F.filter(threes, lambda x: x["c"].rlike("[0-9@]")), lambda x: F.when((x["a"] != "") & (x["b"] != ""), F.concat_ws(" ", x["a"], x["b"])))
+
+
+def _pieces(kind: int, text: Column, pattern: str, when: Column, befores: Column | None = None) -> Column:
+    """The matches of a pattern in order: (kind, i, characters before it since the last match, match, words before it)."""
     gaps = F.when(when, F.split(text, pattern, -1))
     found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    context = (lambda gap: F.lower(F.right(gap, F.lit(CONTEXT)))) if kind == TOKEN else (lambda gap: F.lit(None).cast("string"))
-    made = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), context(F.get(gaps, i)).alias("before")))
+    zipped = F.arrays_zip(found.alias("m"), gaps.alias("gap"), (F.array().cast("array<string>") if befores is None else befores).alias("before"))
+    matched = F.slice(zipped, F.lit(1), F.size(found))  # the text after the last match is a gap, too
+    made = F.transform(matched, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["m"].alias("match"), x["before"].alias("before")))
     return F.coalesce(made, F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,before:string>>"))
 
 
@@ -53,12 +66,13 @@ def find_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     t = F.col("t")
     digit = t.rlike("[0-9]")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("t"))
+    rows = rows.withColumn("w", F.when(digit | (F.instr(t, "@") > 0), _words(t)))
     every = F.concat(
         _pieces(0, _marked(t, rf"(?<={_DOMAIN})\.(?={_DOMAIN})"), EMAIL, F.instr(t, "@") > 0),
         _pieces(1, t, IP, digit),
         _pieces(2, _marked(t, r"(?<=[0-9])[\x20-](?=[0-9])"), CARD, digit),
         _pieces(3, t, PHONE, F.instr(t, "+") > 0),
-        _pieces(TOKEN, t, IDENTIFIER, digit | (F.instr(t, "@") > 0)),
+        _pieces(TOKEN, t, IDENTIFIER, digit | (F.instr(t, "@") > 0), _befores(F.col("w"))),
     )
     made = store(rows.select("rid", "doc_id", F.explode_outer(every).alias("x")).select("rid", "doc_id", "x.*"), "pieces")
     so_far = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,13 +109,11 @@ def _contexts(base: DataFrame, tokens: DataFrame) -> DataFrame:
     next_start, next_kind = F.min(F.when(is_base, F.col("start"))).over(after), F.first(F.when(is_base, F.col("kind")), ignorenulls=True).over(after)
     covered = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(until) > F.col("start"), F.lit(False))
     marked = rows.withColumn("next", next_start).withColumn("next_kind", next_kind).withColumn("covered", covered).filter(F.col("kind") == TOKEN)
-    words = r"(\S+)\s+(\S+)\s+\z"
-    pattern = F.concat_ws(" ", F.regexp_extract("before", words, 1), F.regexp_extract("before", words, 2))
     begins = F.coalesce((F.col("next") < F.col("end")) & ~F.col("covered"), F.lit(False))
     return marked.select(
         "rid", "start", "end", "match",
         F.xxhash64(F.lower("match")).alias("instance"),
-        F.when(pattern != " ", pattern).alias("pattern"),
+        F.col("before").alias("pattern"),
         F.when(begins, F.col("next_kind")).alias("seed"),
         (begins | F.col("covered")).alias("base"),
     ).filter("pattern IS NOT NULL AND (seed IS NOT NULL OR NOT base)")
@@ -109,7 +121,7 @@ def _contexts(base: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def slots(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """(pattern, slots): how often its two words occur with a word after them, in all documents."""
-    words = F.split(F.lower(text_or_empty(docs, text_col)), r"\s+")
+    words = _words(text_or_empty(docs, text_col))
     pairs = F.expr("transform(sequence(0, size(w) - 3), i -> concat(w[i], ' ', w[i + 1]))")
     held = docs.select(words.alias("w")).filter("size(w) > 2")
     return held.select(F.explode(pairs).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("slots"))
