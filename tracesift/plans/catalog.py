@@ -164,7 +164,7 @@ def q_pivot_durations(spark, sf):
 
 @query("span_edges", "C2", O.with_spans(O.DEDUP_CTE, body="""
 SELECT c.trace_id, c.parent_span_id, c.span_id, p.operation_name AS parent_operation, c.operation_name AS child_operation
-FROM dd c JOIN dd p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id"""))
+FROM dd c JOIN dd p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.parent_span_id != 0"""))
 def q_span_edges(spark, sf):
     return sp.span_edges(_dedup(spark, sf))
 
@@ -184,7 +184,7 @@ def q_trace_tree(spark, sf):
 
 @query("keep_anomalous_spans", "C4", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, body="""
 SELECT s.trace_id, s.span_id, s.operation_name FROM spans s
-WHERE s.trace_id IN (SELECT trace_id FROM conf WHERE nonconforming)"""))
+SEMI JOIN (SELECT DISTINCT trace_id FROM conf WHERE nonconforming) f ON f.trace_id = s.trace_id"""))
 def q_keep_anomalous_spans(spark, sf):
     from ..functions.json import schema_conformance
 
@@ -194,8 +194,8 @@ def q_keep_anomalous_spans(spark, sf):
 
 
 @query("pending_spans", "C5", O.with_spans(O.DEDUP_CTE, body="""
-SELECT trace_id, span_id FROM spans WHERE trace_id NOT IN (
-  SELECT trace_id FROM dd GROUP BY trace_id HAVING count(DISTINCT span_id) >= 8)"""))
+SELECT s.trace_id, s.span_id FROM spans s
+ANTI JOIN (SELECT trace_id FROM (SELECT DISTINCT trace_id, span_id FROM spans) GROUP BY trace_id HAVING count(*) >= 8) d ON d.trace_id = s.trace_id"""))
 def q_pending_spans(spark, sf):
     s = _spans(spark, sf)
     done = sp.complete_traces(sp.dedup_spans(s), 8)
@@ -1210,12 +1210,17 @@ STREAM_WATERMARK, SESSION_GAP = "10 minutes", "5 minutes"
 TRACE_SECONDS, STREAM_SLICES, STREAM_FILES = 10, 4, 4
 
 
-def _span_source(spark, sf):
+#: Spans of the first slice that reach the intake with the last one, long after the watermark has passed them.
+_STRAY = "trace_id % 17 = 3 AND span_id % 100 = 2"
+
+
+def _span_source(spark, sf, strays=False):
     """Span files in a folder in order of event time, as an agent's intake leaves them (derived from the tables).
 
     Traces start ``TRACE_SECONDS`` apart and their spans follow by the second. The files come in slices
     whose borders fall inside a trace; a last file holds a mark of the invalid trace 0 a day later, with
-    which the intake closes, so that the watermark passes every trace.
+    which the intake closes, so that the watermark passes every trace. With ``strays`` some spans of the first slice
+    come with the last slice.
     """
     from ..session import shared_dir
 
@@ -1230,8 +1235,10 @@ def _span_source(spark, sf):
         spans.drop("_s").write.parquet(path)
         return path
     cuts = [lo + ((hi - lo) * i // STREAM_SLICES // TRACE_SECONDS) * TRACE_SECONDS + 3 * (i > 0) for i in range(STREAM_SLICES)] + [hi + 1]
+    stray = F.expr(_STRAY) & (F.col("_s") < cuts[1]) if strays else F.lit(False)
+    come = F.when(stray, F.lit(hi)).otherwise(F.col("_s"))
     for a, b in zip(cuts, cuts[1:]):
-        part = spans.filter((F.col("_s") >= a) & (F.col("_s") < b)).withColumn("start_time", at(F.col("_s")))
+        part = spans.filter((come >= a) & (come < b)).withColumn("start_time", at(F.col("_s")))
         part.drop("_s").repartition(STREAM_FILES).write.mode("append").parquet(path)
     mark = spans.filter(F.col("_s") == hi).limit(1).withColumn("start_time", at(F.col("_s") + 86_400))
     zero = F.lit(0).cast("long")
@@ -1344,6 +1351,83 @@ def q_stream_tail_sample(spark, sf):
     return kept.filter(sp.is_valid_trace()).select("trace_id", "span_id", "operation_name")
 
 
+@query("stream_emit_complete", "I1 I3", O.with_spans(O.DEDUP_CTE, body=f"""
+SELECT trace_id, count(*) AS n_spans, {_ROOT_D} AS TraceD, true AS early FROM dd GROUP BY trace_id HAVING count(*) >= 8"""))
+def q_stream_emit_complete(spark, sf):
+    """Complete traces, emitted with their 8th distinct span: before the watermark has passed their last event."""
+    from ..streaming import agent, state
+
+    out = state.emit_complete(agent.with_event_time(_stream(spark, sf), STREAM_WATERMARK), timeout=SESSION_GAP)
+    t = agent.run_to_table(out, spark, "emit-complete").filter(sp.is_valid_trace() & F.col("complete"))
+    return t.select("trace_id", "n_spans", "TraceD", (F.col("watermark_ms") <= F.col("last_event_ms")).alias("early"))
+
+
+@query("stream_dedup_last", "I5 D3", O.with_spans(body="""
+SELECT trace_id, span_id, parent_span_id, operation_name, service_name, host, duration, len(tags) AS n_tags, arrival_seq FROM spans
+QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY arrival_seq DESC, duration DESC, service_name DESC) = 1"""))
+def q_stream_dedup_last(spark, sf):
+    """The last arrival of each span, from the stream."""
+    from ..streaming import agent, state
+
+    out = state.last_arrivals(agent.with_event_time(_stream(spark, sf), STREAM_WATERMARK), SESSION_GAP)
+    t = agent.run_to_table(out, spark, "last-arrivals").filter(sp.is_valid_trace())
+    host = F.element_at("process_tags", 1)["value"].alias("host")
+    return t.select("trace_id", "span_id", "parent_span_id", "operation_name", "service_name", host, "duration", F.size("tags").cast("long").alias("n_tags"), "arrival_seq")
+
+
+@query("stream_late_spans", "I4", O.with_spans(body=f"""
+SELECT trace_id, span_id, operation_name, arrival_seq, ({_STRAY} AND came < first_cut) AS late
+FROM (SELECT *, trace_id * {TRACE_SECONDS} + span_id % 100 AS came FROM spans),
+     (SELECT lo + ((hi - lo) // {STREAM_SLICES} // {TRACE_SECONDS}) * {TRACE_SECONDS} + 3 AS first_cut
+      FROM (SELECT min(trace_id * {TRACE_SECONDS} + span_id % 100) AS lo, max(trace_id * {TRACE_SECONDS} + span_id % 100) AS hi FROM spans))"""))
+def q_stream_late_spans(spark, sf):
+    """Every span, on time or in the side output of the late ones."""
+    from ..session import shared_dir
+    from ..streaming import agent, state
+
+    stream = agent.span_stream(spark, _span_source(spark, sf, strays=True), max_files_per_trigger=STREAM_FILES)
+    kept, late = shared_dir(spark, "on-time"), shared_dir(spark, "late")
+    state.split_late(stream, kept, late, shared_dir(spark, "split-ck"), STREAM_WATERMARK).awaitTermination()
+    read = lambda path, flag: spark.read.schema(stream.schema).parquet(path).withColumn("late", F.lit(flag))
+    both = sp.union_all(read(kept, False), read(late, True)).filter(sp.is_valid_trace())
+    return both.select("trace_id", "span_id", "operation_name", "arrival_seq", "late")
+
+
+FLUSH_MIN_SPANS = 4  # few traces of these tables have eight spans
+
+
+@query("stream_flush", "I2 E3", O.with_spans(O.DEDUP_CTE, body=f"""
+SELECT trace_id, CAST((row_number() OVER (ORDER BY ended, trace_id) - 1) // 5000 AS BIGINT) AS flush_group
+FROM (SELECT trace_id, max(trace_id * {TRACE_SECONDS} + span_id % 100) AS ended FROM dd GROUP BY trace_id HAVING count(*) >= {FLUSH_MIN_SPANS})"""))
+def q_stream_flush(spark, sf):
+    """Closed traces in flush groups of 5,000, numbered over all micro-batches."""
+    from ..schema import FLUSH_TRACES
+    from ..session import shared_dir
+    from ..streaming import agent, state
+
+    closed = agent.session_assembly(_deduped_stream(spark, sf), gap=SESSION_GAP, expected=FLUSH_MIN_SPANS)
+    whole = closed.filter(sp.is_valid_trace() & F.col("complete")).select("trace_id", F.col("session.end").alias("ended"))
+    path = shared_dir(spark, "flush")
+    state.start_flush_groups(whole, path, shared_dir(spark, "flush-ck"), ["ended", "trace_id"], FLUSH_TRACES).awaitTermination()
+    return spark.read.schema("trace_id long, ended timestamp, flush_group long, place long").parquet(path).select("trace_id", "flush_group")
+
+
+@query("stream_forward", "I7 C5 I3", O.with_spans(O.REQ_CTE, O.CONFORM_CTE, _DECIDED_CTE, body="""
+SELECT DISTINCT s.trace_id, s.span_id, s.operation_name FROM spans s JOIN decided d ON d.trace_id = s.trace_id WHERE d.anomalous"""))
+def q_stream_forward(spark, sf):
+    """Tail sampling as one streaming plan: spans meet their trace's decision in a stream-stream semi join."""
+    from ..functions.json import schema_conformance
+    from ..streaming import agent, state
+
+    def odd(traces):
+        texts = F.from_json(agent.REQUESTS, "array<string>")
+        return traces.filter(sp.is_valid_trace() & F.when(F.size(texts) > 0, F.exists(texts, lambda r: schema_conformance(r))).otherwise(F.lit(True)))
+
+    src = _span_source(spark, sf)
+    kept = state.tail_sample_stream(lambda: agent.span_stream(spark, src, max_files_per_trigger=STREAM_FILES), odd, STREAM_WATERMARK, SESSION_GAP)
+    return agent.run_to_table(kept, spark, "stream-forward").select("trace_id", "span_id", "operation_name")
+
+
 # ============================================================================ train / score entries (J21, J22), schema application (A5)
 
 _PRED_TAIL = open(__file__.replace("catalog.py", "predict_traces.sql")).read()
@@ -1365,26 +1449,64 @@ def _request_bodies(spark, sf):
     return j.select("trace_id", body.alias("body"))
 
 
-@query("predict_traces", "J22 A6 H6 J10 A12", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), _PRED_TAIL, body="""
-SELECT flush_group, coalesce(string_agg(CAST(Id AS VARCHAR), ',' ORDER BY Id) FILTER (WHERE flagged), '') AS ids
-FROM tst GROUP BY flush_group"""))
-def q_predict_traces(spark, sf):
-    """Score entry with a fixed detector: centroids = rounded means of the training traces grouped by
-    (usernameE, passwordE); maxima from the training split; test traces arrive as JSON request arrays."""
+def _is_train(c):
     from ..functions.hashing import hash_unit
+
+    return hash_unit(c, F.lit("split")) < 0.8
+
+
+def _fixed_detector(spark, sf):
+    """Centroids = rounded means of the training traces grouped by (usernameE, passwordE); maxima from the training split."""
     from ..operators import cluster as cl
     from ..schema import FEATURE_COLUMNS
     from ..session import fresh_checkpoint
 
     tf = fresh_checkpoint(feat.trace_features(_spans(spark, sf)))
-    is_train = lambda c: hash_unit(c, F.lit("split")) < 0.8
-    train = tf.filter(is_train("Id")).select(
+    train = tf.filter(_is_train("Id")).select(
         (F.col("usernameE") * 2 + F.col("passwordE")).alias("g"), cl.feature_vector(FEATURE_COLUMNS).alias("vec")
     )
     cent = cl.label_centroids(train, "vec", "g", 2).orderBy("cluster").collect()  # <= 4 groups
-    model = cl.fit_with_centroids(train, "vec", [list(r["centroid"]) for r in cent])
-    bodies = _request_bodies(spark, sf).filter(~is_train("trace_id"))
-    return cl.predict_traces(bodies, model)
+    return cl.fit_with_centroids(train, "vec", [list(r["centroid"]) for r in cent])
+
+
+@query("predict_traces", "J22 A6 H6 J10 A12", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), _PRED_TAIL, body="""
+SELECT flush_group, coalesce(string_agg(CAST(Id AS VARCHAR), ',' ORDER BY Id) FILTER (WHERE flagged), '') AS ids
+FROM tst GROUP BY flush_group"""))
+def q_predict_traces(spark, sf):
+    """Score entry with a fixed detector; test traces arrive as JSON request arrays."""
+    from ..operators import cluster as cl
+
+    bodies = _request_bodies(spark, sf).filter(~_is_train("trace_id"))
+    return cl.predict_traces(bodies, _fixed_detector(spark, sf))
+
+
+@query("stream_model_sample", "I6 I7 H6 J10 C4 E2 A13", O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), _PRED_TAIL, O.DEDUP_CTE, body="""
+SELECT trace_id, span_id, operation_name, service_name, run_id FROM (
+  SELECT *, CAST(sum(chg) OVER (PARTITION BY trace_id ORDER BY span_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS run_id
+  FROM (SELECT *, CASE WHEN lag(service_name) OVER w IS NULL OR lag(service_name) OVER w != service_name
+                            OR lag(host) OVER w != host THEN 1 ELSE 0 END AS chg
+        FROM dd SEMI JOIN (SELECT DISTINCT n.Id FROM near n JOIN mx m ON m.cluster = n.prediction WHERE n.d > m.max_dist) f ON f.Id = dd.trace_id
+        WINDOW w AS (PARTITION BY trace_id ORDER BY span_id)))"""))
+def q_stream_model_sample(spark, sf):
+    """Tail sampling by a trained detector: features from streaming state, the published model applied to each
+    micro-batch, the spans (last arrival wins) of flagged traces in process runs, forwarded to a sink."""
+    from ..operators import cluster as cl
+    from ..session import shared_dir
+    from ..sources import io
+    from ..streaming import agent, state
+
+    registry, path = shared_dir(spark, "detectors"), shared_dir(spark, "detector")
+    cl.save_detector(_fixed_detector(spark, sf), spark, path)
+    state.publish_detector(spark, registry, 1, path)
+    src = _span_source(spark, sf)
+    stream = lambda: agent.with_event_time(agent.span_stream(spark, src, max_files_per_trigger=STREAM_FILES), STREAM_WATERMARK)
+    decisions, staged = shared_dir(spark, "model-decisions"), shared_dir(spark, "last-spans")
+    state.start_model_sampler(agent.session_assembly(stream(), gap=SESSION_GAP), registry, decisions, shared_dir(spark, "model-ck")).awaitTermination()
+    agent.stage_spans(state.last_arrivals(stream(), SESSION_GAP), staged, shared_dir(spark, "last-ck")).awaitTermination()
+    kept = agent.forward_flagged_spans(spark, staged, decisions).filter(sp.is_valid_trace())
+    sink = io.forward_spans(sp.process_runs(kept.select("trace_id", "span_id", "operation_name", "service_name", "process_tags")))
+    return spark.read.parquet(sink).select("trace_id", "span_id", "operation_name", "service_name", "run_id")
 
 
 @query("train_kmeans", "J21 J5 A10")

@@ -58,7 +58,7 @@ lines AS (
     ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS arrival_seq
   FROM lineitem
 ),
-spans AS (SELECT * FROM roots UNION ALL SELECT * FROM lines)
+spans AS MATERIALIZED (SELECT * FROM roots UNION ALL SELECT * FROM lines)
 """
 
 REQ_CTE = """
@@ -132,7 +132,7 @@ def with_spans(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + body
 
 DEDUP_CTE = """
-dd AS (
+dd AS MATERIALIZED (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY trace_id, span_id
       ORDER BY arrival_seq DESC, start_time DESC, duration DESC, operation_name DESC,
