@@ -1,5 +1,9 @@
 """JSON payload features (H1-H5, B16, H19) on the FIXTURES F2 cases."""
 
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracesift.functions.json import (
@@ -13,6 +17,9 @@ from tracesift.functions.json import (
     schema_conformance,
 )
 
+_scalars = st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text(alphabet=st.one_of(st.sampled_from('"\\\\{}[],: kq'), st.characters(exclude_categories=["Cs"])), max_size=8))
+_values = st.recursive(_scalars, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from(["k", "a", '"', "\\\\", "}"]), x, max_size=3)), max_leaves=6)
+
 CASES = [
     ('{"CreditCard":4000123412341234,"Position":"12.50001, 7.25002","Address":"17 Harbour Road",'
      '"Money":"100,00$","username":"ab","password":"pass-word-16char"}'),
@@ -78,7 +85,12 @@ def test_edits_leave_nested_values_alone(spark):
     cases = [
         ('{"CreditCard":{"n":1,"m":2},"x":1}', '{"CreditCard":7,"x":1}', '{"x":1}'),
         ('{"a":{"CreditCard":5},"CreditCard":1}', '{"a":{"CreditCard":5},"CreditCard":7}', '{"a":{"CreditCard":5}}'),
-        ('{ "CreditCard" : 1 , "b" : [1, {"c" : "}"}] }', '{"CreditCard":7,"b":[1,{"c":"}"}]}', '{"b":[1,{"c":"}"}]}'),
+        ('{ "CreditCard" : 1 , "b" : [1, {"c" : "}"}] }', '{ "CreditCard" : 7 , "b" : [1, {"c" : "}"}] }', '{ "b" : [1, {"c" : "}"}] }'),
+        ('{"CreditCard":1,"meta":{"k":1,"k":2}}', '{"CreditCard":7,"meta":{"k":1,"k":2}}', '{"meta":{"k":1,"k":2}}'),
+        ('{"a":1.10,"b":1e3,"c":-0,"d":12345678901234567890123456789012345678901234567890}', '{"a":1.10,"b":1e3,"c":-0,"d":12345678901234567890123456789012345678901234567890,"CreditCard":7}', '{"a":1.10,"b":1e3,"c":-0,"d":12345678901234567890123456789012345678901234567890}'),
+        ('{"z":{"b":1,"a":2},"\\u0043reditCard":"x:y,{","e":[]}', '{"z":{"b":1,"a":2},"\\u0043reditCard":7,"e":[]}', '{"z":{"b":1,"a":2},"e":[]}'),
+        (' { } ', '{"CreditCard":7}', '{}'),
+        ('{"a":"\\\\","b":"\\"}","c":{"CreditCard":[{"CreditCard":1}]}}', '{"a":"\\\\","b":"\\"}","c":{"CreditCard":[{"CreditCard":1}]},"CreditCard":7}', '{"a":"\\\\","b":"\\"}","c":{"CreditCard":[{"CreditCard":1}]}}'),
         ('{"CreditCard":1,"b":null,"CreditCard":2}', '{"CreditCard":7,"b":null,"CreditCard":7}', '{"b":null}'),
         ('{"k\\"q":"$1\\\\","é":true}', '{"k\\"q":"$1\\\\","é":true,"CreditCard":7}', '{"k\\"q":"$1\\\\","é":true}'),
         ('[1]', '[1]', '[1]'),
@@ -93,3 +105,28 @@ def test_edits_leave_nested_values_alone(spark):
 def test_string_literal_escapes(spark):
     r = spark.createDataFrame([('a"b\\c\n',)], "s string").select(json_string_literal("s")).first()[0]
     assert r == '"a\\"b\\\\c\\n"'
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dictionaries(st.text(max_size=6), _values, max_size=4), min_size=1, max_size=20))
+def test_edits_equal_a_plain_rebuild(spark, objects):
+    """Whatever the object: the edited text parses to the edited object, and other members keep their text."""
+    rows = [(i, json.dumps(o, ensure_ascii=i % 2 == 0, indent=None if i % 3 else 1)) for i, o in enumerate(objects)]
+    df = spark.createDataFrame(rows, "i int, j string")
+    got = df.select("i", json_set_field("j", "k", F.lit("[7]")).alias("s"), json_remove_field("j", "k").alias("r")).collect()
+    for r in got:
+        assert json.loads(r["s"]) == objects[r["i"]] | {"k": [7]}
+        assert json.loads(r["r"]) == {k: v for k, v in objects[r["i"]].items() if k != "k"}
+        if "k" not in objects[r["i"]] and objects[r["i"]]:
+            assert r["r"] == rows[r["i"]][1] and r["s"] == rows[r["i"]][1][:-1] + ',"k":[7]}'
+
+
+def test_no_payload_is_lost(spark):
+    from tracesift.operators.augment import inject_anomalies
+
+    texts = ['{"CreditCard":1,"meta":{"k":1,"k":2}}', "no json", "[1]", None, '{"a":1.10}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "Id long, request string")
+    rows = {r["Id"]: r for r in inject_anomalies(df, rate=0.0).collect()}
+    assert '"meta":{"k":1,"k":2}' in rows[0]["request"] and rows[0]["edited"]
+    assert [rows[i]["request"] for i in (1, 2, 3)] == texts[1:4] and not any(rows[i]["edited"] for i in (1, 2, 3))
+    assert rows[4]["request"].startswith('{"a":1.10,')

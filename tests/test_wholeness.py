@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracesift.functions import vector
 from tracesift.operators import cluster as cl
 from tracesift.operators import spans as sp
-from tracesift.sources.io import parse_trace_requests
+from tracesift.sources.io import parse_trace_requests, unjudged_requests
 
 COLS = "trace_id long, span_id long, parent_span_id long"
 
@@ -72,12 +72,17 @@ def test_saved_detector_keeps_its_rules(spark, tmp_path):
     assert sorted(map(tuple, loaded.transform(df).select(cols).collect()), key=key) == sorted(map(tuple, model.transform(df).select(cols).collect()), key=key)
 
 
-def test_bodies_that_do_not_parse_are_kept(spark):
-    good = '[{"traceID":1,"park-spot":5,"request":{"a":1}},{"traceID":2,"park-spot":6,"request":{"a":2}}]'
-    bad = '[{"traceID":3,"park-spot":5,"request":oops}]'
-    df = spark.createDataFrame([(good,), (bad,), ("[]",), (None,)], "body string")
+def test_bad_elements_do_not_take_their_neighbours(spark):
+    one, two = '{"traceID":1,"park-spot":5,"request":{"a":1}}', '{"traceID":2,"park-spot":6,"request":{"a":"],["}}'
+    oops = '{"traceID": 3,"park-spot":5,"request":oops}'
+    bodies = [f"[{one},{two}]", f" [{one} , {oops},{two}, 7, {{}}] ", "[]", None, "no array", f"[{one}", f"[{one}][{two}]", "[]]", '["]', "[[1],2]"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
     got = sorted(((r["Id"], r["bad_body"]) for r in parse_trace_requests(df).collect()), key=str)
-    assert got == [(1, None), (2, None), (None, bad)]
+    want = [(1, None), (2, None)] * 2 + [(3, oops), (None, "7"), (None, "{}"), (None, "no array"), (1, f"[{one}"), (1, f"[{one}][{two}]"), (None, "[]]"), (None, '["]'), (None, "[1]"), (None, "2")]
+    assert got == sorted(want, key=str)
+    assert unjudged_requests(df).count() == 10
+    rows = {r["Id"]: r for r in parse_trace_requests(df).filter("bad_body IS NULL").collect()}
+    assert rows[2]["TraceD"] == 6 and rows[2]["request"] == '{"a":"],["}'
 
 
 def test_run_numbers_of_long_groups():

@@ -111,37 +111,102 @@ def schema_conformance(col, expected_keys: Sequence[str] = PAYLOAD_KEYS) -> Colu
     return F.when(is_json_object(col), known != len(set(expected_keys))).otherwise(F.lit(True))
 
 
-# --- H19: edits of top-level fields, on the parsed object -------------------------------
+# --- H19: edits of top-level fields, on the members' own text -------------------------------
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^"{}\[\],:]++'  # strings, marks, and whatever lies between
+
+
 def json_string_literal(col) -> Column:
     """JSON string literal of a text column."""
     one = F.to_json(F.array(_c(col).cast("string")))
     return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
-def _members(col) -> Column:
-    """The object's members in order (duplicates included) as (key, value text); NULL unless a JSON object."""
-    entries = F.map_entries(F.from_json(_c(col), "map<string,variant>"))
-    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
+def json_members(col) -> Column:
+    """The object's members in order (duplicates included) as (head, body): the text up to the colon, and after it.
+
+    One fold over the tokens of the text, which knows the depth; nothing is parsed to a value and written again, so
+    nested objects, duplicate keys, spaces and numbers stay as they are. NULL unless a JSON object.
+    """
+    text = _c(col)
+    none = F.array().cast("array<struct<head:string,body:string>>")
+    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("head"), F.lit("").alias("body"), F.lit(False).alias("after"), none.alias("members"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        top = s["depth"] == 1
+        ends = top & t.isin(",", "}")
+        colon = top & (t == ":")
+        begins = s["depth"] == 0
+        drop = ends | begins | (depth == 0)
+        head = F.when(drop, F.lit("")).when(s["after"], s["head"]).otherwise(F.concat(s["head"], t))
+        body = F.when(drop, F.lit("")).when(s["after"], F.concat(s["body"], t)).otherwise(s["body"])
+        pushed = F.concat(s["members"], F.array(F.struct(s["head"].alias("head"), s["body"].alias("body"))))
+        return F.struct(
+            depth.cast("int").alias("depth"), head.alias("head"), body.alias("body"), F.when(drop, F.lit(False)).otherwise(s["after"] | colon).alias("after"),
+            F.when(ends & s["after"], pushed).otherwise(s["members"]).alias("members"),
+        )
+
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), empty, step)
+    return F.when(is_json_object(text), found["members"])
+
+
+def json_elements(col) -> Column:
+    """The elements of an array's text, as they stand, whether or not each of them is valid JSON.
+
+    NULL for a text whose brackets and strings do not close as those of one array.
+    """
+    text = F.trim(_c(col))
+    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("items"), F.lit(True).alias("one"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        ends = ((s["depth"] == 1) & (t == ",")) | (depth == 0)
+        now = F.when(ends | (s["depth"] == 0), F.lit("")).otherwise(F.concat(s["now"], t))
+        items = F.when(ends & (F.trim(s["now"]) != ""), F.concat(s["items"], F.array(F.trim(s["now"])))).otherwise(s["items"])
+        inside = (s["depth"] > 0) | ((t == "[") & (F.size(s["items"]) == 0))
+        return F.struct(depth.cast("int").alias("depth"), now.alias("now"), items.alias("items"), (s["one"] & inside).alias("one"))
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    whole = F.array_join(tokens, "") == text
+    found = F.aggregate(tokens, empty, step)
+    return F.when(whole & text.startswith("[") & (found["depth"] == 0) & found["one"], found["items"])
+
+
+def _is_key(member: Column, key: str) -> Column:
+    """Whether a member has this key, however it is written."""
+    raw = F.regexp_extract(member["head"], r'("(?:[^"\\]++|\\.)*+")\s*:$', 1)
+    plain = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    return F.when(raw.contains("\\"), F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")).otherwise(plain) == key
+
+
+def set_member(members, key: str, raw_value) -> Column:
+    """Members with the value of ``key`` replaced by a raw JSON value wherever it occurs, or added at the end; a NULL value changes nothing."""
+    members, raw = _c(members), _c(raw_value) if not isinstance(raw_value, str) else F.lit(raw_value)
+    space = lambda m, rx: F.regexp_extract(m["body"], rx, 0)
+    changed = F.transform(members, lambda m: F.when(_is_key(m, key), F.struct(m["head"].alias("head"), F.concat(space(m, r"^\s*"), raw, space(m, r"\s*$")).alias("body"))).otherwise(m))
+    added = F.concat(members, F.array(F.struct(F.concat(json_string_literal(F.lit(key)), F.lit(":")).alias("head"), raw.alias("body"))))
+    return F.when(raw.isNull(), members).otherwise(F.when(F.exists(members, lambda m: _is_key(m, key)), changed).otherwise(added))
+
+
+def remove_member(members, key: str) -> Column:
+    return F.filter(_c(members), lambda m: ~_is_key(m, key))
 
 
-def _object(members: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(json_string_literal(m["key"]), F.lit(":"), m["value"])), ","), F.lit("}"))
+def object_text(members, before) -> Column:
+    """The object of the members; ``before`` is the text they were read from, which stays where it is no object."""
+    text = F.concat(F.lit("{"), F.array_join(F.transform(_c(members), lambda m: F.concat(m["head"], m["body"])), ","), F.lit("}"))
+    return F.coalesce(text, _c(before))
 
 
 def json_set_field(col, key: str, raw_value) -> Column:
-    """Set a top-level key to a raw JSON value: in place when present, else appended.
+    """Set a top-level key to a raw JSON value: in place when present (all its occurrences), else appended.
 
-    Nested objects are left alone, whatever their keys. The result is compact JSON with the members
-    in their order; a text that is no JSON object, or a NULL value, leaves the text as it is.
+    Every other member keeps its text, byte for byte, in its place. A text that is no JSON object, or a NULL value, leaves
+    the text as it is; only a NULL text gives NULL.
     """
-    raw = _c(raw_value) if not isinstance(raw_value, str) else F.lit(raw_value)
-    members = _members(col)
-    changed = F.transform(members, lambda m: F.struct(m["key"].alias("key"), F.when(m["key"] == key, raw).otherwise(m["value"]).alias("value")))
-    present = F.exists(members, lambda m: m["key"] == key)
-    added = F.concat(members, F.array(F.struct(F.lit(key).alias("key"), raw.alias("value"))))
-    return F.when(is_json_object(col) & raw.isNotNull(), _object(F.when(present, changed).otherwise(added))).otherwise(_c(col))
+    return object_text(set_member(json_members(col), key, raw_value), col)
 
 
 def json_remove_field(col, key: str) -> Column:
-    """Remove a top-level field (all its occurrences); the result is compact JSON."""
-    return F.when(is_json_object(col), _object(F.filter(_members(col), lambda m: m["key"] != key))).otherwise(_c(col))
+    """Remove a top-level field (all its occurrences); the other members keep their text."""
+    return object_text(remove_member(json_members(col), key), col)

@@ -301,7 +301,7 @@ def predict_traces(requests: DataFrame, model: ClusterDetectorModel, body_col: s
 
     The model's vector must be the 19 trace features in schema order (as built
     by ``feature_vector``). Flush groups of ``flush_size`` rows in Id order keep
-    every id list bounded.
+    every id list bounded. Requests that cannot be scored are told by ``sources.io.unjudged_requests``.
     """
     from ..schema import FEATURE_COLUMNS
     from ..sources.io import parse_trace_requests

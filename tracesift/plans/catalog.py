@@ -452,9 +452,13 @@ def q_clean_name(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", clean_name("c_name").alias("name"))
 
 
+#: A member of these tables' payloads as text: a plain key, then a string, a number or an object at most two levels deep.
+_MEMBER_RX = r'''"[A-Za-z]+":(?:"[^"]*"|[0-9][0-9.e]*|\{(?:"[^"]*"|[^{}"]|\{(?:"[^"]*"|[^{}"])*\})*\})'''
+
+
 def _rebuilt_sql(col: str, value: str = "m.v", where: str = "true", more: str = "") -> str:
-    """DuckDB's object of the members of a JSON text: ``value`` for each (m.k key, m.v raw), those with ``where``."""
-    members = f"list_transform(json_keys({col}), lambda x: {{'k': x, 'v': CAST(json_extract({col}, '$.\"' || x || '\"') AS VARCHAR)}})"
+    """DuckDB's object of the members of a JSON text: ``value`` for each (m.k key, m.v text as it stands), those with ``where``."""
+    members = f"list_transform(regexp_extract_all({col}, '{_MEMBER_RX}'), lambda x: {{'k': regexp_extract(x, '^\"([A-Za-z]+)', 1), 'v': regexp_extract(x, '^\"[A-Za-z]+\":(.*)$', 1)}})"
     text = f"list_transform(list_filter({members}, lambda m: {where}), lambda m: '\"' || m.k || '\":' || {value})"
     return "'{' || array_to_string(" + text + more + ", ',') || '}'"
 
@@ -502,7 +506,7 @@ def q_scan_csv(spark, sf):
 
 
 @query("parse_trace_requests", "A6 F3-fixture", O.with_spans(O.REQ_CTE, O.durs_cte(), body="""
-SELECT r.trace_id AS Id, r.duration AS TraceD, d.SpanD1, d.SpanD2, d.SpanD3, d.SpanD4, r.request
+SELECT r.trace_id AS Id, r.duration AS TraceD, d.SpanD1, d.SpanD2, d.SpanD3, d.SpanD4, CAST(json(r.request) AS VARCHAR) AS request
 FROM req r LEFT JOIN durs d ON r.trace_id = d.trace_id"""))
 def q_parse_trace_requests(spark, sf):
     from ..sources.io import parse_trace_requests

@@ -31,6 +31,8 @@ pl AS (
     || CASE WHEN k % 50 = 7 THEN '' ELSE ',"' || CASE WHEN k % 3 = 0 THEN 'Password' ELSE 'password' END
          || '":"' || substr(md5(CAST(k AS VARCHAR)), 1, 16) || '"' END
     || CASE WHEN k % 41 = 0 THEN ',"Priority":"' || prio || '"' ELSE '' END
+    || CASE WHEN k % 29 = 3 THEN ',"Meta":{{"CreditCard":5,"v":1.10,"w":[1,{{"u":"}}"}}],"k":1,"k":2}}' ELSE '' END
+    || CASE WHEN k % 31 = 4 THEN ',"Ratio":1e3,"Big":123456789012345678901234567890' ELSE '' END
     || '}}' AS payload
   FROM (SELECT *, CAST(4000000000000000 + (k * 7919 + c) % 999999999999 AS VARCHAR) AS card FROM oc)
 ),

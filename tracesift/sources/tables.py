@@ -32,6 +32,9 @@ LINE_OPERATIONS = (
 ) + CLIENT_OPERATIONS
 
 
+NESTED = ',"Meta":{"CreditCard":5,"v":1.10,"w":[1,{"u":"}"}],"k":1,"k":2}'
+NUMBERS = ',"Ratio":1e3,"Big":123456789012345678901234567890'
+
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
 SPREAD_BYTES_PER_PARTITION = 256 * 1024
 
@@ -75,7 +78,9 @@ def payload_text(k: F.Column, c: F.Column, seg: F.Column, totalprice: F.Column,
 
     Variants: CreditCard as a string when k % 97 = 13 (type change); capitalised
     Username/Password keys when k % 3 = 0; no password when k % 50 = 7 (missing
-    field); an extra unknown key when k % 41 = 0.
+    field); an extra unknown key when k % 41 = 0. Harder members, which edits have to leave alone: a nested
+    object with a key of the schema, a repeated key, a fraction and a brace in a string (k % 29 = 3), an exponent and a
+    number beyond 64 bits (k % 31 = 4).
     """
     s = lambda x: x.cast("string")
     card = s(F.lit(4000000000000000) + (k * 7919 + c) % 999999999999)
@@ -100,7 +105,7 @@ def payload_text(k: F.Column, c: F.Column, seg: F.Column, totalprice: F.Column,
         F.lit('","Address":"'), address,
         F.lit('","Money":"'), money,
         F.lit('","'), user_key, F.lit('":"user'), s(c), F.lit('"'),
-        pw_part, extra, F.lit("}"),
+        pw_part, extra, F.when(k % 29 == 3, F.lit(NESTED)).otherwise(F.lit("")), F.when(k % 31 == 4, F.lit(NUMBERS)).otherwise(F.lit("")), F.lit("}"),
     )
 
 
