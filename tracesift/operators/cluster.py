@@ -4,8 +4,10 @@ A fitted detector is a small table: k centroids (k x d numbers) and, per
 cluster, the largest training distance. Scoring embeds that table in the plan
 as an array literal, so assignment, distance and flag are built-in array
 expressions inside whole-stage codegen: no Python UDF, no join, no shuffle.
-The table is checked against ``MAX_CLUSTERS`` x ``MAX_DIMS`` before it is
-embedded.
+A table of more than ``BLOCK_CELLS`` numbers is scored in blocks of centroids: each
+row carries its nearest centroid so far past the blocks, and what a task holds of the
+table is one block. Distances to given clusters and limits per cluster then come
+from a join with the table.
 """
 
 from __future__ import annotations
@@ -24,14 +26,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import distance_to_values, euclidean_distance, flag_beyond, nearest_centroid_values
 
-MAX_CLUSTERS = 10_000
-MAX_DIMS = 100_000
-MAX_CELLS = 5_000_000  # k * d numbers embedded in a plan
+BLOCK_CELLS = 4 << 20  # k * d numbers of the centroid table in one expression or one broadcast block
+BLOCKS_A_PASS = 4  # blocks between two written tables
 
 
-def _check_size(k: int, d: int) -> None:
-    if k > MAX_CLUSTERS or d > MAX_DIMS or k * d > MAX_CELLS:
-        raise ValueError(f"a centroid table of {k} x {d} numbers is beyond the limits {MAX_CLUSTERS}, {MAX_DIMS} and {MAX_CELLS} cells")
+def _embeds(k: int, d: int) -> bool:
+    return k * d <= BLOCK_CELLS and k <= 10_000
 
 
 # ----------------------------------------------------------------------------- column-level operators
@@ -39,19 +39,50 @@ def _check_size(k: int, d: int) -> None:
 
 def assign_nearest(df: DataFrame, vec_col: str, centroids: Sequence[Sequence[float]],
                    prediction_col: str = "prediction", dist_col: str = "dist") -> DataFrame:
-    """Nearest centroid (ties to the lower index) and the distance to it (H7)."""
-    _check_size(len(centroids), len(centroids[0]) if centroids else 0)
-    best = nearest_centroid_values(F.col(vec_col), centroids)
-    return df.withColumn("_best", best).withColumn(prediction_col, F.col("_best.cluster")).withColumn(
-        dist_col, F.col("_best.dist")
-    ).drop("_best")
+    """Nearest centroid (ties to the lower index) and the distance to it (H7), for centroid tables of any size."""
+    k, d = len(centroids), len(centroids[0]) if centroids else 0
+    if k * d <= BLOCK_CELLS:
+        found = df.withColumn("_best", nearest_centroid_values(F.col(vec_col), centroids))
+    else:
+        found = _assign_in_blocks(df, vec_col, centroids, max(1, BLOCK_CELLS // max(1, d)))
+    return found.withColumn(prediction_col, F.col("_best.cluster")).withColumn(dist_col, F.col("_best.dist")).drop("_best")
+
+
+def _assign_in_blocks(df: DataFrame, vec_col: str, centroids: Sequence[Sequence[float]], block: int) -> DataFrame:
+    """``_best`` by a running minimum over blocks of centroids.
+
+    Each block is one vectorised pass over the rows at hand; after ``BLOCKS_A_PASS`` of them the rows with their best
+    so far are written, so that a task holds a bounded part of the table and a lost executor repeats a bounded part of the work.
+    """
+    from ..session import stored
+
+    out = df
+    for n, at in enumerate(range(0, len(centroids), block)):
+        near = nearest_centroid_values(F.col(vec_col), centroids[at : at + block])
+        out = out.withColumn("_near", near).withColumn("_near", F.struct((F.col("_near.cluster") + at).alias("cluster"), F.col("_near.dist").alias("dist")))
+        if n == 0:
+            out = out.withColumnRenamed("_near", "_best")
+        else:  # an equal distance stays with the earlier block, which has the lower index
+            out = out.withColumn("_best", F.when(F.col("_near.dist") < F.col("_best.dist"), F.col("_near")).otherwise(F.col("_best"))).drop("_near")
+        if n % BLOCKS_A_PASS == BLOCKS_A_PASS - 1:
+            out = stored(out, "nearest")
+    return out
 
 
 def distance_to_cluster(df: DataFrame, vec_col: str, cluster_col: str, centroids: Sequence[Sequence[float]],
                         dist_col: str = "dist") -> DataFrame:
     """C7 + H7: distance of each row to the centroid of its given cluster (0-based index)."""
-    _check_size(len(centroids), len(centroids[0]) if centroids else 0)
-    return df.withColumn(dist_col, distance_to_values(F.col(vec_col), centroids, F.col(cluster_col)))
+    if _embeds(len(centroids), len(centroids[0]) if centroids else 0):
+        return df.withColumn(dist_col, distance_to_values(F.col(vec_col), centroids, F.col(cluster_col)))
+    table = _table(df.sparkSession, "cluster int, centroid array<double>", [(i, [float(v) for v in c]) for i, c in enumerate(centroids)])
+    return distance_to_cluster_table(df, vec_col, cluster_col, table, dist_col)
+
+
+def _table(spark, schema: str, rows: list) -> DataFrame:
+    """A large parameter table, written once: plans refer to the files, not to the rows."""
+    from ..session import stored
+
+    return stored(spark.createDataFrame(rows, schema), "clusters")
 
 
 def distance_to_cluster_table(df: DataFrame, vec_col: str, cluster_col: str, clusters: DataFrame,
@@ -87,8 +118,13 @@ def max_by_centroid(assigned: DataFrame, k: int, prediction_col: str = "predicti
 def flag_anomalies(assigned: DataFrame, max_dist: Sequence[float], prediction_col: str = "prediction",
                    dist_col: str = "dist") -> DataFrame:
     """anomaly = 1 when the distance is strictly greater than its cluster's training maximum."""
-    lim = F.element_at(F.array(*[F.lit(float(x)) for x in max_dist]), F.col(prediction_col) + 1)
-    return assigned.withColumn("max_dist", lim).withColumn("anomaly", flag_beyond(dist_col, "max_dist"))
+    if len(max_dist) <= 10_000:
+        lim = F.element_at(F.array(*[F.lit(float(x)) for x in max_dist]), F.col(prediction_col) + 1)
+        limited = assigned.withColumn("max_dist", lim)
+    else:
+        table = _table(assigned.sparkSession, "_cluster int, max_dist double", [(i, float(x)) for i, x in enumerate(max_dist)])
+        limited = assigned.join(table, F.col(prediction_col) == F.col("_cluster"), "left").drop("_cluster")
+    return limited.withColumn("anomaly", flag_beyond(dist_col, "max_dist"))
 
 
 # ----------------------------------------------------------------------------- detector

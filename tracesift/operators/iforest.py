@@ -245,7 +245,19 @@ def sample_copies(samples: DataFrame) -> DataFrame:
 
 
 MAX_PSI = 1 << 20  # rows of one tree, which one task holds
-ANY_TREE = -1  # the draw that all trees share
+MAX_NODES = 1 << 24  # rows of the node table, which the model holds
+
+
+def binomial_steps(trees: int, p: float) -> list[float]:
+    """P(at most k of the trees) for k = 0, 1, ... until it is 1 to within a double; a uniform draw passes as many steps as it joins trees."""
+    out, total = [], 0.0
+    for k in range(trees):
+        log = math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1) + (k * math.log(p) if k else 0.0) + ((trees - k) * math.log1p(-p) if p < 1.0 else -math.inf)
+        total += math.exp(log)
+        out.append(min(total, 1.0))
+        if k > trees * p and math.exp(log) < 2.0**-60:
+            break
+    return out
 
 
 class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
@@ -277,6 +289,8 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
                 psi = n  # Q28: the default is min(256, n)
         if psi > MAX_PSI:
             raise ValueError(f"maxSamples={psi} rows a tree; one task holds a tree's rows, so at most {MAX_PSI}")
+        if 2 * psi * self.getOrDefault(self.numTrees) > MAX_NODES:
+            raise ValueError(f"{self.getOrDefault(self.numTrees)} trees of {psi} rows have up to {2 * psi * self.getOrDefault(self.numTrees)} nodes; the model holds at most {MAX_NODES}")
         return max(1, psi)
 
     def sample(self, dataset: DataFrame):
@@ -324,22 +338,36 @@ class IForest(Estimator, _IForestParams, MLReadable, MLWritable):
             data.unpersist()
 
     def _thin(self, data: DataFrame, n: int, psi: int, trees: list[int], factor: float) -> DataFrame:
-        """Per-tree Bernoulli draws: row r joins tree t when u(r, t) < p, p sized so a tree gets >= psi rows
-        except with negligible probability (10 standard deviations); short trees are redrawn."""
-        seed = self.getOrDefault(self.seed)
+        """(tree_id, f, _key): row r joins tree t with probability p, independently of every other row and tree; p is sized
+        so that a tree gets >= psi rows except with negligible probability (10 standard deviations), and short trees are
+        redrawn.
+
+        One uniform draw a row gives how many of the trees it joins, by the binomial distribution; most rows join none
+        and are done. The others take that many distinct trees, those with the smallest hashes of row and tree. Both
+        together are the same as a draw for each row and tree.
+        """
+        seed = int(self.getOrDefault(self.seed))
         p = min(1.0, factor * (psi + 10.0 * math.sqrt(psi) + 10.0) / n)
-        if "_key" in data.columns:  # reproducible whatever the partitioning
-            u = lambda t: (F.pmod(F.xxhash64(F.col("_key"), F.lit(int(seed)), F.lit(int(t))), F.lit(1 << 53))
-                           / F.lit(float(1 << 53)))
-        else:
-            u = lambda t: F.rand(int(seed) * 100003 + int(t))
-        # One draw tells whether any tree may take the row (share q); the trees draw among those rows with
-        # p / q, so each tree still takes each row independently with probability p.
-        q = min(1.0, len(trees) * p)
-        picks = F.array_compact(F.array(*[F.when(u(t) < p / q, F.lit(t)) for t in trees]))  # codegen, no lambda
-        key = [F.col("_key")] if "_key" in data.columns else []
-        maybe = data.filter(u(ANY_TREE) < q) if q < 1.0 else data
-        return maybe.select(F.explode(picks).alias("tree_id"), "f", *key)
+        below = binomial_steps(len(trees), p)
+        salt = F.lit(f"{seed}|{factor}")
+        keyed = data if "_key" in data.columns else data.withColumn("_u", F.rand(seed))
+        key = F.col("_key") if "_key" in data.columns else F.col("_u")
+        u = F.pmod(F.xxhash64(key, salt), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        some = keyed.withColumn("_draw", u).filter(F.col("_draw") >= below[0])
+        count = F.expr("0")
+        for step in below:
+            count = count + (F.col("_draw") >= step).cast("int")
+        order = F.sort_array(F.array(*[F.struct(F.xxhash64(key, salt, F.lit(t)).alias("h"), F.lit(t).alias("t")) for t in trees]))
+        picked = some.withColumn("_tree", F.explode(F.slice(order, F.lit(1), F.least(count, F.lit(len(trees))))))
+        return picked.select(F.col("_tree.t").alias("tree_id"), "f", *(["_key"] if "_key" in data.columns else []))
+
+    def thinned_rows(self, dataset: DataFrame) -> tuple[DataFrame, int, float]:
+        """((tree_id, _key) of the draws before each tree picks its exact sample, rows, share of the rows a tree draws)."""
+        data = dataset.select(_features_array(dataset, self.getOrDefault(self.featuresCol)).alias("f"), F.col(self.getOrDefault(self.idCol)).alias("_key"))
+        n = data.count()
+        psi = self._num_samples(n)
+        drawn = self._thin(data, n, psi, list(range(self.getOrDefault(self.numTrees))), 1.0)
+        return drawn.select("tree_id", "_key"), n, min(1.0, (psi + 10.0 * math.sqrt(psi) + 10.0) / n)
 
     def _grow_and_threshold(self, joined, data: DataFrame, n: int, psi: int, exact_groups: bool) -> "IForestModel":
         num_trees = self.getOrDefault(self.numTrees)
@@ -513,4 +541,4 @@ class _IForestModelReader(MLReader):
         return m
 
 
-__all__ = ["IForest", "IForestModel", "grow_tree", "tree_samples", "sample_copies", "index_rows", "math"]
+__all__ = ["IForest", "IForestModel", "grow_tree", "tree_samples", "sample_copies", "index_rows"]

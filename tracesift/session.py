@@ -63,6 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
+def stored(df, name: str = "stored"):
+    """``df`` written once as a table in the shared checkpoint folder, and read back: lineage ends there.
+
+    Partitioning and row order are not kept; where they matter, see ``fresh_checkpoint``.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_checkpoint(df):
     """Reliable ``checkpoint()`` whose columns get fresh attribute ids.
 
