@@ -122,7 +122,7 @@ def json_string_literal(col) -> Column:
 
 
 def json_members(col) -> Column:
-    """The object's members in order (duplicates included) as (head, body): the text up to the colon, and after it.
+    """The object's members in order (duplicates included) as (head, body, key): the text up to the colon, after it, and the key.
 
     One fold over the tokens of the text, which knows the depth; nothing is parsed to a value and written again, so
     nested objects, duplicate keys, spaces and numbers stay as they are. NULL unless a JSON object.
@@ -147,7 +147,7 @@ def json_members(col) -> Column:
         )
 
     found = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), empty, step)
-    return F.when(is_json_object(text), found["members"])
+    return F.when(is_json_object(text), F.transform(found["members"], lambda m: F.struct(m["head"].alias("head"), m["body"].alias("body"), _key(m).alias("key"))))
 
 
 def json_elements(col) -> Column:
@@ -172,24 +172,25 @@ def json_elements(col) -> Column:
     return F.when(whole & text.startswith("[") & (found["depth"] == 0) & found["one"], found["items"])
 
 
-def _is_key(member: Column, key: str) -> Column:
-    """Whether a member has this key, however it is written."""
+def _key(member: Column) -> Column:
+    """A member's key, however it is written."""
     raw = F.regexp_extract(member["head"], r'("(?:[^"\\]++|\\.)*+")\s*:$', 1)
     plain = F.substring(raw, F.lit(2), F.length(raw) - 2)
-    return F.when(raw.contains("\\"), F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")).otherwise(plain) == key
+    return F.when(raw.contains("\\"), F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")).otherwise(plain)
 
 
 def set_member(members, key: str, raw_value) -> Column:
     """Members with the value of ``key`` replaced by a raw JSON value wherever it occurs, or added at the end; a NULL value changes nothing."""
     members, raw = _c(members), _c(raw_value) if not isinstance(raw_value, str) else F.lit(raw_value)
     space = lambda m, rx: F.regexp_extract(m["body"], rx, 0)
-    changed = F.transform(members, lambda m: F.when(_is_key(m, key), F.struct(m["head"].alias("head"), F.concat(space(m, r"^\s*"), raw, space(m, r"\s*$")).alias("body"))).otherwise(m))
-    added = F.concat(members, F.array(F.struct(F.concat(json_string_literal(F.lit(key)), F.lit(":")).alias("head"), raw.alias("body"))))
-    return F.when(raw.isNull(), members).otherwise(F.when(F.exists(members, lambda m: _is_key(m, key)), changed).otherwise(added))
+    new = lambda m: F.struct(m["head"].alias("head"), F.concat(space(m, r"^\s*"), raw, space(m, r"\s*$")).alias("body"), m["key"].alias("key"))
+    changed = F.transform(members, lambda m: F.when(m["key"] == key, new(m)).otherwise(m))
+    added = F.concat(members, F.array(F.struct(F.concat(json_string_literal(F.lit(key)), F.lit(":")).alias("head"), raw.alias("body"), F.lit(key).alias("key"))))
+    return F.when(raw.isNull(), members).otherwise(F.when(F.exists(members, lambda m: m["key"] == key), changed).otherwise(added))
 
 
 def remove_member(members, key: str) -> Column:
-    return F.filter(_c(members), lambda m: ~_is_key(m, key))
+    return F.filter(_c(members), lambda m: m["key"] != key)
 
 
 def object_text(members, before) -> Column:
