@@ -128,7 +128,11 @@ def slots(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataF
 
 
 def accepted_patterns(tokens: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, kind, confidence) after the rounds over the pattern-instance graph."""
+    """(pattern, kind, confidence) after the rounds over the pattern-instance graph.
+
+    Slots are counted in all documents, but only for patterns that can be accepted and have a token to add: a pattern's
+    hits are never more than its tokens, so one with too many slots in the documents that hold tokens is out already.
+    """
     seeded = tokens.filter("seed IS NOT NULL").groupBy("pattern", "seed").agg(F.count("*").alias("n"), F.countDistinct("instance").alias("seeds"))
     support = seeded.groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by(F.col("seed"), F.struct(F.col("n"), -F.col("seed"))).alias("kind")).filter(F.col("seeds") >= MIN_SEEDS)
     support = store(support, "patterns")
@@ -136,7 +140,12 @@ def accepted_patterns(tokens: DataFrame, docs: DataFrame, text_col: str = "text"
         tokens.join(support.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max((F.col("seed").isNotNull()).cast("double")).alias("sure")),
         "graph",
     )
-    seen = store(slots(docs, support, text_col).join(support, "pattern"), "slots")
+    wanted = support.join(tokens.filter("NOT base").select("pattern").distinct(), "pattern", "left_semi")
+    most = graph.groupBy("pattern").agg(F.sum("n").alias("most"))
+    with_tokens = docs.filter(text_or_empty(docs, text_col).rlike("[0-9@]"))
+    at_least = slots(with_tokens, wanted, text_col).withColumnRenamed("slots", "least")
+    possible = store(wanted.join(most, "pattern").join(at_least, "pattern").filter(F.col("most") >= MIN_CONFIDENCE * F.col("least")).select(*support.columns), "possible")
+    seen = store(slots(docs, possible, text_col).join(possible, "pattern"), "slots")
     weights = graph.groupBy("instance").agg(F.max("sure").alias("weight"))
     for k in range(ROUNDS):
         scored = graph.join(weights, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("weight")).alias("hits"))
