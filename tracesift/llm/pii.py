@@ -22,6 +22,7 @@ from .support import store, text_or_empty
 KINDS = ["email", "ip", "card", "phone"]  # order among spans that start together
 TOKEN = 4  # the kind number of identifier-like tokens
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 3
+FILTER_BITS = 1 << 18  # of the patterns' hashes, which every task gets: 32 kB
 
 _MARK, _OTHER = "\x01", "\x02"
 _LOCAL, _DOMAIN = rf"[A-Za-z0-9._%+{_MARK}-]", "[A-Za-z0-9-]"
@@ -119,12 +120,29 @@ def _contexts(base: DataFrame, tokens: DataFrame) -> DataFrame:
     ).filter("pattern IS NOT NULL AND (seed IS NOT NULL OR NOT base)")
 
 
+def _bitmap(patterns: DataFrame) -> bytes:
+    """A bit for the hash of each pattern: ``FILTER_BITS`` bits whatever their number."""
+    out = bytearray(FILTER_BITS // 8)
+    for r in patterns.select(F.pmod(F.xxhash64("pattern"), F.lit(FILTER_BITS)).alias("at")).distinct().collect():
+        out[r["at"] // 8] |= 1 << r["at"] % 8
+    return bytes(out)
+
+
+def _has_bit(bits: bytes, pair: Column) -> Column:
+    at = F.pmod(F.xxhash64(pair), F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
 def slots(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, slots): how often its two words occur with a word after them, in all documents."""
-    words = _words(text_or_empty(docs, text_col))
+    """(pattern, slots): how often its two words occur with a word after them, in all documents.
+
+    Word pairs whose hash no pattern has stay inside the document; the others, some by chance, are compared.
+    """
+    words, bits = _words(text_or_empty(docs, text_col)), _bitmap(patterns)
     pairs = F.expr("transform(sequence(0, size(w) - 3), i -> concat(w[i], ' ', w[i + 1]))")
-    held = docs.select(words.alias("w")).filter("size(w) > 2")
-    return held.select(F.explode(pairs).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("slots"))
+    held = docs.select(words.alias("w")).filter("size(w) > 2").select(F.explode(F.filter(pairs, lambda x: _has_bit(bits, x))).alias("pattern"))
+    return held.join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("slots"))
 
 
 def accepted_patterns(tokens: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
