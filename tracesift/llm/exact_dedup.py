@@ -59,7 +59,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null text counts as empty, and all empty texts are equal. Of equal texts the row with the largest
     id stays. Rows that repeat an id and its text are one document and share its verdict; they count in
     group_size. A null id is smaller than any other; a group of null ids only has a null keep_id and
-    stays. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    stays. Texts of any length are compared whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     narrow = store(docs.select(docs[id_col].alias("doc_id"), F.unhex(F.sha2(text_or_empty(docs, text_col), 256)).alias("digest")), "digests")
     maps, bits = repeated_filter(narrow, "digest")

@@ -174,7 +174,7 @@ def language_of(text: Column, model: dict) -> Column:
 def predict_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred (a learned language, or ``und``), score from 0 to 1.
 
-    Very long texts are read in pieces; repeated rows stay repeated; null ids stay null; other columns are
+    Of languages with equal votes the one with the larger summed margins wins. Very long texts are read in pieces; repeated rows stay repeated; null ids stay null; other columns are
     ignored; an empty table gives an empty result.
     """
     return docs.select(docs[id_col].alias("doc_id"), language_of(docs[text_col], model).alias("p")).select("doc_id", "p.lang_pred", "p.score")

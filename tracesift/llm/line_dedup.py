@@ -46,7 +46,8 @@ def drop_boilerplate_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_i
 
     Lines end at a line feed; they are equal when equal without the white space around them, and blank
     lines are never removed. Null text counts as one blank line. A null site spreads nothing. Repeated
-    rows get the same result; null ids stay null; other columns are ignored.
+    rows get the same result; null ids stay null; other columns are ignored. Very long texts are read whole; an
+    empty table gives an empty result.
     """
     narrow = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("t"), docs[site_col].cast("string").alias("site"))
     doc = F.struct(F.xxhash64("doc_id", "t").alias("a"), F.xxhash64(F.lit(1), "doc_id", "t").alias("b"))

@@ -179,7 +179,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``spans``: array of (start, rank, kind, end), code points, end exclusive, by start, then kind as in
     ``KINDS``; base spans all stay. ``added``: those that the bootstrapping found. Null text counts as
     empty and has no span; repeated rows stay repeated and count as documents of their own; null ids
-    stay null; other columns are ignored; an empty table gives an empty result.
+    stay null; very long texts are read whole; other columns are ignored; an empty table gives an empty result. A
+    pattern whose seeds are evenly of two kinds has the kind listed first.
     """
     pieces = store(find_pieces(docs, id_col, text_col), "placed")
     base = pieces.filter(F.col("kind") < TOKEN).filter(passes())

@@ -255,6 +255,7 @@ def encode_and_decode(docs: DataFrame, model_file: str, kind: str = "bpe", id_co
     """(doc_id, ids, n_tokens, decoded_sha256, round_trip) for each input row, in one pass over the texts.
 
     ``round_trip``: decoding the ids gives the text back (U+2581 in a text reads as a space, as in the library).
+    An empty table gives an empty result.
     """
     schema = "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
     return _narrow(docs, id_col, text_col).mapInArrow(partial(_round_trip_batches, model_file=model_file, kind=kind), schema)

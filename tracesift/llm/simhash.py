@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text counts as empty; texts without words have fingerprint 0 and are linked like any other.
     Equal fingerprints are one class: only distinct fingerprints are compared, so groups of copies of
     any size cost one comparison. Repeated rows stay repeated. Null ids take part but name no
-    component (component_id is null where no id is known). Other columns are ignored.
+    component (component_id is null where no id is known). Very long texts are read whole, in pieces. Other
+    columns are ignored. An empty table gives an empty result.
     """
     fps = store(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     named = _classes(fps, radius, shard_limit).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")

@@ -54,7 +54,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """One row per input row: id, host, path, rule (host and path of the winning rule, else null), verdict.
 
     Null URLs and URLs without ``://`` have an empty host and path, fit no rule and get ``default``.
-    Repeated rows stay repeated; other columns are ignored, whatever their names; an empty table or an
+    Very long URLs are judged whole. Repeated rows stay repeated; other columns are ignored, whatever their names; an empty table or an
     empty rule list works. Distinct (host, path) pairs are judged once, so a URL or host that holds a
     third of the rows costs one judgement; the verdicts come back by an equi-join on the pair.
 
