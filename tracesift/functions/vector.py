@@ -33,11 +33,6 @@ def euclidean_distance(x, c) -> Column:
     return F.sqrt(squared_distance(x, c))
 
 
-def centroid_literal(centroids: Sequence[Sequence[float]]) -> Column:
-    """k x d centroid matrix as an array<array<double>> literal (a model parameter of bounded size)."""
-    return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centroids])
-
-
 BLOCK_CELLS = 1 << 20  # row x centroid distances that a task holds at once
 UNROLL_LIMIT = 256  # plan choice only, same terms in the same order; k * d terms written out as plain arithmetic (larger trees overflow codegen method limits)
 

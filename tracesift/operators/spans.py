@@ -58,10 +58,6 @@ def root_spans(spans: DataFrame, operation: str | None = ROOT_OPERATION) -> Data
     return spans.filter(cond)
 
 
-def service_spans(spans: DataFrame, match: str = "suffix") -> DataFrame:
-    return spans.filter(is_service_span(match))
-
-
 def request_tags(spans: DataFrame, tag: str = REQUEST_TAG) -> DataFrame:
     """One row per matching tag: (trace_id, span_id, duration, request)."""
     return spans.select(

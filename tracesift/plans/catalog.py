@@ -6,6 +6,8 @@ unless the cap is the operator (a page, a limit, a sample).
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
@@ -1534,7 +1536,7 @@ def q_stream_threshold(spark, sf):
 
 # ============================================================================ train / score entries (J21, J22), schema application (A5)
 
-_PRED_TAIL = open(__file__.replace("catalog.py", "predict_traces.sql")).read()
+_PRED_TAIL = files(__package__).joinpath("predict_traces.sql").read_text()
 
 
 def _request_bodies(spark, sf):
