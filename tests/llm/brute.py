@@ -63,3 +63,39 @@ def components(nodes: list, linked) -> dict:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {n: find(n) for n in nodes}
+
+
+def plain_words(text: str | None) -> list[str]:
+    """Lower-cased words between ASCII characters that are no letters or digits."""
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").lower())
+
+
+def in_order(a: list[str], b: list[str]) -> int:
+    """How many words of ``a`` are in ``b`` in the same order."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        above = row
+    return above[-1]
+
+
+def holds_item(item: list[str], words: list[str], step: int = 64) -> bool:
+    """Whether some passage has a part of the item, by comparing each with each.
+
+    80% of the part in order, or 60% with four of its last five words, or 40% with all five; parts under 8 words stand together.
+    """
+    n = max(1, -(-len(item) // step))
+    for j in range(n):
+        part = item[len(item) * j // n : len(item) * (j + 1) // n]
+        for at in range(0, len(words), step):
+            passage = words[at : at + 2 * step]
+            if 0 < len(part) < 8:
+                if any(passage[i : i + len(part)] == part for i in range(len(passage))):
+                    return True
+            elif part:
+                share, answer = in_order(part, passage) / len(part), in_order(part[-5:], passage)
+                if share >= 0.8 or (share >= 0.6 and answer >= 4) or (share >= 0.4 and answer == 5):
+                    return True
+    return False

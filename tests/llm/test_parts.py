@@ -282,7 +282,7 @@ def test_benchmark_in_blocks_and_paraphrases(spark):
     d = spark.createDataFrame([(i, " ".join(w).upper() if i == 1 else ", ".join(w)) for i, w in docs.items()], "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(90, None), (91, ""), (92, "?!"), (None, "only once somewhere")], "item_id long, text string")
     for block in (512, 3):
-        got = {r["doc_id"]: list(r["item_ids"]) for r in decontaminate.find_contamination(d, b, block_items=block).collect() if r["contaminated"]}
+        got = {r["doc_id"]: list(r["item_ids"]) for r in decontaminate.find_contamination(d, b, block_parts=block).collect() if r["contaminated"]}
         assert got == {1: [0], 2: [1], 3: [7], 4: [8]}
 
 
@@ -319,8 +319,34 @@ def test_items_of_frequent_words_are_found(spark, n_docs, copies, every):
 
 def test_words_needed_bound_every_match():
     rnd = random.Random(10)
-    q = decontaminate.Queries([(i, " ".join(rnd.choice("abcdefghijkl") for _ in range(n))) for i, n in enumerate((1, 3, 7, 8, 9, 10, 25, 64, 70))])
+    q = decontaminate.Queries([" ".join(rnd.choice("abcdefghijkl") for _ in range(n)).encode() for n in (1, 3, 7, 8, 9, 10, 25, 35, 64)])
     for _ in range(300):
         words = [rnd.randrange(-1, len(q.terms)) for _ in range(rnd.choice([4, 20, 128]))]
         for p, ids in enumerate(q.parts):
-            assert not decontaminate.matches(q, p, words) or sum(t in words for t in ids) >= q.needed[p]
+            assert not decontaminate.matches(q, p, words, near=False) or sum(t in words for t in ids) >= q.needed[p]
+            assert decontaminate.matches(q, p, words) >= decontaminate.matches(q, p, words, near=False)
+
+
+def test_held_positions():
+    rnd = random.Random(12)
+    q = decontaminate.Queries([" ".join(rnd.choice("abcdefghij") for _ in range(n)).encode() for n in (8, 9, 20, 33)])
+    chunks = [[rnd.randrange(len(q.terms)) for _ in range(rnd.randint(1, 9))] for _ in range(30)]
+    joined = np.array([k % 7 != 6 and k != 29 for k in range(30)])
+    ids, chunk = np.concatenate(chunks), np.repeat(np.arange(30), [len(c) for c in chunks])
+    got = decontaminate._held(q, ids, chunk, joined, np.array([1, 3]))
+    for k in range(30):
+        words = set(chunks[k]) | (set(chunks[k + 1]) if joined[k] else set())
+        assert got[k].tolist() == [sum(t in words for t in q.parts[p]) for p in (1, 3)]
+
+
+def test_latent_search_chooses_the_candidates(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 8)))
+    item, docs = [word() for _ in range(40)], [[word() for _ in range(200)] for _ in range(40)]
+    half = [w if k % 2 or k >= 35 else word() for k, w in enumerate(item)]
+    docs[3][60:60] = half
+    docs[4][60:60] = half[:35]  # without the answer
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(item)) for i in (7, 8, 8)], "item_id long, text string")
+    got = {r["doc_id"]: (list(r["item_ids"]), r["lcs"]) for r in decontaminate.find_contamination(d, b).collect() if r["contaminated"]}
+    assert set(got) == {3} and got[3][0] == [7, 8] and 0.5 <= got[3][1] < 0.6

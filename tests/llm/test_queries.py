@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: DuckDB twins, libraries, plain versions, held-out accuracy."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from tracesift.llm import decontaminate, queries, simhash
 from tracesift.plans.verify import digest, duck
 
 from ..conftest import SF_SMALL
-from .brute import base_spans, components, digest_of_spans, repeated_bytes
+from .brute import base_spans, components, digest_of_spans, holds_item, plain_words, repeated_bytes
 
 
 @pytest.fixture(scope="module")
@@ -119,17 +120,30 @@ def test_words_before_an_identifier_may_be_identifiers(spark):
 
 def test_contamination(spark, documents):
     got = _rows(spark, "op9_decontaminate")
+    items = {r["item_id"]: plain_words(r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()}
+    found = {(i, k) for i, d in documents.items() for k, item in items.items() if holds_item(item, plain_words(d["text"]))}
+    hits = {(i, k) for i, r in got.items() for k in r["item_ids"]}
+    assert found and hits <= found and len(hits) >= 0.9 * len(found)
+    assert {i for i, r in got.items() if r["contaminated"]} == {i for i, _ in hits}
+
+
+def test_paraphrases_are_found_by_the_latent_search(spark, documents):
+    rnd = random.Random(3)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
-    q, found = decontaminate.Queries(items), {}
-    for i, d in documents.items():
-        ids = q.ids(decontaminate.words_of(d["text"] or "")).tolist()
-        for k in range(0, len(ids), decontaminate.STRIDE):
-            for p in range(len(q.parts)):
-                if decontaminate.matches(q, p, ids[k : k + 2 * decontaminate.STRIDE]):
-                    found.setdefault(i, set()).add(q.items[p])
-    hits = {i: set(r["item_ids"]) for i, r in got.items() if r["contaminated"]}
-    assert found and sum(len(hits.get(i, set()) & s) for i, s in found.items()) >= 0.9 * sum(map(len, found.values()))
-    assert set(hits) <= set(found)
+    items += [(1000 + k, " ".join(plain_words(documents[i]["text"])[20 : 20 + n])) for k, (i, n) in enumerate(zip(sorted(documents)[:12], (15, 25, 40, 60) * 3))]
+    pool = [w for d in documents.values() for w in plain_words(d["text"])]
+    texts, planted = [], []
+    for k, (item, text) in enumerate(items):
+        words = plain_words(text)
+        words[:-5] = [rnd.choice(pool) if rnd.random() < 0.5 else w for w in words[:-5]]  # half of the wording, not the answer
+        around = plain_words(documents[sorted(documents)[k + 20]]["text"])
+        texts.append((k, " ".join(around[:50] + words + around[50:])))
+        if len(words) >= 8 and holds_item(plain_words(text), plain_words(texts[-1][1])):
+            planted.append((k, item))
+    docs = spark.createDataFrame(texts + [(1000 + i, d["text"]) for i, d in documents.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], i) for r in decontaminate.find_contamination(docs, bench).collect() for i in r["item_ids"]}
+    assert len(planted) >= 12 and len(got & set(planted)) >= 0.9 * len(planted)
 
 
 def test_languages(spark, documents):
