@@ -780,6 +780,120 @@ def q_gmm(spark, sf):
     return m.transform(p).select("p_partkey", "prediction", "dist", "anomaly", "incomplete")
 
 
+_DETECTORS = {  # the training table and the fit of each clustering entry; K-means until its centres stand still
+    "kmeans_simple": ("J5 J21", None, {"k": 10, "max_iter": 200}),
+    "kmeans_onehot": ("J6", _part, {"k": 10, "max_iter": 200}),
+    "kmeans_onehot_norm": ("J7", _part, {"k": 10, "scale": True, "max_iter": 200}),
+    "bisecting_kmeans": ("J8", _part, {"k": 10, "algorithm": "bisecting", "scale": True}),
+    "gmm": ("J9", _part, {"k": 4, "algorithm": "gmm", "scale": True}),
+}
+
+
+def _centre_gap(rows, centres, cluster_col):
+    """The farthest that a centre is from its members' mean in any column, in that column's standard deviations."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    vec = array_to_vector("features")
+    spread = rows.agg(Summarizer.std(vec)).first()[0].toArray()
+    spread[spread == 0] = 1.0
+    means = rows.groupBy(cluster_col).agg(Summarizer.mean(vec).alias("m")).collect()  # at most k rows
+    return max(float((abs(r["m"].toArray() - centres[r[cluster_col]]) / spread).max()) for r in means)
+
+
+def _detector_laws(spark, train, model):
+    import json
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from ..functions.vector import euclidean_distance
+    from ..operators import cluster as cl
+    from ..session import shared_dir, stored
+
+    rows = stored(model.transform(train).drop("features_raw").select("features", "prediction", "dist", "anomaly", "incomplete"), "detector-laws")
+    whole = rows.filter("NOT incomplete")
+    centres = F.from_json(F.lit(json.dumps(model.centroids)), "array<array<double>>")  # folded into one literal
+    every = whole.select("prediction", "dist", F.transform(centres, lambda c: euclidean_distance(F.col("features"), c)).alias("all"))
+    near = every.agg(
+        F.every((F.abs(F.col("dist") - F.array_min("all")) <= 1e-9 * (1 + F.col("dist"))) & (F.abs(F.get("all", F.col("prediction")) - F.col("dist")) <= 1e-9 * (1 + F.col("dist")))).alias("near")
+    ).first()[0]
+    per = {r["prediction"]: r for r in whole.groupBy("prediction").agg(F.max("dist").alias("most"), F.avg("dist").alias("mean")).collect()}  # at most k rows
+    score = sum(r["mean"] for r in per.values()) / model.k
+    limits = all(abs(model.max_dist[k] - (per[k]["most"] if k in per else 0.0)) <= 1e-9 * (1 + model.max_dist[k]) for k in range(model.k))
+    if model.meta["algorithm"] == "kmeans":
+        centred = _centre_gap(whole, model.centroids, "prediction") <= 0.01
+    elif model.meta["algorithm"] == "bisecting":  # members by the path through the tree, which the nearest leaf need not be
+        own = model.clusterer.transform(model.prepare.transform(train.dropna(subset=model.meta["numeric"]))).select(F.col("features").alias("v"), F.col("prediction").alias("leaf"))
+        centred = _centre_gap(own.select(vector_to_array("v").alias("features"), "leaf"), model.centroids, "leaf") <= 0.01
+    else:  # the components' means, by their weights, make up the mean of all rows
+        mean = whole.agg(Summarizer.mean(array_to_vector("features"))).first()[0].toArray()
+        mixed = sum(w * g.mean.toArray() for w, g in zip(model.clusterer.weights, model.clusterer.gaussians))
+        centred = bool((abs(mixed - mean) <= 1e-6 * (1 + abs(mean))).all()) and abs(sum(model.clusterer.weights) - 1) < 1e-9
+    path = shared_dir(spark, "law-model")
+    cl.save_detector(model, spark, path)
+    again = cl.load_detector(spark, path)
+    counted = rows.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("incomplete"), F.col("anomaly")).otherwise(0)).alias("flagged"), F.sum(F.col("incomplete").cast("long")).alias("missing")).first()
+    return (
+        counted["n"], model.k, counted["flagged"] == 0, bool(near), limits, bool(centred), abs(model.score - score) <= 1e-9 * (1 + score),
+        again.centroids == model.centroids and again.max_dist == model.max_dist and again.score == model.score,
+    )
+
+
+def _register_detector_laws(name, ids, table, options):
+    counted = "SELECT count(*) AS n_rows FROM part" if table else O.with_spans(O.REQ_CTE, O.durs_cte(), O.trace_features_sql(), body="SELECT count(*) AS n_rows FROM tf")
+
+    @query(f"{name}_laws", ids, f"""
+SELECT n_rows, CAST({options["k"]} AS INTEGER) AS k, true AS within_limits, true AS nearest, true AS limits_are_maxima,
+  true AS centred, true AS score_recomputed, true AS reloads FROM ({counted}) c""")
+    def build(spark, sf):
+        """A clustering detector against what its fit must obey: all rows scored, the nearest centre assigned, limits that are
+        the farthest training rows (so none is flagged), centres that are means, the score recomputed, the saved table read back."""
+        from ..operators import cluster as cl
+
+        if table:
+            train, numbers, names = table(spark, sf), ["p_size", "p_retailprice"], ["p_brand", "p_type"]
+        else:
+            (train, numbers), names = _trace_feature_frame(spark, sf), []
+        laws = ["within_limits", "nearest", "limits_are_maxima", "centred", "score_recomputed", "reloads"]
+        row = _detector_laws(spark, train, cl.fit_detector(train, numbers, names, **options))
+        return spark.createDataFrame([row], "n_rows long, k int, " + ", ".join(f"{n} boolean" for n in laws))
+
+
+for _name, (_ids, _table, _options) in _DETECTORS.items():
+    _register_detector_laws(_name, _ids, _table, _options)
+
+
+@query("forest_summary_laws", "J17 J20 D14", O.with_spans(O.REQ_CTE, body="""
+SELECT count(*) AS n_rows, true AS flagged_share, true AS flags_follow_threshold, true AS counts_agree, true AS scores_in_range FROM req"""))
+def q_forest_summary_laws(spark, sf):
+    """A fitted forest's summary: every row has a score, those at the threshold or above are flagged, and about a tenth of them are."""
+    from ..operators.iforest import IForest
+
+    data = _assembled_traces(spark, sf)
+    model = IForest(numTrees=50, maxSamples=128, contamination=0.1, seed=7, idCol="Id").fit(data)
+    s = model.summary(data)
+    scored = model.transform(data)
+    seen = scored.agg(
+        F.count("*").alias("n_rows"),
+        F.sum("prediction").alias("flagged"),
+        F.min(F.when(F.col("prediction") > 0, F.col("anomalyScore"))).alias("least_flagged"),
+        F.max(F.when(F.col("prediction") == 0, F.col("anomalyScore"))).alias("most_clear"),
+        # rows that tie with the threshold's value fall on one side of it together
+        F.every(F.col("anomalyScore").between(0.0, 1.0)).alias("scores_in_range"),
+    )
+    ties = scored.groupBy("anomalyScore").agg(F.count("*").alias("t")).agg(F.max("t").alias("tied"))
+    flagged, scores = s.anomalies.agg(F.count("*").alias("a")), s.scores.agg(F.count("*").alias("b"))
+    both = seen.select("*", F.lit(flagged.first()[0]).alias("a"), F.lit(scores.first()[0]).alias("b"), F.lit(ties.first()[0]).alias("tied"))
+    return both.select(
+        "n_rows",
+        (F.abs(F.col("flagged") - 0.1 * F.col("n_rows")) <= F.col("tied") + 1).alias("flagged_share"),
+        F.coalesce(F.col("least_flagged") > F.col("most_clear"), F.lit(False)).alias("flags_follow_threshold"),
+        ((F.col("a") == F.col("flagged")) & (F.col("b") == F.col("n_rows"))).alias("counts_agree"),
+        "scores_in_range",
+    )
+
+
 # ============================================================================ isolation forest
 
 # A hand-made two-tree forest over lineitem (l_quantity, l_discount, l_tax), psi = 16,
