@@ -130,3 +130,20 @@ def test_no_payload_is_lost(spark):
     assert '"meta":{"k":1,"k":2}' in rows[0]["request"] and rows[0]["edited"]
     assert [rows[i]["request"] for i in (1, 2, 3)] == texts[1:4] and not any(rows[i]["edited"] for i in (1, 2, 3))
     assert rows[4]["request"].startswith('{"a":1.10,')
+
+
+def test_members_are_found_without_a_fold_unless_deeply_nested(spark):
+    """The pattern and the fold over the tokens take a text apart alike; only texts beyond the pattern's depth need the fold."""
+    from tracesift.functions import json as js
+
+    deep = '{"a":' + '{"b":[' * 9 + "1" + "]}" * 9 + ',"k":2}'
+    texts = ['{"a": [1,{"x":"},"}] ,"k\\"" : "v","a":null}', "{ }", ' {"b":{"c":[[],{}]}} ', deep]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fold = F.transform(js._folded_members(F.col("t")), lambda m: m["head"])
+    rows = df.select("t", F.col("t").rlike(js._OBJECT).alias("flat"), F.transform(js.json_members("t"), lambda m: m["head"]).alias("heads"), fold.alias("fold")).collect()
+    assert {r["t"]: r["flat"] for r in rows} == {t: t != deep for t in texts}
+    assert all(r["heads"] == r["fold"] for r in rows) and [len(r["heads"]) for r in rows if r["t"] == deep] == [2]
+    arrays = ["[1,{\"a\":[2,\"],\"]}, \"s\" ]", "[]", "[" * 9 + "]" * 9 + " ", "[1,,2", "[1]x"]
+    df = spark.createDataFrame([(t,) for t in arrays], "t string")
+    rows = df.select("t", F.trim("t").rlike(js._ARRAY).alias("flat"), js.json_elements("t").alias("e"), js._folded_elements(F.trim("t")).alias("fold")).collect()
+    assert all(r["e"] == r["fold"] for r in rows) and [r["flat"] for r in sorted(rows, key=lambda r: arrays.index(r["t"]))] == [True, True, False, False, False]
