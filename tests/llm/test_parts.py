@@ -350,3 +350,14 @@ def test_latent_search_chooses_the_candidates(spark):
     b = spark.createDataFrame([(i, " ".join(item)) for i in (7, 8, 8)], "item_id long, text string")
     got = {r["doc_id"]: (list(r["item_ids"]), r["lcs"]) for r in decontaminate.find_contamination(d, b).collect() if r["contaminated"]}
     assert set(got) == {3} and got[3][0] == [7, 8] and 0.5 <= got[3][1] < 0.6
+
+
+def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark, monkeypatch):
+    from tracesift.llm import decontaminate as dc
+
+    fitted, basis = [], dc.latent_basis
+    monkeypatch.setattr(dc, "latent_basis", lambda matrix, *a, **k: fitted.append(matrix.count()) or basis(matrix, *a, **k))
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('alpha beta w', id) AS text")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    assert dc.find_contamination(docs.unionAll(docs), bench).count() == 8000
+    assert fitted == [4000 + 1]

@@ -3,8 +3,8 @@
 1. Passages: windows of ``2 * STRIDE`` words, ``STRIDE`` apart, over whole documents. Benchmark items
    are cut in parts of at most ``STRIDE`` words, so a part lies whole in some passage.
 2. TF-IDF over the benchmark's words: passage frequencies are counted over all documents.
-3. A randomised SVD gives the latent space. The matrix (the parts, each weighing as much as the whole
-   sample, and the passages of a bounded sample of about ``SAMPLE_DOCS`` documents) stays in a table;
+3. A randomised SVD gives the latent space. The matrix (the parts, each weighing as much as all
+   passages, and the passages of all distinct documents, as counts of benchmark words) stays in a table;
    each product with it is a Spark job that sums blocks of terms. Its rank is the number of parts and
    ``CORPUS_RANK`` more, so the space holds the parts' own directions and the leading ones of the corpus.
    Every passage of every document is then projected and searched.
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from .support import row_slices, store, text_or_empty, utf8_buffers
 
 STRIDE, CORPUS_RANK, EXTRA = 64, 32, 16
-BLOCK_PARTS, SAMPLE_DOCS, FIT_PARTS = 512, 2000, 8
+BLOCK_PARTS, FIT_TASKS = 512, 32  # a task of a product sends terms x rank numbers, so their number is fixed
 MIN_COSINE = 0.45
 VERBATIM, PARAPHRASE, LOOSE, ANSWER, ANSWER_SHARE, SHORT = 0.8, 0.6, 0.4, 5, 0.8, 8
 COMMON, LEAST = 0.05, 0.05  # terms in more than this share of the passages have the least weight
-_LIMIT, _BLOCK_TERMS = 1 << 20, 512
+_LIMIT, _BLOCK_TERMS, _BLOCK_ROWS = 1 << 20, 512, 128
 
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -161,36 +161,45 @@ def _frequency_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["term", "n"])
 
 
-def _row_batches(batches: Iterator[pa.RecordBatch], queries, idf: np.ndarray, length: float) -> Iterator[pa.RecordBatch]:
-    """Passages as sparse rows of one length."""
+def _row_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
+    """Passages as sparse rows: the benchmark's words in each and how often it has them; those without one are left out."""
     q: Queries = queries.value
+    terms = len(q.terms)
     for _, texts in _texts(batches, 0):
         ids, first, text = _chunks(q, texts)
-        ends = np.r_[first[1:], len(ids)]
-        terms, weights = [], []
-        for k in range(len(first)):
-            stop = ends[k + 1] if k + 1 < len(first) and text[k + 1] == text[k] else ends[k]
-            t, n = np.unique(ids[first[k] : stop], return_counts=True)
-            t, w = t[t >= 0], (n * np.where(t >= 0, idf[t], 0.0))[t >= 0]
-            size = np.linalg.norm(w)
-            if size > 0:
-                terms.append(t[w > 0])
-                weights.append(w[w > 0] * (length / size))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))], names=["terms", "weights"])
+        if not len(first):
+            continue
+        use = np.flatnonzero(ids >= 0)
+        joined = np.r_[text[1:] == text[:-1], False]
+        own = (np.searchsorted(first, use, "right") - 1) * terms + ids[use]
+        before = own - terms
+        pairs, times = np.unique(np.r_[own, before[(before >= 0) & joined[before // terms]]], return_counts=True)
+        passage, term = np.divmod(pairs, terms)
+        at = np.r_[np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]), len(passage)] if len(passage) else np.zeros(1)
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (term, times)]
+        yield pa.RecordBatch.from_arrays(lists, names=["terms", "times"])
 
 
 # ---- randomised SVD -------------------------------------------------------------------------------
-def _product_batches(batches: Iterator[pa.RecordBatch], right: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
-    """This task's share of A'(A right), or of (A right)'(A right), in blocks of rows."""
+def _product_batches(batches: Iterator[pa.RecordBatch], right: np.ndarray, idf: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
+    """This task's share of A'(A right), or of (A right)'(A right), in blocks of rows; ``length`` is that of A's rows."""
     total = np.zeros((right.shape[1] if gram else right.shape[0], right.shape[1]))
-    for b in batches:
-        for terms, weights in zip(b.column(0), b.column(1)):
-            t, w = terms.values.to_numpy(zero_copy_only=False), weights.values.to_numpy(zero_copy_only=False)
-            y = w @ right[t]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _BLOCK_ROWS):
+            b = whole.slice(lo, _BLOCK_ROWS)
+            sizes = np.diff(b.column(0).offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            t = b.column(0).flatten().to_numpy()
+            w = b.column(1).flatten().to_numpy() * idf[t]
+            w *= np.repeat(b.column(2).to_numpy() / np.sqrt(np.add.reduceat(w * w, starts)), sizes)
+            y = np.add.reduceat(right[t] * w[:, None], starts, axis=0)
             if gram:
-                total += np.outer(y, y)
-            else:
-                total[t] += np.outer(w, y)
+                total += y.T @ y
+                continue
+            order = np.argsort(t, kind="stable")
+            by = t[order]
+            at = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+            total[by[at]] += np.add.reduceat((y[np.repeat(np.arange(len(sizes)), sizes)] * w[:, None])[order], at, axis=0)
     at = range(0, len(total), _BLOCK_TERMS)
     yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK_TERMS for i in at], pa.int32()), pa.array([total[i : i + _BLOCK_TERMS].tobytes() for i in at], pa.binary())], names=["block", "data"])
 
@@ -200,19 +209,19 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "data": [total.tobytes()]})
 
 
-def _product(matrix: DataFrame, right: np.ndarray, gram: bool = False) -> np.ndarray:
-    shares = matrix.mapInArrow(partial(_product_batches, right=right, gram=gram), "block int, data binary")
+def _product(matrix: DataFrame, right: np.ndarray, idf: np.ndarray, gram: bool = False) -> np.ndarray:
+    shares = matrix.mapInArrow(partial(_product_batches, right=right, idf=idf, gram=gram), "block int, data binary")
     blocks = shares.groupBy("block").applyInPandas(_summed, "block int, data binary").orderBy("block").collect()  # terms x rank numbers
     return np.concatenate([np.frombuffer(r["data"]) for r in blocks]).reshape(-1, right.shape[1])
 
 
-def latent_basis(matrix: DataFrame, terms: int, rank: int, seed: int = 7) -> np.ndarray:
+def latent_basis(matrix: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors (terms x rank) of the stored sparse rows, by a randomised range finder with one power step."""
-    width = min(terms, rank + EXTRA)
-    basis = np.random.default_rng(seed).standard_normal((terms, width))
+    width = min(len(idf), rank + EXTRA)
+    basis = np.random.default_rng(seed).standard_normal((len(idf), width))
     for _ in range(2):
-        basis, _ = np.linalg.qr(_product(matrix, basis))
-    _, turn = np.linalg.eigh(_product(matrix, basis, gram=True))
+        basis, _ = np.linalg.qr(_product(matrix, basis, idf))
+    _, turn = np.linalg.eigh(_product(matrix, basis, idf, gram=True))
     return basis @ turn[:, ::-1][:, :rank]
 
 
@@ -249,7 +258,10 @@ def _search_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Rec
             if not often.all():
                 rare, there = used[~often], chunk[~often]
                 starts = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-                sums[there[starts]] = np.add.reduceat(weighted[rare], starts, axis=0)
+                for lo in range(0, len(starts), _BLOCK_ROWS):  # a few passages at a time: words x rank numbers
+                    at = starts[lo : lo + _BLOCK_ROWS]
+                    stop = starts[lo + _BLOCK_ROWS] if lo + _BLOCK_ROWS < len(starts) else len(rare)
+                    sums[there[at]] = np.add.reduceat(weighted[rare[at[0] : stop]], at - at[0], axis=0)
             sums[:-1] += times.astype(np.float32) @ weighted[common]
             joined = np.r_[text[1:] == text[:-1], False]
             passage = sums[:-1] + np.where(joined[:, None], sums[1:], 0)
@@ -276,7 +288,7 @@ def _digest(c: Column) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def _block_hits(texts: DataFrame, docs: int, queries: Queries) -> DataFrame:
+def _block_hits(texts: DataFrame, queries: Queries) -> DataFrame:
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(queries)
     terms = len(queries.terms)
@@ -287,16 +299,14 @@ def _block_hits(texts: DataFrame, docs: int, queries: Queries) -> DataFrame:
     share = seen[:-1] / max(1.0, seen[-1])
     idf = np.where(share > COMMON, 0.0, np.log((1 + seen[-1]) / (1 + seen[:-1]))) + LEAST
 
-    steps = 1 << 20
-    rate = min(steps, -(-steps * SAMPLE_DOCS // max(1, docs)))
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(steps)) < rate).select("text").distinct()  # copies come in once
     names = {k: w for w, k in queries.terms.items()}
     own = spark.createDataFrame([(b" ".join(names[t] for t in p).decode("utf-8", "replace"),) for p in queries.parts], "text string")
-    row = "terms array<long>, weights array<double>"
-    passages = store(sample.repartition(FIT_PARTS).mapInArrow(partial(_row_batches, queries=sent, idf=idf, length=1.0), row), "passages")
+    rows = lambda df: df.mapInArrow(partial(_row_batches, queries=sent), "terms array<int>, times array<int>")
+    passages = store(rows(texts.select("text").distinct()), "passages")  # copies come in once
     weight = max(1.0, float(passages.count())) ** 0.5
-    parts = store(own.repartition(FIT_PARTS).mapInArrow(partial(_row_batches, queries=sent, idf=idf, length=weight), row), "parts")
-    basis = latent_basis(passages.unionByName(parts), terms, min(len(queries.parts) + CORPUS_RANK, terms))
+    parts = store(rows(own), "parts").withColumn("length", F.lit(weight))
+    matrix = passages.withColumn("length", F.lit(1.0)).unionByName(parts).coalesce(FIT_TASKS)
+    basis = latent_basis(matrix, idf, min(len(queries.parts) + CORPUS_RANK, terms))
     weighted = (basis * idf[:, None]).astype(np.float32)
     latent = np.array([weighted[p].sum(axis=0) for p in queries.parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
@@ -311,13 +321,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     cut = store(items.distinct().mapInArrow(_part_batches, "item_id long, part_key binary, part binary"), "items")
     parts = cut.select("part").distinct()
     blocks = max(1, -(-parts.count() // block_parts))
-    count = texts.count()
     hits = texts.sparkSession.createDataFrame([], "text_key binary, part_key binary, lcs double, cosine double")
     for k in range(blocks):
         block = parts.filter(F.pmod(F.xxhash64("part"), F.lit(blocks)) == k)
         queries = Queries(sorted(bytes(r["part"]) for r in block.collect()))  # a block of the query set
         if queries.parts:
-            hits = hits.unionByName(_block_hits(texts, count, queries))
+            hits = hits.unionByName(_block_hits(texts, queries))
     best = hits.groupBy("text_key", "part_key").agg(F.max(F.struct("lcs", "cosine")).alias("best"))  # repeated texts and passages: once
     held = cut.select("item_id", "part_key").distinct()
     return best.join(held, "part_key").select("text_key", "item_id", "best.lcs", "best.cosine")
