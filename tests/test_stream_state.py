@@ -121,3 +121,70 @@ def test_forwarding_inside_the_stream(spark, tmp_path):
     got = agent.run_to_table(kept, spark, "forward")
     assert sorted(r["span_id"] for r in got.filter("trace_id <> 0").collect()) == [100, 101, 102, 300]
     assert set(got.columns) == set(SPAN_SCHEMA.names)
+
+
+class _Cells:
+    """A state variable of one trace in memory, which counts its writes."""
+
+    def __init__(self):
+        self.kept, self.writes = {}, 0
+
+    def exists(self):
+        return () in self.kept
+
+    def get(self):
+        return self.kept[()]
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+        self.writes += 1
+
+    def iterator(self):
+        return iter(list(self.kept.items()))
+
+    def clear(self):
+        self.kept.clear()
+
+
+class _Handle(_Cells):
+    def __init__(self):
+        self.value, self.map, self.timers = _Cells(), _Cells(), []
+
+    def getMapState(self, *_):
+        return self.map
+
+    def getValueState(self, *_):
+        return self.value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_a_micro_batch_writes_the_state_of_a_trace_once(most):
+    from pyspark.sql import Row
+
+    def span(n, seq=0, duration=5):
+        return Row(span_id=n, event_ms=n, arrival_seq=seq, is_root=n == 0, operation_name="Payment-service", duration=duration, requests=None)
+
+    handle, traces = _Handle(), state.CompleteTraces(8, ("Payment-service",), 1000)
+    traces.MOST = most
+    traces.init(handle)
+    assert list(traces.handleInputRows((1,), iter([span(n) for n in range(5)] + [span(4, 3, 9), span(4, 2, 70)]), handle)) == []
+    assert (handle.value.writes, handle.map.writes, len(handle.timers)) == (1, 0, 1)
+    (row,) = traces.handleInputRows((1,), iter([span(4, 1, 80), *(span(n) for n in range(3, 30)), span(20, 9, 6)]), handle)
+    assert (row.n_spans, row.complete, row.TraceD, row.SpanD1, row.last_event_ms) == (30, True, 5, 9, 29)
+    assert handle.value.writes == 2 and (handle.map.writes == 0) == (most == 4096) and not handle.map.kept
+    assert list(traces.handleInputRows((1,), iter([span(40)]), handle)) == []
