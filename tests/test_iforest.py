@@ -175,3 +175,22 @@ def test_bootstrap_fit(spark, data):
     m = IForest(numTrees=8, maxSamples=64, seed=3, bootstrap=True).fit(data)
     for _, g in m.nodes.groupby("tree_id"):
         assert g.loc[g["feature_index"] < 0, "num_instance"].sum() == 64
+
+
+def test_a_walk_holds_a_block_of_rows_whatever_the_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tracesift.operators.iforest import NODE_SCHEMA, _Forest, grow_tree
+
+    rng = np.random.default_rng(5)
+    nodes = pd.DataFrame([r for t in range(60) for r in grow_tree(rng.random((128, 4)), t, 3, 7, 1.0)], columns=NODE_SCHEMA.names)
+    forest, X = _Forest(nodes), rng.random((8000, 4))
+    tracemalloc.start()
+    means = forest.mean_path_lengths(X)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # one array of rows x trees has 3.8 MB, a walk has about ten
+    assert (means == forest._walk(X).mean(axis=1)).all() and (forest.path_lengths(X) == forest._walk(X)).all()

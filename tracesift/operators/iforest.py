@@ -148,6 +148,9 @@ def grow_tree(X: np.ndarray, tree_id: int, seed: int, limit: int, max_features:
 # ----------------------------------------------------------------------------- scoring (vectorised)
 
 
+WALK_CELLS = 1 << 15  # rows x trees that a walk holds at once
+
+
 class _Forest:
     """Flat node arrays of all trees, for vectorised walks."""
 
@@ -163,12 +166,11 @@ class _Forest:
         self.right = np.where(nodes["right_child"].to_numpy() >= 0, nodes["right_child"].to_numpy() + off, -1)
         self.leaf_c = _c_array(nodes["num_instance"].to_numpy())
 
-    def path_lengths(self, X: np.ndarray) -> np.ndarray:
-        """H9: path length of every row in every tree, shape (rows, trees)."""
-        m = X.shape[0]
-        pos = np.tile(self.offsets, (m, 1))
+    def _walk(self, X: np.ndarray) -> np.ndarray:
+        """Path lengths of a block of rows in every tree, shape (rows, trees)."""
+        pos = np.tile(self.offsets, (X.shape[0], 1))
         depth = np.zeros(pos.shape, dtype=np.float64)
-        rows = np.repeat(np.arange(m), len(self.offsets)).reshape(pos.shape)
+        rows = np.arange(X.shape[0])[:, None]
         while True:
             f = self.feature[pos]
             live = f >= 0
@@ -181,6 +183,25 @@ class _Forest:
             depth += live
         return depth + self.leaf_c[pos]
 
+    def _blocks(self, X: np.ndarray):
+        """Ranges of rows with at most ``WALK_CELLS`` places in trees together: what a walk holds does not grow with the batch."""
+        step = max(1, WALK_CELLS // max(1, len(self.offsets)))
+        return ((lo, min(lo + step, len(X))) for lo in range(0, len(X), step))
+
+    def path_lengths(self, X: np.ndarray) -> np.ndarray:
+        """H9: path length of every row in every tree, shape (rows, trees)."""
+        out = np.zeros((len(X), len(self.offsets)))
+        for lo, hi in self._blocks(X):
+            out[lo:hi] = self._walk(X[lo:hi])
+        return out
+
+    def mean_path_lengths(self, X: np.ndarray) -> np.ndarray:
+        """The mean path length of every row."""
+        out = np.zeros(len(X))
+        for lo, hi in self._blocks(X):
+            out[lo:hi] = self._walk(X[lo:hi]).mean(axis=1)
+        return out
+
 
 def _score_udf(nodes: pd.DataFrame, num_samples: int):
     forest = _Forest(nodes)
@@ -191,7 +212,7 @@ def _score_udf(nodes: pd.DataFrame, num_samples: int):
         if len(feats) == 0:
             return pd.Series([], dtype="float64")
         X = np.stack([np.asarray(v, dtype=np.float64) for v in feats.to_numpy()])
-        mean = forest.path_lengths(X).mean(axis=1)
+        mean = forest.mean_path_lengths(X)
         return pd.Series(np.power(2.0, -mean / norm) if norm > 0 else np.ones(len(mean)))
 
     return score
