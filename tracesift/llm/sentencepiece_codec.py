@@ -33,7 +33,7 @@ from .support import row_slices, text_or_empty
 
 MARK = "▁"
 CACHE_WORDS, CACHE_PAIRS, CACHED_LEN = 200_000, 300_000, 48
-_LIMIT = 1 << 22
+_LIMIT = 1 << 20  # bytes of text whose words a worker holds at once
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
