@@ -67,3 +67,41 @@ def test_children_of_a_hot_parent(spark):
     out = sp.children_by_parent(s).filter("trace_id = 7")
     r = out.groupBy("parent_span_id").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.countDistinct("position").alias("d")).orderBy(F.desc("n")).first()
     assert (r["last"] + 1, r["d"]) == (r["n"], r["n"])
+
+
+def test_last_arrivals_move_only_the_columns_kept(spark):
+    s = _spans(spark, n_hot=50, n_small=4)
+    again = s.withColumn("arrival_seq", F.col("arrival_seq") + 1).withColumn("parent_span_id", F.col("parent_span_id") + 5)
+    both = s.unionByName(again)
+    cols = ("trace_id", "span_id", "parent_span_id")
+    got, want = sp.dedup_spans(both, keep=cols), sp.dedup_spans(both).select(*cols)
+    assert got.columns == list(cols) and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "process_tags" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_compute_their_input_once_and_keep_its_columns(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    s = _spans(spark, n_hot=200, n_small=3)
+    out = process_runs(s.mapInArrow(count, s.schema), num_partitions=4)
+    assert out.columns == [*s.columns, "run_id"]
+    assert out.drop("run_id").exceptAll(s).count() == 0 and out.count() == s.count()
+    assert seen.value == s.count()
+
+
+def test_tree_computes_its_spans_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    s = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 2)], "trace_id long, span_id long, parent_span_id long")
+    assert sp.trace_tree(s.mapInArrow(count, s.schema)).count() == 3
+    assert seen.value == 3
