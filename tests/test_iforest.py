@@ -194,3 +194,30 @@ def test_a_walk_holds_a_block_of_rows_whatever_the_batch():
     tracemalloc.stop()
     assert peak < 8 << 20  # one array of rows x trees has 3.8 MB, a walk has about ten
     assert (means == forest._walk(X).mean(axis=1)).all() and (forest.path_lengths(X) == forest._walk(X)).all()
+
+
+def test_walks_agree_with_steps_node_by_node():
+    from tracesift.operators.iforest import NODE_SCHEMA, _Forest, avg_path_length_value, grow_tree
+
+    rng = np.random.default_rng(5)
+    grown = [r for t in range(4) for r in grow_tree(rng.random((40, 3)), t, 2, 4, 1.0)]
+    grown += grow_tree(np.zeros((5, 3)), 4, 2, 4, 1.0)  # a tree of one leaf
+    nodes = pd.DataFrame(grown, columns=NODE_SCHEMA.names)
+    X = np.vstack([rng.random((60, 3)), [[np.nan, 0.5, 0.5], [0.5, np.nan, np.nan]]])
+    got = _Forest(nodes).path_lengths(X)
+    for t, tree in nodes.groupby("tree_id"):
+        by = {r.id: r for r in tree.itertuples()}
+        for i, x in enumerate(X):
+            r, steps = by[0], 0
+            while r.feature_index >= 0:
+                r, steps = by[r.left_child if x[r.feature_index] < r.feature_value else r.right_child], steps + 1
+            assert abs(got[i, t] - steps - avg_path_length_value(r.num_instance)) < 1e-12
+
+
+def test_a_walk_takes_a_step_a_level():
+    from tracesift.operators.iforest import NODE_SCHEMA, _Forest, grow_tree
+
+    rng = np.random.default_rng(6)
+    nodes = pd.DataFrame([r for t in range(40) for r in grow_tree(rng.random((256, 19)), t, 3, 8, 1.0)], columns=NODE_SCHEMA.names)
+    forest = _Forest(nodes)
+    assert forest.levels <= 8 and (forest.column >= 0).all()  # no check of live places a step

@@ -165,23 +165,25 @@ class _Forest:
         self.left = np.where(nodes["left_child"].to_numpy() >= 0, nodes["left_child"].to_numpy() + off, -1)
         self.right = np.where(nodes["right_child"].to_numpy() >= 0, nodes["right_child"].to_numpy() + off, -1)
         self.leaf_c = _c_array(nodes["num_instance"].to_numpy())
+        # a leaf leads back to itself, so that a walk takes the same steps at every place
+        inner, own = self.feature >= 0, np.arange(len(self.feature))
+        self.column = np.where(inner, self.feature, 0)
+        self.child = np.stack([np.where(inner, self.right, own), np.where(inner, self.left, own)], axis=1).ravel()
+        self.depth, level, here = np.zeros(len(own)), 0, self.offsets
+        while len(here := here[inner[here]]):
+            level += 1
+            here = np.r_[self.left[here], self.right[here]]
+            self.depth[here] = level
+        self.levels = level
 
     def _walk(self, X: np.ndarray) -> np.ndarray:
         """Path lengths of a block of rows in every tree, shape (rows, trees)."""
         pos = np.tile(self.offsets, (X.shape[0], 1))
-        depth = np.zeros(pos.shape, dtype=np.float64)
-        rows = np.arange(X.shape[0])[:, None]
-        while True:
-            f = self.feature[pos]
-            live = f >= 0
-            if not live.any():
-                break
-            fl = np.where(live, f, 0)
-            x = X[rows, fl]
-            nxt = np.where(x < self.value[pos], self.left[pos], self.right[pos])
-            pos = np.where(live, nxt, pos)
-            depth += live
-        return depth + self.leaf_c[pos]
+        start, cells = (np.arange(X.shape[0]) * X.shape[1])[:, None], np.ascontiguousarray(X).ravel()
+        for _ in range(self.levels):
+            x = cells.take(self.column.take(pos) + start)
+            pos = self.child.take(2 * pos + (x < self.value.take(pos)))
+        return self.depth.take(pos) + self.leaf_c.take(pos)
 
     def _blocks(self, X: np.ndarray):
         """Ranges of rows with at most ``WALK_CELLS`` places in trees together: what a walk holds does not grow with the batch."""
