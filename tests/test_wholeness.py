@@ -52,6 +52,14 @@ def test_distance_forms_agree(spark, monkeypatch, scale, gap):
     assert nearest() == written_out
 
 
+def test_distances_to_ten_centroids_are_not_interpreted(spark):
+    """190 written-out terms make a method of more than the 8,000 bytes that the JVM compiles."""
+    df = spark.createDataFrame([(0, [0.0] * 19)], "i int, x array<double>")
+    near = df.select(vector.nearest_centroid_values("x", [[float(j)] * 19 for j in range(10)]).alias("b"))
+    assert "ArrowEvalPython" in near._jdf.queryExecution().executedPlan().toString()
+    assert near.first()["b"]["cluster"] == 0
+
+
 def test_rows_with_nulls_are_kept_and_flagged(spark):
     rows = [(i, float(i % 5), float(i % 3)) for i in range(20)] + [(20, None, 1.0)]
     df = spark.createDataFrame(rows, "i int, a double, b double")
