@@ -361,3 +361,60 @@ def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark, monkeypa
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     assert dc.find_contamination(docs.unionAll(docs), bench).count() == 8000
     assert fitted == [4000 + 1]
+
+
+@given(st.lists(st.text(alphabet="aBcİßΣ中 ._-\n\x1c\x00é"), min_size=1, max_size=6))
+def test_term_ids_of_texts(texts):
+    q = decontaminate.Queries([b"a b c", "ab ß σ i̇".encode(), "é 中".encode()])
+    ids, sizes = q.text_ids(texts)
+    assert ids.tolist() == [q.terms.get(w, -1) for t in texts for w in decontaminate.words_of(t)]
+    assert sizes.tolist() == [len(decontaminate.words_of(t)) for t in texts]
+
+
+def _read(batches, rows):
+    for b in batches:
+        rows.add(b.num_rows)
+        yield b
+
+
+def test_fit_reads_texts_and_passages_once(spark, monkeypatch):
+    from functools import partial
+
+    read, fitted, basis = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), decontaminate.latent_basis
+    counted = lambda df, rows: df.mapInArrow(partial(_read, rows=rows), df.schema)
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda matrix, *a, **k: basis(counted(matrix, fitted), *a, **k))
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('alpha beta w', id) AS text")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    assert len(decontaminate.find_contamination(counted(docs, read), bench).collect()) == 500
+    assert fitted.value == 500 + 1
+    assert read.value == 2 * 500  # words, and the rows that get the verdicts
+
+
+def test_latent_basis_spans_the_leading_directions(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_GRAM_TERMS", 7)  # blocks that do not end where the terms do
+    rng = np.random.default_rng(4)
+    idf, rows, dense = rng.uniform(0.1, 3, 30), [], []
+    for k in range(200):
+        terms = np.sort(rng.choice(10 if k % 2 else 30, rng.integers(1, 9), replace=False)).astype("<i2")
+        times = rng.integers(1, 5, len(terms)).astype("<i2")
+        rows.append((terms.tobytes(), times.tobytes(), 14.0 if k < 3 else 1.0))
+        row = np.zeros(30)
+        row[terms] = times * idf[terms]
+        dense.append(row * rows[-1][2] / np.linalg.norm(row))
+    matrix = spark.createDataFrame(rows, "terms binary, times binary, length double").repartition(5)
+    got = decontaminate.latent_basis(matrix, idf, 30)
+    want, a = np.linalg.svd(np.array(dense))[2].T, np.array(dense)
+    assert np.allclose(got.T @ got, np.eye(30))
+    for k in (1, 3, 10):
+        assert np.linalg.norm(a @ got[:, :k]) >= 0.999 * np.linalg.norm(a @ want[:, :k])
+
+
+def test_parts_are_grouped_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_TERMS", 20)
+    parts = [b" ".join(b"w%d" % (k * 5 + i) for i in range(12)) for k in range(6)] + [b" ".join(b"v%d" % i for i in range(30))]
+    groups = list(decontaminate._by_terms(parts))
+    assert [p for g in groups for p in g] == parts and [len(g) for g in groups] == [2, 2, 2, 1]
+    docs = spark.createDataFrame([(k, f"before {p.decode()} after") for k, p in enumerate(parts)] + [(9, "before after")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, p.decode()) for k, p in enumerate(parts)], "item_id long, text string")
+    got = {r["doc_id"]: list(r["item_ids"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert all(k in got[k] for k in range(7)) and got[9] == []

@@ -24,22 +24,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .support import row_slices, store, text_or_empty, utf8_buffers
 
 STRIDE, CORPUS_RANK, EXTRA = 64, 32, 16
-BLOCK_PARTS, FIT_TASKS = 512, 32  # a task of a product sends terms x rank numbers, so their number is fixed
+BLOCK_PARTS, MAX_TERMS = 512, 4096
+FIT_ROWS, FIT_TASKS = 1 << 18, 32  # a task of the fit sends half of terms x terms numbers, so it has many rows
 MIN_COSINE = 0.45
 VERBATIM, PARAPHRASE, LOOSE, ANSWER, ANSWER_SHARE, SHORT = 0.8, 0.6, 0.4, 5, 0.8, 8
 COMMON, LEAST = 0.05, 0.05  # terms in more than this share of the passages have the least weight
-_LIMIT, _BLOCK_TERMS, _BLOCK_ROWS = 1 << 20, 512, 128
+_LIMIT, _BLOCK_TERMS, _GRAM_TERMS, _BLOCK_ROWS = 1 << 20, 512, 64, 128
+_ID = np.dtype("<i2")  # MAX_TERMS fits
 
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -86,8 +88,19 @@ class Queries:
             out[t] = out.get(t, 0) | 1 << k
         return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+    def text_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Term ids of the words (:func:`words_of`) of all texts in a row (-1: no benchmark word), and the words of each text."""
+        folded = [t.lower().encode() + b" " for t in texts]
+        raw = np.frombuffer(b"".join(folded).translate(_FOLD), np.uint8)
+        letter = raw != 32
+        begins, ends = np.flatnonzero(letter & np.r_[True, ~letter[:-1]]), np.flatnonzero(~letter & np.r_[False, letter[:-1]])
+        letter[ends] = True  # one space stays behind each word
+        offsets = np.r_[0, np.cumsum(ends - begins + 1)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letter])])
+        known = pa.array([w + b" " for w in self.terms], pa.binary())  # in the order of their ids
+        ids = pc.index_in(words, value_set=known).fill_null(-1).to_numpy().astype(_ID)
+        upto = np.searchsorted(ends, np.cumsum(list(map(len, folded))))
+        return ids, np.diff(upto, prepend=0)
 
 
 def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -125,48 +138,59 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 # ---- passages -------------------------------------------------------------------------------------
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _word_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
+    """Each text as its words' term ids in order."""
+    q: Queries = queries.value
     for b in batches:
-        offs, _ = utf8_buffers(b.column(column))
+        offs, _ = utf8_buffers(b.column(1))
         for lo, hi in row_slices(np.diff(offs), _LIMIT):
             part = b.slice(lo, hi - lo)
-            yield part, part.column(column).to_pylist()
+            ids, sizes = q.text_ids(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), _packed(ids, sizes)], names=["text_key", "ids"])
 
 
-def _chunks(q: Queries, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term ids of all texts in a row (-1: no benchmark word), the first word of each chunk, the text of each chunk."""
-    lists = [words_of(t) for t in texts]
-    ids = np.concatenate([np.zeros(0, np.int64), *(q.ids(w) for w in lists)])
-    sizes = np.array([len(w) for w in lists], np.int64)
-    n = -(-sizes // STRIDE)
-    text = np.repeat(np.arange(len(lists)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return ids, np.repeat(np.cumsum(sizes) - sizes, n) + nth * STRIDE, text
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of ``sizes`` values as bytes."""
+    offsets = np.r_[0, np.cumsum(sizes * values.itemsize)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _frequency_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
-    q: Queries = queries.value
-    seen, passages = np.zeros(len(q.terms) + 1, np.int64), 0
-    for _, texts in _texts(batches, 0):
-        ids, first, text = _chunks(q, texts)
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending (``np.unique`` hashes, which takes longer than this sort)."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=values[:1] - 1) > 0]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their rows, the term ids of all their words (-1: no benchmark word), the first word and the text of each chunk."""
+    for b in batches:
+        offs, raw = utf8_buffers(b.column(column))
+        for lo, hi in row_slices(np.diff(offs), _LIMIT // 2):
+            sizes = np.diff(offs[lo : hi + 1]) // _ID.itemsize
+            n = -(-sizes // STRIDE)
+            text = np.repeat(np.arange(hi - lo), n)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+            ids = raw[offs[lo] : offs[hi]].view(_ID).astype(np.int64)
+            yield b.slice(lo, hi - lo), ids, np.repeat(np.cumsum(sizes) - sizes, n) + nth * STRIDE, text
+
+
+def _frequency_batches(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(terms + 1, np.int64)
+    for rows, ids, first, text in _texts(batches, 0):
         if not len(first):
             continue
-        chunk = np.searchsorted(first, np.arange(len(ids)), "right") - 1
-        here = np.flatnonzero(ids >= 0)
-        pairs = np.unique(chunk[here] * len(seen) + ids[here])  # by chunk: each is counted for the passage it opens
-        seen += np.bincount(pairs % len(seen), minlength=len(seen))
-        passages += len(first)
-    seen[-1] = passages
+        copies = rows.column(1).to_numpy()[text]
+        use = np.flatnonzero(ids >= 0)
+        chunk, term = np.divmod(_distinct((np.searchsorted(first, use, "right") - 1) * terms + ids[use]), terms)  # by chunk: each is counted for the passage it opens
+        seen[:-1] += np.bincount(term, copies[chunk], terms).astype(np.int64)
+        seen[-1] += copies.sum()
     some = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["term", "n"])
 
 
-def _row_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
-    """Passages as sparse rows: the benchmark's words in each and how often it has them; those without one are left out."""
-    q: Queries = queries.value
-    terms = len(q.terms)
-    for _, texts in _texts(batches, 0):
-        ids, first, text = _chunks(q, texts)
+def _row_batches(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    """Passages as sparse rows: the benchmark's words in each, ascending, and how often it has them; those without one are left out."""
+    for _, ids, first, text in _texts(batches, 0):
         if not len(first):
             continue
         use = np.flatnonzero(ids >= 0)
@@ -175,31 +199,46 @@ def _row_batches(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.Reco
         before = own - terms
         pairs, times = np.unique(np.r_[own, before[(before >= 0) & joined[before // terms]]], return_counts=True)
         passage, term = np.divmod(pairs, terms)
-        at = np.r_[np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]), len(passage)] if len(passage) else np.zeros(1)
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (term, times)]
-        yield pa.RecordBatch.from_arrays(lists, names=["terms", "times"])
+        sizes = np.bincount(passage)
+        sizes = sizes[sizes > 0]
+        yield pa.RecordBatch.from_arrays([_packed(term.astype(_ID), sizes), _packed(times.astype(_ID), sizes)], names=["terms", "times"])
 
 
 # ---- randomised SVD -------------------------------------------------------------------------------
-def _product_batches(batches: Iterator[pa.RecordBatch], right: np.ndarray, idf: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
-    """This task's share of A'(A right), or of (A right)'(A right), in blocks of rows; ``length`` is that of A's rows."""
-    total = np.zeros((right.shape[1] if gram else right.shape[0], right.shape[1]))
+def _gram_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """This task's share of A'A, its upper half in blocks of rows; ``length`` is that of A's rows."""
+    terms = len(idf)
+    total = np.zeros(terms * terms)
     for whole in batches:
         for lo in range(0, whole.num_rows, _BLOCK_ROWS):
             b = whole.slice(lo, _BLOCK_ROWS)
-            sizes = np.diff(b.column(0).offsets.to_numpy())
-            starts = np.cumsum(sizes) - sizes
-            t = b.column(0).flatten().to_numpy()
-            w = b.column(1).flatten().to_numpy() * idf[t]
-            w *= np.repeat(b.column(2).to_numpy() / np.sqrt(np.add.reduceat(w * w, starts)), sizes)
-            y = np.add.reduceat(right[t] * w[:, None], starts, axis=0)
-            if gram:
-                total += y.T @ y
-                continue
-            order = np.argsort(t, kind="stable")
-            by = t[order]
-            at = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-            total[by[at]] += np.add.reduceat((y[np.repeat(np.arange(len(sizes)), sizes)] * w[:, None])[order], at, axis=0)
+            offs, raw = utf8_buffers(b.column(0))
+            sizes = np.diff(offs) // _ID.itemsize
+            ends = np.cumsum(sizes)
+            t = raw.view(_ID).astype(np.int64)
+            w = utf8_buffers(b.column(1))[1].view(_ID) * idf[t]
+            w *= np.repeat(b.column(2).to_numpy() / np.sqrt(np.add.reduceat(w * w, ends - sizes)), sizes)
+            after = np.repeat(ends, sizes) - np.arange(len(t))  # a word and those that follow it in its passage
+            other = np.arange(after.sum()) + np.repeat(np.arange(len(t)) - np.cumsum(after) + after, after)
+            np.add.at(total, np.repeat(t * terms, after) + t[other], np.repeat(w, after) * w[other])
+    total = total.reshape(terms, terms)
+    for k, lo in enumerate(range(0, terms, _GRAM_TERMS)):
+        share = total[lo : lo + _GRAM_TERMS, lo:]
+        if share.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([share.tobytes()], pa.binary())], names=["block", "data"])
+
+
+def _product_batches(batches: Iterator[pa.RecordBatch], right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """This task's share of A'A right, from blocks of rows of the upper half of A'A."""
+    total = np.zeros(right.shape)
+    for b in batches:
+        for block, data in zip(b.column(0).to_pylist(), b.column(1)):
+            lo = block * _GRAM_TERMS
+            hi = min(lo + _GRAM_TERMS, len(right))
+            upper = np.frombuffer(data.as_buffer()).reshape(hi - lo, -1)
+            total[lo:hi] += upper @ right[lo:]
+            total[lo:] += upper.T @ right[lo:hi]
+            total[lo:hi] -= np.diagonal(upper)[:, None] * right[lo:hi]
     at = range(0, len(total), _BLOCK_TERMS)
     yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK_TERMS for i in at], pa.int32()), pa.array([total[i : i + _BLOCK_TERMS].tobytes() for i in at], pa.binary())], names=["block", "data"])
 
@@ -209,19 +248,27 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "data": [total.tobytes()]})
 
 
-def _product(matrix: DataFrame, right: np.ndarray, idf: np.ndarray, gram: bool = False) -> np.ndarray:
-    shares = matrix.mapInArrow(partial(_product_batches, right=right, idf=idf, gram=gram), "block int, data binary")
-    blocks = shares.groupBy("block").applyInPandas(_summed, "block int, data binary").orderBy("block").collect()  # terms x rank numbers
-    return np.concatenate([np.frombuffer(r["data"]) for r in blocks]).reshape(-1, right.shape[1])
+def _sums(shares: DataFrame) -> DataFrame:
+    return shares.groupBy("block").applyInPandas(_summed, "block int, data binary")
+
+
+def _product(gram: DataFrame, right: np.ndarray) -> np.ndarray:
+    shares = gram.coalesce(FIT_TASKS).mapInArrow(partial(_product_batches, right=right), "block int, data binary")
+    blocks = _sums(shares).orderBy("block").collect()  # terms x rank numbers
+    return np.concatenate([np.frombuffer(r["data"]) for r in blocks]).reshape(right.shape)
 
 
 def latent_basis(matrix: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the stored sparse rows, by a randomised range finder with one power step."""
+    """Right singular vectors (terms x rank) of the stored sparse rows, by a randomised range finder with one power step.
+
+    A passage has far fewer words than the space has directions, so the rows are read once, for A'A; the products are with that table.
+    """
     width = min(len(idf), rank + EXTRA)
+    gram = store(_sums(matrix.mapInArrow(partial(_gram_batches, idf=idf), "block int, data binary")), "gram")
     basis = np.random.default_rng(seed).standard_normal((len(idf), width))
     for _ in range(2):
-        basis, _ = np.linalg.qr(_product(matrix, basis, idf))
-    _, turn = np.linalg.eigh(_product(matrix, basis, idf, gram=True))
+        basis, _ = np.linalg.qr(_product(gram, basis))
+    _, turn = np.linalg.eigh(basis.T @ _product(gram, basis))
     return basis @ turn[:, ::-1][:, :rank]
 
 
@@ -231,9 +278,13 @@ def _held(q: Queries, ids: np.ndarray, chunk: np.ndarray, joined: np.ndarray, pa
     n, terms = len(joined), len(q.terms)
     column = np.full(len(q.parts), -1)
     column[parts] = np.arange(len(parts))
-    pairs = np.unique(chunk * terms + ids)
+    wanted = np.zeros(terms, bool)
+    for p in parts.tolist():
+        wanted[q.parts[p]] = True
+    some = wanted[ids]
+    pairs = _distinct(chunk[some] * terms + ids[some])
     before = pairs - terms
-    passage, term = np.divmod(np.unique(np.r_[pairs, before[(before >= 0) & joined[before // terms]]]), terms)
+    passage, term = np.divmod(_distinct(np.r_[pairs, before[(before >= 0) & joined[before // terms]]]), terms)
     sizes = q.starts[term + 1] - q.starts[term]
     at = np.arange(sizes.sum()) + np.repeat(q.starts[term] - np.cumsum(sizes) + sizes, sizes)
     passage, there, times = np.repeat(passage, sizes), column[q.holder[at]], q.times[at]
@@ -246,8 +297,7 @@ def _search_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Rec
     slot = np.full(len(weighted), -1)
     slot[common] = np.arange(len(common))  # fewer than STRIDE / COMMON, so a matrix product sums them
     unweighted = np.flatnonzero(q.unweighted(common))
-    for rows, texts in _texts(batches, 1):
-        ids, first, text = _chunks(q, texts)
+    for rows, ids, first, text in _texts(batches, 1):
         found: dict[tuple[int, bytes], tuple[float, float]] = {}
         if len(first):
             use = np.flatnonzero(ids >= 0)
@@ -292,26 +342,43 @@ def _block_hits(texts: DataFrame, queries: Queries) -> DataFrame:
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(queries)
     terms = len(queries.terms)
-    counted = texts.select("text").mapInArrow(partial(_frequency_batches, queries=sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    read = texts.mapInArrow(partial(_word_batches, queries=sent), "text_key binary, ids binary")
+    words = store(read.groupBy("text_key").agg(F.first("ids").alias("ids"), F.count("*").alias("copies")), "words")  # copies come in once
+    counted = words.select("ids", "copies").mapInArrow(partial(_frequency_batches, terms=terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(terms + 1)
     for r in counted:  # at most one row a benchmark word
         seen[r["term"]] = r["n"]
     share = seen[:-1] / max(1.0, seen[-1])
     idf = np.where(share > COMMON, 0.0, np.log((1 + seen[-1]) / (1 + seen[:-1]))) + LEAST
 
-    names = {k: w for w, k in queries.terms.items()}
-    own = spark.createDataFrame([(b" ".join(names[t] for t in p).decode("utf-8", "replace"),) for p in queries.parts], "text string")
-    rows = lambda df: df.mapInArrow(partial(_row_batches, queries=sent), "terms array<int>, times array<int>")
-    passages = store(rows(texts.select("text").distinct()), "passages")  # copies come in once
-    weight = max(1.0, float(passages.count())) ** 0.5
+    own = spark.createDataFrame([(np.array(p, _ID).tobytes(),) for p in queries.parts], "ids binary")
+    rows = lambda df: df.mapInArrow(partial(_row_batches, terms=terms), "terms binary, times binary")
+    passages = store(rows(words.select("ids")), "passages")
+    count = passages.count()
+    weight = max(1.0, float(count)) ** 0.5
     parts = store(rows(own), "parts").withColumn("length", F.lit(weight))
-    matrix = passages.withColumn("length", F.lit(1.0)).unionByName(parts).coalesce(FIT_TASKS)
+    matrix = passages.withColumn("length", F.lit(1.0)).unionByName(parts).coalesce(min(FIT_TASKS, -(-count // FIT_ROWS) + 1))
     basis = latent_basis(matrix, idf, min(len(queries.parts) + CORPUS_RANK, terms))
     weighted = (basis * idf[:, None]).astype(np.float32)
     latent = np.array([weighted[p].sum(axis=0) for p in queries.parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     model = spark.sparkContext.broadcast((queries, weighted, latent.astype(np.float32), np.flatnonzero(share > COMMON)))
-    return store(texts.mapInArrow(partial(_search_batches, model=model), "text_key binary, part_key binary, lcs double, cosine double"), "hits")
+    return store(words.select("text_key", "ids").mapInArrow(partial(_search_batches, model=model), "text_key binary, part_key binary, lcs double, cosine double"), "hits")
+
+
+def _by_terms(parts: list[bytes]) -> Iterator[list[bytes]]:
+    """The parts in groups of at most ``MAX_TERMS`` different words."""
+    group: list[bytes] = []
+    terms: set[bytes] = set()
+    for part in parts:
+        words = set(part.split())
+        if group and len(terms | words) > MAX_TERMS:
+            yield group
+            group, terms = [], set()
+        group.append(part)
+        terms |= words
+    if group:
+        yield group
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_parts: int = BLOCK_PARTS) -> DataFrame:
@@ -324,9 +391,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     hits = texts.sparkSession.createDataFrame([], "text_key binary, part_key binary, lcs double, cosine double")
     for k in range(blocks):
         block = parts.filter(F.pmod(F.xxhash64("part"), F.lit(blocks)) == k)
-        queries = Queries(sorted(bytes(r["part"]) for r in block.collect()))  # a block of the query set
-        if queries.parts:
-            hits = hits.unionByName(_block_hits(texts, queries))
+        for group in _by_terms(sorted(bytes(r["part"]) for r in block.collect())):  # a block of the query set
+            hits = hits.unionByName(_block_hits(texts, Queries(group)))
     best = hits.groupBy("text_key", "part_key").agg(F.max(F.struct("lcs", "cosine")).alias("best"))  # repeated texts and passages: once
     held = cut.select("item_id", "part_key").distinct()
     return best.join(held, "part_key").select("text_key", "item_id", "best.lcs", "best.cosine")
