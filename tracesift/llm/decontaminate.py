@@ -2,11 +2,12 @@
 
 1. Passages: windows of ``2 * STRIDE`` words, ``STRIDE`` apart, over whole documents. Benchmark items
    are cut in parts of at most ``STRIDE`` words, so a part lies whole in some passage.
-2. TF-IDF over the benchmark's words: passage frequencies are counted over all documents.
+2. TF-IDF over the benchmark's words: passage frequencies are counted over all documents. Each text is taken
+   apart once; its words are kept as term ids, copies of a text once with their number.
 3. A randomised SVD gives the latent space. The matrix (the parts, each weighing as much as all
-   passages, and the passages of all distinct documents, as counts of benchmark words) stays in a table;
-   each product with it is a Spark job that sums blocks of terms. Its rank is the number of parts and
-   ``CORPUS_RANK`` more, so the space holds the parts' own directions and the leading ones of the corpus.
+   passages, and the passages of all distinct documents, as counts of benchmark words) stays in a table A;
+   a Spark job sums A'A in blocks of terms, and the products with that table are Spark jobs, too. The rank is the
+   number of parts and ``CORPUS_RANK`` more, so the space holds the parts' own directions and the leading ones of the corpus.
    Every passage of every document is then projected and searched.
 4. Passages with a cosine of ``MIN_COSINE`` or more to a part are its candidates. They are compared word by
    word: longest common subsequence, and the part's answer (its last ``ANSWER`` words). A rewording that
@@ -14,8 +15,8 @@
 5. Parts that can be matched by words in more than ``COMMON`` of the passages alone have no direction of
    their own: a passage with the words of ``Queries.needed`` positions is a candidate of such a part, too.
 
-The benchmark is a query set: its distinct parts are taken in blocks of about ``BLOCK_PARTS``, so what a
-task or the driver holds (terms x rank numbers, word masks) does not grow with the benchmark's rows, the
+The benchmark is a query set: its distinct parts are taken in blocks of about ``BLOCK_PARTS`` with at most
+``MAX_TERMS`` different words, so what a task (terms x terms numbers) or the driver (terms x rank) holds does not grow with the benchmark's rows, the
 length of its items, their copies or the corpus.
 """
 
