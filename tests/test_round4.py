@@ -93,3 +93,35 @@ def test_flush_groups_compute_a_micro_batch_once(spark, tmp_path):
     got = spark.read.schema("trace_id long, flush_group long, place long").parquet(out).orderBy("trace_id").collect()
     assert [r["flush_group"] for r in got] == [0] * 4 + [1] * 4 + [2] * 2
     assert seen.value == 10
+
+
+def test_traces_of_a_group_share_the_state():
+    import json
+
+    def span(trace, n, at, duration=5):
+        return Row(facts=json.dumps(dict(zip(state.SPAN_FACTS, (trace, n, n, n == 0, "Payment-service", duration, None, at)))))
+
+    class Handle(_Handle):
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    handle, traces = Handle(), state.CompleteTraces(3, ("Payment-service",), 1000, grouped=True)
+    traces.init(handle)
+    rows = [span(t, n, 10 * t + n) for n in range(2) for t in (7, 8, 9)]
+    assert list(traces.handleInputRows((0,), iter(rows), handle)) == []
+    assert (handle.value.writes, handle.map.writes, handle.timers) == (1, 0, [1071])
+    (row,) = traces.handleInputRows((0,), iter([span(8, 2, 95, 9), span(9, 1, 700), span(6, 0, 1)]), handle)
+    assert (row.trace_id, row.n_spans, row.complete, row.TraceD, row.SpanD1) == (8, 3, True, 5, 9)
+    assert handle.value.writes == 2 and handle.timers == [1001]  # trace 6 is due first
+    handle.now, handle.timers = 1500, []
+    late = list(traces.handleExpiredTimer((0,), handle, None))
+    assert [(r.trace_id, r.n_spans, r.complete) for r in late] == [(7, 2, False), (6, 1, False)]
+    assert handle.timers == [1700]  # trace 9 was put off
+    handle.now, handle.timers = 1700, []
+    assert [(r.trace_id, r.last_event_ms) for r in traces.handleExpiredTimer((0,), handle, None)] == [(9, 700)]
+    assert not handle.value.kept and handle.timers == []
