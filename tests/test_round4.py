@@ -125,3 +125,25 @@ def test_traces_of_a_group_share_the_state():
     handle.now, handle.timers = 1700, []
     assert [(r.trace_id, r.last_event_ms) for r in traces.handleExpiredTimer((0,), handle, None)] == [(9, 700)]
     assert not handle.value.kept and handle.timers == []
+
+
+@pytest.mark.parametrize("most", [12, 4096])
+def test_small_traces_are_ordered_in_a_task(spark, monkeypatch, most):
+    rng, rows = np.random.default_rng(5), []
+    for t in [*range(-3, 12), 1 << 60]:
+        ids = (rng.permutation(30)[: 1 + abs(t) % 29] + 1 + (abs(t) % 1000 << 40)).tolist()
+        rows += [(t, s, 0 if i < 1 + t % 2 else ids[int(rng.integers(0, i))]) for i, s in enumerate(ids)]
+    rows += [(50, 1, 2), (50, 2, 1), (50, 3, 0), (50, 4, 99), (50, 5, 4), (50, 6, 6), (50, -7, 3), (51, 1, 2), (51, 2, 1), (52, 5, 5), (53, 4, 0)]
+    rows += [(54, s, s - 1) for s in range(1, 40)]
+    written = []
+    stored = tour.stored
+    monkeypatch.setattr(tour, "stored", lambda df, name="": written.append(name) or stored(df, name))
+    monkeypatch.setattr(tour, "WALK_SPANS", most)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = tour.trace_order(spark.createDataFrame(rows, "trace_id long, span_id long, parent_span_id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len({(r["trace_id"], r["span_id"]) for r in got})
+    assert {(r["trace_id"], r["span_id"]): (r["root_span_id"], r["depth"], r["position"]) for r in got} == _walk(rows)
+    assert ("tour" in written) == (most < 4096)
