@@ -147,3 +147,21 @@ def test_small_traces_are_ordered_in_a_task(spark, monkeypatch, most):
     assert len(got) == len({(r["trace_id"], r["span_id"]) for r in got})
     assert {(r["trace_id"], r["span_id"]): (r["root_span_id"], r["depth"], r["position"]) for r in got} == _walk(rows)
     assert ("tour" in written) == (most < 4096)
+
+
+ODD_TEXTS = [
+    '{"a":1}', ' { "Username" : "x" , "a":[1,{"b":","}] , "Password":null } ', "{}", '{"password":"p","Password":"q","CreditCard":1,"CreditCard":"2"}', "[1]", "oops", None, "",
+    '{"a":' * 9 + "1" + "}" * 9, "{'a':'x'}", "{'a':'x,y'}", '{"a":1} tail', '{"a":1}{"b":2}', '{"a":oops}', '{"User\\u006eame":"\\"}"}', '{"a":1,}', '{"b":1.10,"b":1e3}',
+]
+
+
+def test_variants_start_from_the_members_of_their_base(spark):
+    rows = spark.createDataFrame([(100 * k + i, t) for k in range(20) for i, t in enumerate(ODD_TEXTS)], "Id long, request string")
+    got = augment.augment_rows(rows, 4, rate=0.3)
+    base = augment.inject_anomalies(rows.withColumn("copy", F.lit(0)), rate=0.3)  # two passes over the text
+    more = base.select("Id", "request").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    want = base.unionByName(augment.inject_anomalies(more, rate=0.3))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # the base is edited once
+    assert {r["Id"] for r in rows.filter(json_members("request").isNotNull()).collect()} == {r["Id"] for r in got.filter("edited AND copy = 0").collect()}
