@@ -165,3 +165,15 @@ def test_variants_start_from_the_members_of_their_base(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # the base is edited once
     assert {r["Id"] for r in rows.filter(json_members("request").isNotNull()).collect()} == {r["Id"] for r in got.filter("edited AND copy = 0").collect()}
+
+
+def test_payload_features_are_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes; rows would be interpreted."""
+    rows = spark.createDataFrame([(1, '{"USERNAME":"abc","PassWord":null,"Money":1.5,"money":22}')], "Id long, request string")
+    got = payload_features(rows.repartition(2), "request", case_insensitive=True)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    plan = payload_features(spark.read.schema("Id long, request string").json(spark.sparkContext.emptyRDD().map(str)), "request", case_insensitive=True)
+    sizes = [c._3().maxMethodCodeSize() for c in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(debug.codegenStringSeq(plan._jdf.queryExecution().executedPlan()))]
+    assert all(s < 8000 for s in sizes)
+    row = got.first()
+    assert (row["usernameE"], row["usernameL"], row["passwordE"], row["passwordL"], row["MoneyE"], row["MoneyL"], row["AddressE"]) == (1, 3, 1, 4, 1, 3, 0)
