@@ -177,3 +177,22 @@ def test_payload_features_are_compiled(spark):
     assert all(s < 8000 for s in sizes)
     row = got.first()
     assert (row["usernameE"], row["usernameL"], row["passwordE"], row["passwordL"], row["MoneyE"], row["MoneyL"], row["AddressE"]) == (1, 3, 1, 4, 1, 3, 0)
+
+
+def test_distances_to_all_centroids_are_vectorised(spark):
+    rng = np.random.default_rng(6)
+    cents, x = rng.normal(size=(10, 19)), rng.normal(size=(50, 19))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>").repartition(3)
+    got = df.select("i", vector.centroid_distances("x", cents.tolist()).alias("d"), vector.nearest_centroid_values("x", cents.tolist()).alias("b"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        want = np.sqrt(((cents - x[r["i"]]) ** 2).sum(1))
+        assert np.allclose(r["d"], want) and r["b"]["cluster"] == want.argmin() and r["b"]["dist"] == r["d"][r["b"]["cluster"]]
+
+
+def test_kmeans_over_numbers_takes_blocks(spark):
+    df = spark.createDataFrame([(float(i % 5), float(i % 3)) for i in range(60)], "a double, b double")
+    model = cl.fit_detector(df, ["a", "b"], k=3)
+    assert model.clusterer.getSolver() == "block"
+    means = {r["prediction"]: (r["a"], r["b"]) for r in model.transform(df).groupBy("prediction").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).collect()}
+    assert all(np.allclose(model.centroids[k], m) for k, m in means.items())
